@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftstone.llm import byte_bpe, simhash, substring_dedup, suffix_dedup, transport_stream, warc
+from siftstone.llm import bit_sliced, byte_bpe, language_id, line_dedup, packing, simhash, substring_dedup, suffix_dedup, transport_stream, warc
 
 TOKENIZERS = {"bytes": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "words": public_tokenizers.path("word_bpe_49k.json")}
 
@@ -31,6 +32,21 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(_table(spark, sf_dir, "documents"), TOKENIZERS["bytes"], public_tokenizers.PATTERN)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(~language_id.held_out()))
+    found = language_id.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), TOKENIZERS["words"])
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(_table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.dedup(_table(spark, sf_dir, "documents")))
 
@@ -39,11 +55,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(_table(spark, sf_dir, "documents"))
 
 
+def op9_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_sliced.top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.dedup(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_transport_stream, op2_warc, op3_byte_bpe, op7_suffix_dedup, op8_simhash, op10_substring_dedup)}
+_ALL = (op1_transport_stream, op2_warc, op3_byte_bpe, op4_language_id, op5_packing, op6_line_dedup, op7_suffix_dedup, op8_simhash, op9_bit_sliced, op10_substring_dedup)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL = {
     "op2_warc": """
@@ -70,6 +91,13 @@ ORACLE_SQL = {
                CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
                sha256(unhex(coalesce(l.x, '') || substr(d.x, 2 * coalesce(b, 0) + 1))) AS kept_sha256
         FROM d LEFT JOIN left_ l USING (doc_id)""",
+    "op9_bit_sliced": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+        SELECT * FROM r WHERE rank <= 10""",
     "op10_substring_dedup": """
         WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM documents),
         w AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS p, ws FROM d),

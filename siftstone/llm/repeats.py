@@ -5,9 +5,9 @@ words).  Passes, most significant digit first:
 
 1. Every window enters at its anchor (see `windows`).  The leading bits of the
    anchor gram's hash route its run to a bucket, the next 32 order it there.
-   Runs of one batch that are equal throughout are settled before the shuffle:
+   Runs of one stretch of text that are equal throughout are settled before the shuffle:
    only those of the smallest document travel, so a passage that stands in a
-   third of all rows costs one run per batch and anchor.
+   third of all rows costs one run per stretch and anchor.
 2. Inside a bucket, runs are sorted by the rest of the gram's hash and by the
    hash of all bytes that the run's windows cover.  A run whose equal stands in
    a smaller document is removed as a whole.  A run whose gram no other
@@ -63,43 +63,57 @@ def _firsts(key: np.ndarray, body: np.ndarray, doc: np.ndarray) -> tuple[np.ndar
     return order, new_key, new_body, doc[np.flatnonzero(new_body)][np.cumsum(new_body) - 1]
 
 
+def _parts(batch: pa.RecordBatch, limit: int = 8 << 20):
+    """Stretches of a batch with about `limit` bytes of text."""
+    _, offsets = buffers(batch.column("text"))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def _scan(unit: str, size: int, gram: int, bits: int):
     def scan(batches):
         for batch in batches:
-            ids, tags = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            data, offsets = buffers(batch.column(1))
-            keys, bodies, ats, rows = [], [], [], []
-            for i in range(len(ids)):
-                if offsets[i + 1] - offsets[i] < size:
-                    continue
-                v, _, _ = symbols(data[offsets[i] : offsets[i + 1]], unit)
-                if len(v) < size:
-                    continue
-                rolling = Rolling(v)
-                low, high, anchor, h = runs(rolling, len(v), size, gram)
-                bodies.append(mix(rolling.of(low, high + size)) ^ mix((anchor - low + 1).astype(np.uint64)))
-                keys.append(h)
-                ats.append((low.astype(np.uint64) << np.uint64(32)) | np.uint64(int(tags[i]) << 8) | (high - low).astype(np.uint64))
-                rows.append(np.full(len(h), ids[i]))
-            if not keys:
+            for part in _parts(batch):
+                yield from settle(part)
+
+    def settle(batch):
+        ids, tags = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        data, offsets = buffers(batch.column(1))
+        keys, bodies, ats, rows = [], [], [], []
+        for i in range(len(ids)):
+            if offsets[i + 1] - offsets[i] < size:
                 continue
-            key, body, at, doc = map(np.concatenate, (keys, bodies, ats, rows))
-            key >>= np.uint64(32 - bits)
-            order, _, _, least = _firsts(key, body, doc)
-            key, body, at, doc = key[order], body[order], at[order], doc[order]
-            gone = doc > least
-            out = []
-            for kind, rows_of in ((1, ~gone), (0, gone)):
-                k, b, a, d = (x[rows_of] for x in (key, body, at, doc))
-                bucket = (k >> np.uint64(32)).astype(np.int64)
-                cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(k) else []
-                for x, y in zip(cuts, [*cuts[1:], len(k)], strict=True):
-                    whole = kind == 1
-                    out.append((int(bucket[x]), kind, d[x:y].tobytes(), (k[x:y] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() if whole else b"", b[x:y].tobytes() if whole else b"", a[x:y].tobytes()))
-            names = ("bucket", "kind", "ids", "digit", "body", "at")
-            types = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
-            for x in range(0, len(out), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[x : x + 64], strict=True), types, strict=True)], names)
+            v, _, _ = symbols(data[offsets[i] : offsets[i + 1]], unit)
+            if len(v) < size:
+                continue
+            rolling = Rolling(v)
+            low, high, anchor, h = runs(rolling, len(v), size, gram)
+            bodies.append(mix(rolling.of(low, high + size)) ^ mix((anchor - low + 1).astype(np.uint64)))
+            keys.append(h)
+            ats.append((low.astype(np.uint64) << np.uint64(32)) | np.uint64(int(tags[i]) << 8) | (high - low).astype(np.uint64))
+            rows.append(np.full(len(h), ids[i]))
+        if not keys:
+            return
+        key, body, at, doc = map(np.concatenate, (keys, bodies, ats, rows))
+        key >>= np.uint64(32 - bits)
+        order, _, _, least = _firsts(key, body, doc)
+        key, body, at, doc = key[order], body[order], at[order], doc[order]
+        gone = doc > least
+        out = []
+        for kind, rows_of in ((1, ~gone), (0, gone)):
+            k, b, a, d = (x[rows_of] for x in (key, body, at, doc))
+            bucket = (k >> np.uint64(32)).astype(np.int64)
+            cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(k) else []
+            for x, y in zip(cuts, [*cuts[1:], len(k)], strict=True):
+                whole = kind == 1
+                out.append((int(bucket[x]), kind, d[x:y].tobytes(), (k[x:y] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() if whole else b"", b[x:y].tobytes() if whole else b"", a[x:y].tobytes()))
+        names = ("bucket", "kind", "ids", "digit", "body", "at")
+        types = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
+        for x in range(0, len(out), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[x : x + 64], strict=True), types, strict=True)], names)
 
     return scan
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import itertools
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -29,19 +30,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/siftstone/{uuid.uuid4().hex}/{name}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back.
 
     This cuts the lineage: a lost executor costs the tasks it held, not the
-    work behind the table.  Shuffle files of the finished job are released.
+    work behind the table.  With `release`, the shuffle files of the finished
+    job are freed before the next one starts, for jobs that shuffle much.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     schema = df.schema
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets the context cleaner drop finished shuffles
+    for _ in range(2 * release):  # the context cleaner frees what the collector has found unreachable
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -272,7 +272,7 @@ def links(docs: DataFrame, threshold: Fraction = THRESHOLD) -> tuple[DataFrame,
     n = partitions(spark)
     bits = max(4, int(np.ceil(np.log2(4 * n))))
     met = docs.where("doc_id is not null").mapInArrow(_emit(counters, threshold, bits), _KEYS).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _FOUND)
-    found = stage(met, "keys")
+    found = stage(met, "keys", release=True)
     lines = found.where("kind = 1").select("doc_id", "line", "id", "chk")
     sets = stage(lines.groupBy("id", "chk").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("n")), "sets")
     pairs = stage(candidates(found.where("kind = 0"), threshold), "pairs")
@@ -281,7 +281,7 @@ def links(docs: DataFrame, threshold: Fraction = THRESHOLD) -> tuple[DataFrame,
     met_sets = stage(met_sets, "met_sets")
     content = _contents(docs, met_sets.select("doc_id", "line"))
     words = F.array_distinct(F.filter(F.split(F.translate("content", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
-    full = stage(met_sets.join(content, ["doc_id", "line"]).select("id", "chk", "at", words.alias("w")), "candidates")
+    full = stage(met_sets.join(content, ["doc_id", "line"]).select("id", "chk", "at", words.alias("w")), "candidates", release=True)
     p, q = threshold.numerator, threshold.denominator
     left = full.select(F.col("id").alias("a"), F.col("chk").alias("ca"), F.col("at").alias("pa"), F.col("w").alias("wa"))
     right = full.select(F.col("id").alias("b"), F.col("chk").alias("cb"), F.col("at").alias("pb"), F.col("w").alias("wb"))

@@ -188,10 +188,10 @@ def repeated_spans(docs: DataFrame, unit: str, size: int, gram: int, closer) ->
     bits = min(16, max(4, int(np.ceil(np.log2(4 * n)))))
     base = tagged(docs).where("doc_id is not null")
     found = base.mapInArrow(_scan(unit, size, gram, bits), _RUNS).repartition(n, "bucket").sortWithinPartitions("bucket")
-    settled = stage(found.mapInArrow(_settle, _SETTLED), "settled")
+    settled = stage(found.mapInArrow(_settle, _SETTLED), "settled", release=True)
     opened = settled.where("kind = 1").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("low", "n", "gram")).alias("runs"))
     content = base.join(opened.hint("shuffle_hash"), ["doc_id", "tag"]).mapInArrow(_fetch(unit, size), "doc_id long, tag int, low int, gram long, content binary")
-    edges = stage(content.repartition(n, "gram").sortWithinPartitions("gram", "doc_id").mapInArrow(closer, "doc_id long, tag int, low int, high int"), "edges")
+    edges = stage(content.repartition(n, "gram").sortWithinPartitions("gram", "doc_id").mapInArrow(closer, "doc_id long, tag int, low int, high int"), "edges", release=True)
     whole = settled.where("kind = 0").select("doc_id", "tag", "low", (F.col("low") + F.col("n") + size).alias("high"))
     return whole.unionByName(edges).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from siftstone.llm import language_id, line_dedup, packing, simhash, suffix_dedup
 from siftstone.llm.common import stage
 from siftstone.llm.queries import TOKENIZERS
+from siftstone.session import ship, shipped_stage
 
 #: SQL cannot express the stages; tests hold them against brute force.
 ORACLE_SQL = None
@@ -50,16 +51,17 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("language_id", known_language),
-    ("line_dedup", fresh_lines),
-    ("simhash_near_dedup", one_of_each),
-    ("suffix_array_dedup", fresh_passages),
-    ("packing", packed),
+    ("language_id", shipped_stage(known_language)),
+    ("line_dedup", shipped_stage(fresh_lines)),
+    ("simhash_near_dedup", shipped_stage(one_of_each)),
+    ("suffix_array_dedup", shipped_stage(fresh_passages)),
+    ("packing", shipped_stage(packed)),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each result written and read again."""
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), name)

@@ -1,5 +1,440 @@
-"""The engine's own registered queries."""
+"""The engine's own registered queries over the supplied tables, with DuckDB SQL that gives the same rows.
 
+The tables hold no source code, so rows stand in for it: lines of documents are
+lines of files, lineitem rows are findings and call edges, orders and customers
+are dependencies, events are polls of pull requests.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftstone.functions import scalars as S
+from siftstone.operators import bayes, diff, findings, graphs, lexing, packages, reviews, rules, taint
+from siftstone.plans import reports
+from siftstone.streaming import monitor
+
+FLAGSHIP = "nb_heatmap_topk"
+THRESHOLD = 0.8
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-FLAGSHIP = "nb_heatmap_topk"
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def _sql_values(rows: list[tuple], columns: str) -> str:
+    quote = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
+    return f"(VALUES {', '.join('(' + ', '.join(map(quote, r)) + ')' for r in rows)}) AS v({columns})"
+
+
+# --- the line classifier ---------------------------------------------------
+
+
+def _labelled(spark, d):
+    docs = bayes.lines_of(_t(spark, d, "documents").select("doc_id", "text"), "text", "doc_id").where(F.trim("text") != "")
+    return docs.join(_t(spark, d, "labels").where("quality is not null").select("doc_id", (F.col("quality") == 0).alias("bad")), "doc_id")
+
+
+_TOKENS = r"regexp_extract_all(regexp_replace(lower({x}), '([\p{L}\p{N}_])[^\p{L}\p{N}_\s]', '\1 ', 'g'), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')"
+_SIGNAL = f"list_distinct(list_filter({_TOKENS}, lambda t: length(t) >= 3 OR t IN ('*','%','=','<','>','!','&','|','+','-')))"
+_LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents"
+_NB = f"""
+WITH l AS ({_LINES}),
+lab AS (SELECT l.doc_id, l.line, l.text, q.quality = 0 AS bad, {_SIGNAL.replace('{x}', 'l.text')} AS toks
+        FROM l JOIN labels q USING (doc_id) WHERE quality IS NOT NULL AND trim(l.text) <> ''),
+tok AS (SELECT bad, unnest(toks) AS token FROM lab),
+model AS (SELECT token, count(*) FILTER (WHERE bad) AS bad, count(*) FILTER (WHERE NOT bad) AS good FROM tok GROUP BY token),
+meta AS (SELECT (SELECT count(*) FROM lab WHERE bad) AS be, (SELECT count(*) FROM lab WHERE NOT bad) AS ge, (SELECT count(*) FROM model) AS v)"""
+
+
+@_query(_NB + " SELECT token, bad, good FROM model")
+def nb_token_counts(spark, d):
+    return bayes.train(_labelled(spark, d))
+
+
+def _scores(spark, d):
+    labelled = _labelled(spark, d)
+    model = bayes.train(labelled)
+    lines = bayes.lines_of(_t(spark, d, "documents").select("doc_id", "text"), "text", "doc_id")
+    return bayes.score(lines, model, bayes.totals(labelled, model), "doc_id", "line")
+
+
+_SCORED = (
+    _NB
+    + f""", x AS (SELECT doc_id, line, unnest({_SIGNAL.replace('{x}', 'text')}) AS token FROM ({_LINES})),
+o AS (SELECT doc_id, line, sum(ln((coalesce(m.bad, 0) + 1.0) / (be + v)) - ln((coalesce(m.good, 0) + 1.0) / (ge + v))) AS odds
+      FROM x LEFT JOIN model m USING (token) CROSS JOIN meta GROUP BY doc_id, line),
+s AS (SELECT l.doc_id, l.line, coalesce(1 / (1 + exp(-(odds + CASE WHEN be > 0 AND ge > 0 THEN ln(CAST(be AS DOUBLE) / ge) END))), 0.5) AS prob
+      FROM l LEFT JOIN o USING (doc_id, line) CROSS JOIN meta)"""
+)
+
+
+@_query(_SCORED + " SELECT doc_id, CAST(line AS INTEGER) AS line, round(prob, 4) AS prob FROM s")
+def nb_line_scores(spark, d):
+    return _scores(spark, d).select("doc_id", "line", F.round("prob", 4).alias("prob"))
+
+
+@_query(_SCORED + f""", f AS (SELECT doc_id, count(*) AS flagged FROM s WHERE prob >= {THRESHOLD} GROUP BY doc_id)
+SELECT doc_id, flagged, round(flagged / (SELECT max(flagged) FROM f), 6) AS intensity FROM f ORDER BY flagged DESC, doc_id LIMIT 20""")
+def nb_heatmap_topk(spark, d):
+    """The flagship: train, score every line, rank the hottest documents (a top-k report)."""
+    heat = bayes.heatmap(_scores(spark, d), THRESHOLD, "doc_id")
+    return heat.orderBy(F.desc("flagged"), "doc_id").limit(20).select("doc_id", "flagged", F.round("intensity", 6).alias("intensity"))
+
+
+@_query(f"SELECT 'doc/' || doc_id || '.txt' AS path, CAST(line AS INTEGER) AS line, CAST(strpos(lower(text), 'license') AS INTEGER) AS \"column\" FROM ({_LINES}) WHERE strpos(lower(text), 'license') > 0")
+def line_search(spark, d):
+    files = _t(spark, d, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id"), F.lit(".txt")).alias("path"), "text")
+    return rules.search(bayes.lines_of(files, "text", "path"), "license")
+
+
+@_query("""SELECT doc_id, CASE
+ WHEN contains(lower(text), 'mit license') OR contains(lower(text), 'permission is hereby granted, free of charge') THEN 'MIT License'
+ WHEN contains(lower(text), 'apache license') AND contains(lower(text), 'version 2.0') THEN 'Apache License 2.0'
+ WHEN contains(lower(text), 'bsd 3-clause') OR (contains(lower(text), 'bsd license') AND contains(lower(text), 'redistribution and use in source and binary forms')) THEN 'BSD 3-Clause License'
+ WHEN contains(lower(text), 'bsd 2-clause') THEN 'BSD 2-Clause License'
+ WHEN contains(lower(text), 'gnu general public license') OR contains(lower(text), 'gpl v3') OR contains(lower(text), 'gpl-3.0') THEN 'GNU General Public License v3.0 (GPLv3)'
+ WHEN contains(lower(text), 'gnu lesser general public license') OR contains(lower(text), 'lgpl') THEN 'GNU Lesser General Public License (LGPL)'
+ WHEN contains(lower(text), 'mozilla public license') OR contains(lower(text), 'mpl') THEN 'Mozilla Public License (MPL 2.0)'
+ WHEN contains(lower(text), 'isc license') THEN 'ISC License'
+ WHEN contains(lower(text), 'unlicense') OR contains(lower(text), 'disclaims all copyright') THEN 'The Unlicense (Public Domain)'
+ ELSE 'Custom / Unrecognized Open Source / Proprietary' END AS licence FROM documents""")
+def license_classify(spark, d):
+    return _t(spark, d, "documents").select("doc_id", S.license_of(F.col("text")).alias("licence"))
+
+
+@_query(f"""WITH l AS ({_LINES}), s AS (SELECT doc_id, regexp_extract(text, '(?i)\\b(?:token|key|secret)\\w*\\s*[:=]\\s*["'']([0-9a-f]{{40}})["'']', 1) AS token FROM l)
+SELECT doc_id, count(*) AS n FROM s WHERE token <> '' GROUP BY doc_id""")
+def long_token_counts(spark, d):
+    """An extension: long hexadecimal tokens, one for each line that has any."""
+    lines = bayes.lines_of(_t(spark, d, "documents").select(F.col("doc_id").alias("path"), "text"), "text", "path")
+    return rules.long_tokens(lines).groupBy(F.col("path").alias("doc_id")).agg(F.count_distinct("line").alias("n"))
+
+
+# --- findings ---------------------------------------------------------------
+
+_FIND = """SELECT 'src/f' || l_suppkey || '.m' AS path, CAST(l_partkey % 40 AS INTEGER) AS line, 'fn' || (l_partkey % 7) AS function,
+ CASE l_returnflag WHEN 'A' THEN 'Hardcoded Credential' WHEN 'N' THEN 'Command Injection' ELSE 'Weak Randomness' END AS category,
+ CAST(l_quantity AS INTEGER) % 4 AS severity, CASE l_linestatus WHEN 'O' THEN 'AST' ELSE 'Heuristic' END AS engine, l_orderkey * 10 + l_linenumber AS seq FROM lineitem"""
+
+
+def _findings(spark, d):
+    li = _t(spark, d, "lineitem")
+    return li.select(
+        F.concat(F.lit("src/f"), F.col("l_suppkey"), F.lit(".m")).alias("path"), (F.col("l_partkey") % 40).cast("int").alias("line"), F.concat(F.lit("fn"), F.col("l_partkey") % 7).alias("function"),
+        F.when(F.col("l_returnflag") == "A", "Hardcoded Credential").when(F.col("l_returnflag") == "N", "Command Injection").otherwise("Weak Randomness").alias("category"),
+        (F.round("l_quantity").cast("int") % 4).alias("severity"), F.when(F.col("l_linestatus") == "O", "AST").otherwise("Heuristic").alias("engine"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.lit(None).cast("array<string>").alias("taint_path"), F.lit(None).cast("string").alias("package"),
+    )
+
+
+_DEDUPED = f"WITH f AS ({_FIND}), d AS (SELECT *, row_number() OVER (PARTITION BY path, line, category ORDER BY CASE engine WHEN 'AST' THEN 0 ELSE 1 END, seq) AS r FROM f) "
+
+
+@_query(_DEDUPED + "SELECT path, line, category, engine, seq FROM d WHERE r = 1")
+def findings_dedupe(spark, d):
+    return findings.dedupe(_findings(spark, d)).select("path", "line", "category", "engine", "seq")
+
+
+@_query(f"""WITH f AS ({_FIND}), s AS (SELECT *, row_number() OVER (PARTITION BY path, category ORDER BY seq) AS r FROM f)
+SELECT path, category, seq FROM s WHERE category = 'Command Injection' OR r = 1""")
+def file_scope_dedupe(spark, d):
+    return findings.dedupe_file_scope(_findings(spark, d)).select("path", "category", "seq")
+
+
+@_query(f"WITH f AS ({_FIND}) SELECT CAST(severity AS INTEGER) AS severity, engine, count(*) AS n FROM f GROUP BY ROLLUP (severity, engine)")
+def severity_summary(spark, d):
+    return findings.summary(_findings(spark, d))
+
+
+@_query(f"WITH f AS ({_FIND}) SELECT path, line, seq FROM f WHERE path || '#' || line NOT IN (SELECT 'src/f' || s_suppkey || '.m#' || (s_suppkey % 40) FROM supplier)")
+def ignore_antijoin(spark, d):
+    s = F.col("s_suppkey")
+    ignored = _t(spark, d, "supplier").select(F.concat(F.lit("src/f"), s, F.lit(".m#"), s % 40).alias("key"))
+    return findings.without_ignored(_findings(spark, d), ignored).select("path", "line", "seq")
+
+
+@_query("SELECT doc_id AS id, 'old' AS origin FROM labels UNION ALL SELECT doc_id, 'new' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def append_missing(spark, d):
+    old = _t(spark, d, "labels").select(F.col("doc_id").alias("id"), F.lit("old").alias("origin"))
+    return findings.append_missing(old, _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("new").alias("origin")))
+
+
+@_query(f"""WITH f AS ({_FIND}), p AS (SELECT DISTINCT path FROM f WHERE category <> 'Weak Randomness')
+SELECT path, seq FROM f WHERE category <> 'Weak Randomness' OR path NOT IN (SELECT path FROM p)""")
+def hygiene_filter(spark, d):
+    return findings.drop_hygiene(_findings(spark, d), ["Weak Randomness"]).select("path", "seq")
+
+
+@_query(f"""WITH f AS ({_FIND}) SELECT path, line, seq FROM f h WHERE engine = 'AST' OR EXISTS
+(SELECT 1 FROM f p WHERE p.engine = 'AST' AND p.path = h.path AND p.function = h.function AND p.category = h.category AND abs(p.line - h.line) <= 2)""")
+def precise_veto(spark, d):
+    return findings.veto(_findings(spark, d)).select("path", "line", "seq")
+
+
+@_query(f"WITH f AS ({_FIND}) SELECT seq, CAST(greatest(0, least(3, severity + CASE WHEN line % 2 = 0 AND line % 3 = 0 THEN 1 WHEN line % 2 = 0 OR line % 3 = 0 THEN 0 ELSE -1 END)) AS INTEGER) AS exploitability FROM f")
+def exploitability(spark, d):
+    f = _findings(spark, d)
+    return f.select("seq", S.exploitability(F.col("severity"), F.col("line") % 2 == 0, F.col("line") % 3 == 0).cast("int").alias("exploitability"))
+
+
+@_query(f"WITH f AS ({_FIND}) SELECT path, line, category, severity, seq FROM f ORDER BY severity DESC, path, line, category, seq LIMIT 100")
+def findings_ranked(spark, d):
+    """A top-k report."""
+    return findings.ordered(_findings(spark, d), [("severity", True), ("path", False), ("line", False), ("category", False), ("seq", False)]).limit(100).select("path", "line", "category", "severity", "seq")
+
+
+@_query(f"WITH f AS ({_FIND}) SELECT path, count(*) AS findings, max(severity) AS worst, count(DISTINCT category) AS categories FROM f GROUP BY path")
+def findings_by_file(spark, d):
+    return _findings(spark, d).groupBy("path").agg(F.count("*").alias("findings"), F.max("severity").alias("worst"), F.count_distinct("category").alias("categories"))
+
+
+@_query("""WITH f AS (SELECT conv_id, 2 * (turn // 2) AS lo, 2 * (turn // 2) + 2 AS hi, turn // 2 AS fn FROM conversations GROUP BY ALL
+  UNION ALL SELECT conv_id, 0, max(turn) + 1, -1 FROM conversations GROUP BY conv_id),
+j AS (SELECT c.conv_id, c.turn, f.fn, row_number() OVER (PARTITION BY c.conv_id, c.turn ORDER BY f.hi - f.lo, f.lo, CAST(f.fn AS VARCHAR)) AS r
+  FROM conversations c JOIN f ON c.conv_id = f.conv_id AND c.turn >= f.lo AND c.turn < f.hi)
+SELECT conv_id AS path, turn AS off, CAST(fn AS VARCHAR) AS fn FROM j WHERE r = 1""")
+def range_enclosing(spark, d):
+    c = _t(spark, d, "conversations")
+    sites = c.select(F.col("conv_id").alias("path"), F.col("turn").alias("off"))
+    half = F.floor(F.col("turn") / 2)
+    inner = c.select(F.col("conv_id").alias("path"), (2 * half).alias("lo"), (2 * half + 2).alias("hi"), half.cast("string").alias("fn")).distinct()
+    outer = c.groupBy(F.col("conv_id").alias("path")).agg(F.lit(0).cast("long").alias("lo"), (F.max("turn") + 1).alias("hi"), F.lit("-1").alias("fn"))
+    return findings.enclosing(sites, inner.union(outer)).select("path", "off", "fn")
+
+
+# --- changes ----------------------------------------------------------------
+
+_FILES = [("a.py", None, "M"), ("new.py", None, "A"), ("moved.py", "old.py", "R"), ("gone.py", None, "D")]
+_HUNKS = [("a.py", 10, 13), ("moved.py", 40, 42)]
+_HEAD = [("z.py", 1, "f", "X"), ("new.py", 3, "g", "X"), ("a.py", 5, "h", "Y"), ("a.py", 11, "k", "Y"), ("moved.py", 7, "m", "Z"), ("a.py", 30, "n", "Y"), ("a.py", 12, "h", "W")]
+_BASE = [("z.py", 1, "f", "X"), ("a.py", 5, "h", "Y"), ("old.py", 7, "m", "Z"), ("gone.py", 2, "q", "V"), ("a.py", 25, "n", "Y"), ("a.py", 50, "r", "U")]
+
+
+@_query(f"""WITH files AS (SELECT * FROM {_sql_values(_FILES, 'path, old_path, kind')}), hunks AS (SELECT * FROM {_sql_values(_HUNKS, 'path, s, e')}),
+head AS (SELECT * FROM {_sql_values(_HEAD, 'path, line, function, category')}), base AS (SELECT * FROM {_sql_values(_BASE, 'path, line, function, category')}),
+c AS (SELECT h.*, CASE WHEN f.kind IS NULL THEN 'preExisting' WHEN f.kind = 'A' THEN 'introduced'
+  WHEN EXISTS (SELECT 1 FROM base b WHERE b.path = h.path AND b.line = h.line) THEN 'preExisting'
+  WHEN EXISTS (SELECT 1 FROM hunks r WHERE r.path = h.path AND h.line >= r.s AND h.line < r.e) THEN 'introduced'
+  WHEN f.kind = 'R' AND EXISTS (SELECT 1 FROM base b WHERE b.path = f.old_path AND b.line = h.line) THEN 'preExisting' ELSE 'contextual' END AS awareness
+  FROM head h LEFT JOIN files f USING (path))
+SELECT path, line, function, category, CASE WHEN awareness = 'introduced' AND EXISTS (SELECT 1 FROM base b WHERE b.path = c.path AND b.function = c.function) THEN 'contextual' ELSE awareness END AS awareness FROM c
+UNION ALL SELECT b.*, 'fixed' FROM base b WHERE b.path IN (SELECT path FROM files UNION ALL SELECT old_path FROM files WHERE old_path IS NOT NULL)
+  AND NOT EXISTS (SELECT 1 FROM head h WHERE h.path = b.path AND h.line = b.line) AND NOT EXISTS (SELECT 1 FROM head h WHERE h.path = b.path AND h.function = b.function AND h.category = b.category)""")
+def pr_classify(spark, d):
+    f = "path string, line int, function string, category string"
+    return diff.classify(_values(spark, _HEAD, f), _values(spark, _BASE, f), _values(spark, _FILES, "path string, old_path string, kind string"), _values(spark, _HUNKS, "path string, head_start int, head_end int"))
+
+
+_DIFF = "diff --git a/x.c b/x.c\n--- a/x.c\n+++ b/x.c\n@@ -12,0 +14,1 @@\n+added\n@@ -20,2 +23,0 @@ f()\n-one\n-two\ndiff --git a/y.c b/y.c\n--- a/y.c\n+++ /dev/null\n@@ -1,1 +0,0 @@\n-gone\n"
+
+
+@_query("SELECT * FROM (VALUES ('x.c', 14, 16, 12, 13), ('x.c', 23, 24, 20, 23)) AS v(path, head_start, head_end, base_start, base_end)")
+def hunk_ranges(spark, d):
+    return diff.hunks(_values(spark, [("d", _DIFF)], "diff string, content string")).drop("diff")
+
+
+_VERSIONS = [("0.9", "0.10"), ("v0.13", "0.13.0"), ("0.14-beta", "0.1"), ("2.0.1", "2.0"), ("1", "1.0.0.1"), ("", "1")]
+
+
+@_query("SELECT * FROM (VALUES ('0.9', '0.10', -1), ('v0.13', '0.13.0', 0), ('0.14-beta', '0.1', -1), ('2.0.1', '2.0', 1), ('1', '1.0.0.1', -1), ('', '1', -1)) AS v(a, b, ord)")
+def version_order(spark, d):
+    return _values(spark, _VERSIONS, "a string, b string").select("a", "b", S.version_order(F.col("a"), F.col("b")).alias("ord"))
+
+
+_VECTORS = ["AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H", "AV:N/AC:L/PR:N/UI:N/S:U/C:L/I:N/A:N", "AV:N/AC:L/PR:L/UI:N/S:U/C:H/I:H/A:H", "AV:N/AC:H/PR:N/UI:N/S:U/C:H/I:H/A:H", "AV:N/AC:L/PR:N/UI:N/S:C/C:H/I:H/A:H", "AV:N/AC:L/PR:N/UI:N/S:U/C:N/I:N/A:N"]
+
+
+@_query("SELECT * FROM " + _sql_values(list(zip(_VECTORS, [9.8, 5.3, 8.8, 8.1, 10.0, 0.0], [9.8, 5.4, None, 7.0, 10.0, 3.9], strict=True)), "vector, score, compat"))
+def cvss_score(spark, d):
+    v = F.col("vector")
+    return _values(spark, [(x,) for x in _VECTORS], "vector string").select("vector", S.cvss3_base(v).alias("score"), S.cvss3_base(v, compat=True).alias("compat"))
+
+
+# --- graphs -----------------------------------------------------------------
+
+_EDGES = "SELECT DISTINCT 'p' || (l_partkey % 300) AS caller, 'p' || ((l_partkey * 7 + l_suppkey) % 300) AS callee FROM lineitem WHERE l_orderkey % 97 = 0"
+
+
+def _edges(spark, d):
+    """Sparse call edges: rows of one order in 97 stand for the calls there are (the tables' edges are dense)."""
+    li = _t(spark, d, "lineitem").where(F.col("l_orderkey") % 97 == 0)
+    return li.select(F.concat(F.lit("p"), F.col("l_partkey") % 300).alias("caller"), F.concat(F.lit("p"), (F.col("l_partkey") * 7 + F.col("l_suppkey")) % 300).alias("callee")).distinct()
+
+
+@_query(f"""WITH RECURSIVE e AS ({_EDGES}), c(root, node, depth) AS (SELECT 'p' || n_nationkey, 'p' || n_nationkey, 0 FROM nation
+  UNION SELECT c.root, e.caller, c.depth + 1 FROM c JOIN e ON e.callee = c.node WHERE c.depth < 4)
+SELECT root, node, CAST(min(depth) AS INTEGER) AS depth FROM c GROUP BY root, node""")
+def reverse_closure(spark, d):
+    start = _t(spark, d, "nation").select(F.concat(F.lit("p"), F.col("n_nationkey")).alias("root"))
+    return graphs.closure(_edges(spark, d), start, depth=4, most=None)
+
+
+@_query(f"""WITH RECURSIVE e AS ({_EDGES}), t(name, round) AS (SELECT 'p' || n_nationkey, 0 FROM nation WHERE n_nationkey < 3
+  UNION SELECT e.caller, t.round + 1 FROM t JOIN e ON e.callee = t.name WHERE t.round < 10)
+SELECT name, CAST(min(round) AS INTEGER) AS round FROM t GROUP BY name""")
+def taint_fixpoint(spark, d):
+    seeds = _t(spark, d, "nation").where("n_nationkey < 3").select(F.concat(F.lit("p"), F.col("n_nationkey")).alias("name"))
+    return graphs.fixpoint(_edges(spark, d), seeds)
+
+
+@_query(f"""WITH e AS ({_EDGES}), n AS (SELECT caller AS node FROM e UNION SELECT callee FROM e)
+SELECT node, (SELECT count(*) FROM e WHERE e.caller = n.node) AS callees, node NOT IN (SELECT callee FROM e) AS topmost FROM n""")
+def callee_overlay(spark, d):
+    return graphs.overlay(_edges(spark, d))
+
+
+# --- polls ------------------------------------------------------------------
+
+_POLLS = "SELECT time_bucket(INTERVAL '15 minutes', ts) AS poll_ts, CAST(user_id AS VARCHAR) AS repo, CAST(event_type AS VARCHAR) AS id, '' AS sha, date_trunc('hour', ts) AS updated_at FROM events"
+_FRESH = f"WITH p AS ({_POLLS}), k AS (SELECT *, repo || '#' || id || '@' || strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS fingerprint FROM p), n AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY poll_ts) AS r FROM k)"
+
+
+def _polls(spark, d):
+    ts = F.col("ts")
+    return _t(spark, d, "events").select(F.window(ts, "15 minutes")["start"].alias("poll_ts"), F.col("user_id").cast("string").alias("repo"), F.col("event_type").alias("id"), F.lit("").alias("sha"), F.date_trunc("hour", ts).alias("updated_at"))
+
+
+@_query(_FRESH + " SELECT CAST(poll_ts AS VARCHAR) AS poll_ts, fingerprint FROM n WHERE r = 1")
+def pr_poll_new(spark, d):
+    return monitor.new_in_batch(_polls(spark, d)).select(F.date_format("poll_ts", "yyyy-MM-dd HH:mm:ss").alias("poll_ts"), "fingerprint")
+
+
+@_query(_FRESH + ", t AS (SELECT *, row_number() OVER (PARTITION BY poll_ts ORDER BY updated_at DESC NULLS LAST, fingerprint) AS k FROM n WHERE r = 1) SELECT CAST(poll_ts AS VARCHAR) AS poll_ts, fingerprint FROM t WHERE k <= 5")
+def pr_top5(spark, d):
+    return monitor.announced(monitor.new_in_batch(_polls(spark, d))).select(F.date_format("poll_ts", "yyyy-MM-dd HH:mm:ss").alias("poll_ts"), "fingerprint")
+
+
+# --- dependencies -----------------------------------------------------------
+
+_DEPS = "SELECT CASE c_nationkey % 2 WHEN 0 THEN 'npm' ELSE 'PyPI' END AS ecosystem, 'pkg' || (c_custkey % 50) AS name, '1.' || (c_custkey % 4) AS version, c_mktsegment AS path, c_custkey AS line FROM customer"
+_ADVISORIES = [("npm", "pkg1", "1.1", "A-1", "CRITICAL"), ("npm", "pkg2", "1.2", "A-2", None), ("PyPI", "pkg7", "1.3", "A-3", "LOW"), ("PyPI", "pkg7", "1.3", "A-4", "MODERATE"), ("npm", "pkg1", "1.1", "A-1", "CRITICAL")]
+
+
+@_query(f"""WITH d AS ({_DEPS}), a AS (SELECT DISTINCT * FROM {_sql_values(_ADVISORIES, 'ecosystem, name, version, id, db')})
+SELECT d.ecosystem, d.name, d.version, d.path, d.line, a.id, CASE a.db WHEN 'CRITICAL' THEN 3 WHEN 'HIGH' THEN 2 WHEN 'LOW' THEN 0 ELSE 1 END AS severity FROM d JOIN a USING (ecosystem, name, version)""")
+def dep_advisory_join(spark, d):
+    k = F.col("c_custkey")
+    deps = _t(spark, d, "customer").select(F.when(F.col("c_nationkey") % 2 == 0, "npm").otherwise("PyPI").alias("ecosystem"), F.concat(F.lit("pkg"), k % 50).alias("name"), F.concat(F.lit("1."), k % 4).alias("version"), F.col("c_mktsegment").alias("path"), k.alias("line"))
+    a = _values(spark, _ADVISORIES, "ecosystem string, name string, version string, id string, db_severity string").withColumn("severity", F.lit(None).cast("array<struct<type:string,score:string>>"))
+    return packages.package_findings(deps, a).select("ecosystem", "name", "version", "path", "line", "id", "severity")
+
+
+_REQ = "requests==2.31.0\nflask[async]==2.0.1 # c\nx>=1\n-r other\ny==1\n"
+
+
+@_query("SELECT * FROM (VALUES ('requirements.txt', 1, 'requests', '2.31.0'), ('requirements.txt', 2, 'flask', '2.0.1')) AS v(path, line, name, version)")
+def requirements_lines(spark, d):
+    lines = bayes.lines_of(_values(spark, [("requirements.txt", _REQ)], "path string, text string"), "text", "path")
+    return packages.requirements(lines)
+
+
+@_query("SELECT * FROM (VALUES ('npm', 'left-pad', '1.3.0', 'web/package-lock.json', 1), ('PyPI', 'requests', '2.31.0', 'requirements.txt', 1), ('PyPI', 'flask', '2.0.1', 'requirements.txt', 2)) AS v(ecosystem, name, version, path, line)")
+def dependency_scan(spark, d):
+    files = [("web/package-lock.json", '{"packages": {"": {}, "node_modules/left-pad": {"version": "1.3.0"}}}'), ("web/package.json", '{"dependencies": {"other": "9.9.9"}}'), ("requirements.txt", _REQ), ("node_modules/x/package-lock.json", "{}")]
+    return packages.dependencies(_values(spark, files, "path string, content string"))
+
+
+# --- text rules, hosts, reviews ----------------------------------------------
+
+_SECRETS = [("a.py", 1, "key = 'AKIA" + "A1" * 8 + "'"), ("a.py", 2, "url = postgres://u:p@h"), ("a.py", 3, 'pwd = "abcd1234!"'), ("a.py", 4, 'api_key = "changeme-now"'), ("a.py", 5, "version_2"), ("b.java", 6, "password = decryptedPassword;")]
+
+
+@_query("SELECT * FROM (VALUES ('a.py', 1, 'Hardcoded AWS Access Key', 3), ('a.py', 2, 'Hardcoded Connection String (with password)', 2), ('a.py', 3, 'Hardcoded Credential', 2), ('a.py', 3, 'Hardcoded Credential', 2), ('a.py', 3, 'Hardcoded Credential', 2)) AS v(path, line, category, severity)")
+def secret_findings(spark, d):
+    return rules.secret_findings(_values(spark, _SECRETS, "path string, line int, text string"))
+
+
+@_query("SELECT page_id, regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^.*://', ''), '[/?#].*$', ''), ':+$', '') AS host FROM pages")
+def page_hosts(spark, d):
+    return _t(spark, d, "pages").select("page_id", S.bare_host(F.col("url")).alias("host"))
+
+
+@_query("SELECT p_partkey, trim(regexp_replace(lower(p_type), '[^\\p{L}\\p{N}]+', '-', 'g'), '-') AS slug FROM part")
+def category_slugs(spark, d):
+    return _t(spark, d, "part").select("p_partkey", S.slug(F.col("p_type")).alias("slug"))
+
+
+@_query("SELECT conv_id, turn, CASE WHEN contains(upper(text), 'INVALID') THEN 'invalid' WHEN contains(upper(text), 'VALID') THEN 'valid' ELSE 'unknown' END AS verdict FROM conversations")
+def triage_verdicts(spark, d):
+    return reviews.triage(_t(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("answer"))).select("conv_id", "turn", "verdict")
+
+
+@_query()
+def chunk_pack(spark, d):
+    return reviews.chunks(_t(spark, d, "documents").select(F.col("doc_id").alias("path"), F.coalesce("text", F.lit("")).alias("content")), 2_000).select(F.col("path").alias("doc_id"), "chunk", "first_line", "last_line", F.length("text").alias("n_chars"))
+
+
+@_query("SELECT doc_id, sha256(concat(length(source), ':', source, length(text), ':', text)) AS key FROM documents")
+def review_cache_keys(spark, d):
+    return _t(spark, d, "documents").select("doc_id", S.cache_key(F.col("source"), F.col("text")).alias("key"))
+
+
+_TRACE = ["at main (src/app.js:12:5)", "at pkg.Cls.method(File.java:7)", "#0  0x1 in main (argc=1) at src/main.c:18", 'File "x.py", line 5, in main', "processRequest (src/main.c:4)", "12: std::panicking::begin_panic", "at /lib/panicking.rs:554", "foo at src/main.c:4", "src/main.c:4", "no frame here"]
+
+
+@_query("SELECT * FROM (VALUES ('t', 0, 'main', 'src/app.js', 12), ('t', 1, 'method', 'File.java', 7), ('t', 2, 'main', 'src/main.c', 18), ('t', 3, 'main', 'x.py', 5), ('t', 4, 'processRequest', 'src/main.c', 4), ('t', 6, 'std::panicking::begin_panic', '/lib/panicking.rs', 554), ('t', 7, 'foo', 'src/main.c', 4), ('t', 8, '', 'src/main.c', 4)) AS v(trace, seq, function, file_hint, line)")
+def stack_frames(spark, d):
+    return reports.frames(_values(spark, [("t", i, x) for i, x in enumerate(_TRACE)], "trace string, seq int, text string"))
+
+
+_COMMENTS = ["/* start", "middle", "end */ x()", "", "# note", "foo(); /* late", "bar", "// c", "/* a */ // b", "/* a */ b"]
+
+
+@_query("SELECT * FROM (VALUES (1, true), (2, true), (3, false), (4, true), (5, false), (6, false), (7, false), (8, true), (9, true), (10, false)) AS v(line, is_comment)")
+def comment_state(spark, d):
+    rows = _values(spark, [("f.c", i, x) for i, x in enumerate(_COMMENTS, 1)], "path string, line int, text string")
+    return bayes.comment_lines(rows, "path").select("line", "is_comment")
+
+
+# --- code -------------------------------------------------------------------
+
+_CODE = [
+    ("a/bad.py", "py", "import os\n\ndef run(cmd):\n    text = cmd\n    os.system(text)\n\ndef clean(cmd):\n    safe = sanitize(cmd)\n    os.system(safe)\n"),
+    ("a/main.c", "c", 'static int helper(char *p) {\n  if (p && *p) { return 1; }\n  return 0;\n}\n\nint main(int argc, char **argv) {\n  char buf[8];\n  for (int i = 0; i < argc; i++) { helper(argv[i]); }\n  strcpy(buf, argv[1]);\n  return 0;\n}\n'),
+]
+_SINKS = [("os.system", "Command Injection", 3), ("strcpy", "Buffer Overflow", 3)]
+
+
+def _code(spark):
+    return _values(spark, _CODE, "path string, ext string, content string")
+
+
+@_query("SELECT * FROM (VALUES ('a/bad.py', 'run', 3, 1), ('a/bad.py', 'clean', 7, 1), ('a/main.c', 'helper', 1, 3), ('a/main.c', 'main', 6, 2)) AS v(path, fn, line, complexity)")
+def function_complexity(spark, d):
+    return lexing.extract_functions(_code(spark)).select("path", "fn", "line", "complexity")
+
+
+@_query("SELECT * FROM (VALUES ('a/bad.py', 'run', 5, 'Command Injection', 'cmd > text'), ('a/main.c', 'main', 9, 'Buffer Overflow', 'argv')) AS v(path, function, line, category, flow)")
+def taint_scan(spark, d):
+    return taint.scan(_code(spark), ["getenv", "input"], _SINKS).select("path", "function", "line", "category", F.array_join("taint_path", " > ").alias("flow"))
+
+
+@_query("SELECT * FROM (VALUES ('a/main.c', 'main', 'helper')) AS v(path, caller, callee)")
+def code_call_edges(spark, d):
+    code = _code(spark)
+    return graphs.call_edges(lexing.lex(code), lexing.extract_functions(code)).select("path", "caller", "callee")
+
+
+@_query()
+def sarif_log(spark, d):
+    """One document over all findings of the smallest file stand-ins: those of one supplier in ten thousand rows would still be one log."""
+    f = findings.dedupe(_findings(spark, d)).withColumn("message", F.col("category"))
+    return reports.sarif(f)

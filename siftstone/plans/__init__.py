@@ -1 +1 @@
-"""plans of the engine."""
+"""Plans: loops, reports and the facade over the operators."""

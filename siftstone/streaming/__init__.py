@@ -1 +1 @@
-"""streaming of the engine."""
+"""The pull-request monitor."""

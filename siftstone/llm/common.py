@@ -87,6 +87,14 @@ def rows_by(batches, column: str):
         yield key, [x[1] for x in group]
 
 
+def stretches(sorted_values: np.ndarray):
+    """(value, slice) of each stretch of equal values."""
+    if len(sorted_values):
+        at = np.flatnonzero(np.concatenate(([True], sorted_values[1:] != sorted_values[:-1])))
+        for a, b in zip(at, [*at[1:], len(sorted_values)], strict=True):
+            yield int(sorted_values[a]), slice(int(a), int(b))
+
+
 def merge_spans(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs covered by half-open spans; touching spans join."""
     if not len(start):

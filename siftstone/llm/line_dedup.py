@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import buffers, partitions, rows_by, stage, texts
+from siftstone.llm.common import buffers, partitions, rows_by, stage, stretches, texts
 from siftstone.llm.repeats import word_bounds
 from siftstone.llm.windows import mix
 
@@ -182,12 +182,12 @@ def _emit(counters, threshold: Fraction, bits: int):
             key, set_, meta = key[order], set_[order], meta[order]
             one = np.concatenate(([True], (key[1:] != key[:-1]) | (set_[1:] != set_[:-1]))) if len(key) else np.zeros(0, bool)
             key, set_, meta = key[one], set_[one], meta[one]
-            for b, s in _cuts((key >> np.uint64(64 - bits)).astype(np.int64)):
+            for b, s in stretches((key >> np.uint64(64 - bits)).astype(np.int64)):
                 out.append((b, 0, key[s].tobytes(), set_[s].tobytes(), b"", meta[s].tobytes()))
             set_, check, doc, number = (np.concatenate(c) for c in zip(*lines, strict=True))
             order = np.argsort(set_, kind="stable")
             set_, check, doc, number = set_[order], check[order], doc[order], number[order]
-            for b, s in _cuts((set_ >> np.uint64(64 - bits)).astype(np.int64)):
+            for b, s in stretches((set_ >> np.uint64(64 - bits)).astype(np.int64)):
                 out.append((b, 1, doc[s].tobytes(), set_[s].tobytes(), check[s].tobytes(), number[s].tobytes()))
             types = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
             for i in range(0, len(out), 64):
@@ -196,13 +196,6 @@ def _emit(counters, threshold: Fraction, bits: int):
     return go
 
 
-def _cuts(bucket: np.ndarray):
-    if len(bucket):
-        at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-        for a, b in zip(at, [*at[1:], len(bucket)], strict=True):
-            yield int(bucket[a]), slice(int(a), int(b))
-
-
 def _meet(batches):
     """Keeps keys that several sets share (kind 0), and passes the lines (kind 1)."""
     zero = lambda n, t: pa.array(np.zeros(n, t))

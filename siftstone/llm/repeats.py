@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import buffers, merge_spans, partitions, rows_by, stage, texts
+from siftstone.llm.common import buffers, merge_spans, partitions, rows_by, stage, stretches, texts
 from siftstone.llm.windows import Rolling, mix, runs
 
 _BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -105,11 +105,10 @@ def _scan(unit: str, size: int, gram: int, bits: int):
         out = []
         for kind, rows_of in ((1, ~gone), (0, gone)):
             k, b, a, d = (x[rows_of] for x in (key, body, at, doc))
-            bucket = (k >> np.uint64(32)).astype(np.int64)
-            cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(k) else []
-            for x, y in zip(cuts, [*cuts[1:], len(k)], strict=True):
-                whole = kind == 1
-                out.append((int(bucket[x]), kind, d[x:y].tobytes(), (k[x:y] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() if whole else b"", b[x:y].tobytes() if whole else b"", a[x:y].tobytes()))
+            whole = kind == 1
+            for bucket, s in stretches((k >> np.uint64(32)).astype(np.int64)):
+                digit = (k[s] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() if whole else b""
+                out.append((bucket, kind, d[s].tobytes(), digit, b[s].tobytes() if whole else b"", a[s].tobytes()))
         names = ("bucket", "kind", "ids", "digit", "body", "at")
         types = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
         for x in range(0, len(out), 64):

@@ -127,11 +127,17 @@ def _groups(batch: pa.RecordBatch, limit: int = 1 << 19):
         a = b
 
 
+def rank_of(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes that keep their order: exact below 64, then 8 steps for each doubling."""
+    wide = 64 + np.floor(8 * (np.log2(np.maximum(counts, 64)) - 6))
+    return np.where(counts < 64, counts, np.minimum(wide, 255)).astype(np.uint8)
+
+
 def rarity(docs: DataFrame) -> np.ndarray:
-    """Saturating counts of all words of all texts, by COUNTERS buckets of their hash.
+    """Ranks of the counts of all words of all texts, by COUNTERS buckets of their hash.
 
-    Each task sends its counters as SLICES rows of bytes; slices are summed on
-    the executors and the driver receives COUNTERS bytes, whatever the input.
+    Each task sends its counters as SLICES rows; slices are summed on the
+    executors and the driver receives COUNTERS bytes, whatever the input.
     """
     each = COUNTERS // SLICES
 
@@ -140,22 +146,24 @@ def rarity(docs: DataFrame) -> np.ndarray:
         for batch in batches:
             found = [(Lines(parts).hashes >> np.uint64(64 - 22)).astype(np.int64) for _, parts in _groups(batch)]
             total += np.bincount(np.concatenate(found), minlength=COUNTERS) if found else 0
-        small = np.minimum(total, 255).astype(np.uint8)
         for s in range(SLICES):
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([small[s * each : (s + 1) * each].tobytes()], pa.binary())], ["slice", "counts"])
+            mine = total[s * each : (s + 1) * each]
+            at = np.flatnonzero(mine).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([mine[at].astype(np.uint32).tobytes()], pa.binary())], ["slice", "at", "counts"])
 
     def add(batches):
         for s, parts in rows_by(batches, "slice"):
             total = np.zeros(each, np.int64)
             for part in parts:
-                for c in part.column("counts"):
-                    total += np.frombuffer(c.as_py(), np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()], pa.binary())], ["slice", "counts"])
+                for at, counts in zip(part.column("at"), part.column("counts"), strict=True):
+                    total[np.frombuffer(at.as_py(), np.uint32)] += np.frombuffer(counts.as_py(), np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([rank_of(total).tobytes()], pa.binary())], ["slice", "ranks"])
 
-    rows = docs.select("text").mapInArrow(count, "slice int, counts binary").repartition(partitions(docs.sparkSession), "slice").sortWithinPartitions("slice").mapInArrow(add, "slice int, counts binary").collect()
+    sent = docs.select("text").mapInArrow(count, "slice int, at binary, counts binary")
+    rows = sent.repartition(partitions(docs.sparkSession), "slice").sortWithinPartitions("slice").mapInArrow(add, "slice int, ranks binary").collect()
     out = np.zeros(COUNTERS, np.uint8)
     for r in rows:
-        out[r["slice"] * each : (r["slice"] + 1) * each] = np.frombuffer(r["counts"], np.uint8)
+        out[r["slice"] * each : (r["slice"] + 1) * each] = np.frombuffer(r["ranks"], np.uint8)
     return out
 
 

@@ -31,7 +31,7 @@ def quantise(vectors: np.ndarray, scale: int = SCALE) -> np.ndarray:
 
 def _pack(bits: np.ndarray) -> np.ndarray:
     """(..., rows) booleans as 64-bit words."""
-    return np.packbits(bits, axis=-1, bitorder="little").view(np.uint64)
+    return np.ascontiguousarray(np.packbits(bits, axis=-1, bitorder="little")).view(np.uint64)
 
 
 class Block:

@@ -12,7 +12,7 @@ within the first 2a + b + 2 words, where a and b are what the sides may lack.
 Such a key is far more selective than a word, and lists of partners stay short
 though the corpus grows.  Words that occur once in the corpus match nothing;
 they shorten the prefix, and a line with too many of them has no partner.
-Length and position filters cut the rest before the sets are compared.
+Length, position and bitmap filters cut the rest before the sets are compared.
 
 Equal sets are one node, so copies of a line cost nothing beyond themselves.
 """
@@ -89,9 +89,14 @@ class Lines:
             at = np.concatenate(([0], np.cumsum(self.words)))
             sums.append(mix(total[at[1:]] - total[at[:-1]] + self.words.astype(np.uint64)))
         self.set, self.check = sums
+        # A bitmap of 64 bits for each line: two lines differ in no more bits than in words.
+        self.sketch = np.zeros(n, np.uint64)
+        have = np.flatnonzero(self.words)
+        if len(have):
+            self.sketch[have] = np.bitwise_or.reduceat(np.uint64(1) << (self.hashes & np.uint64(63)), at[:-1][have])
 
     def keys(self, threshold: Fraction):
-        """(key, set, words, lonely words, position) of the neighbours in every line's prefix."""
+        """(key, set, words, lonely words, position, sketch) of the neighbours in every line's prefix."""
         prefix = prefix_lengths(self.words, self.lonely, threshold)
         at = ~self.once
         h, line = self.hashes[at], self.line[at]
@@ -100,7 +105,7 @@ class Lines:
         ok = np.flatnonzero((line[1:] == line[:-1]) & (place[:-1] + 2 <= prefix[line[:-1]])) if len(line) else np.zeros(0, np.int64)
         key = mix(h[ok] * np.uint64(0x9E3779B97F4A7C15) ^ mix(h[ok + 1]))
         of = line[ok]
-        return key, self.set[of], self.words[of], self.lonely[of], place[ok]
+        return key, self.set[of], self.words[of], self.lonely[of], place[ok], self.sketch[of]
 
 
 def prefix_lengths(words: np.ndarray, lonely: np.ndarray, threshold: Fraction) -> np.ndarray:
@@ -168,7 +173,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
 
 _KEYS = "bucket int, kind int, key binary, id binary, check binary, meta binary"
-_FOUND = "kind int, key long, id long, chk long, words int, lonely int, place int, doc_id long, line int"
+_FOUND = "kind int, key long, id long, chk long, words int, lonely int, place int, sketch long, doc_id long, line int"
 
 
 def _emit(counters, threshold: Fraction, bits: int):
@@ -180,18 +185,19 @@ def _emit(counters, threshold: Fraction, bits: int):
             keys, lines = [], []
             for a, parts in _groups(batch):
                 x = Lines(parts, counters.value)
-                key, set_, n, h, place = x.keys(threshold)
-                keys.append((key, set_, (n.astype(np.uint64) << np.uint64(40)) | (h.astype(np.uint64) << np.uint64(20)) | place.astype(np.uint64)))
+                key, set_, n, h, place, sketch = x.keys(threshold)
+                keys.append((key, set_, (n.astype(np.uint64) << np.uint64(40)) | (h.astype(np.uint64) << np.uint64(20)) | place.astype(np.uint64), sketch))
                 have = np.flatnonzero(x.words)
                 lines.append((x.set[have], x.check[have], ids[a + x.text[have]].astype(np.int64), x.number[have].astype(np.int64)))
             out = []
-            key, set_, meta = (np.concatenate(c) for c in zip(*keys, strict=True))
+            key, set_, meta, sketch = (np.concatenate(c) for c in zip(*keys, strict=True))
+            key >>= np.uint64(32 - bits)  # the bucket, and 32 bits more: a chance match costs a verification
             order = np.lexsort((set_, key))
-            key, set_, meta = key[order], set_[order], meta[order]
+            key, set_, meta, sketch = key[order], set_[order], meta[order], sketch[order]
             one = np.concatenate(([True], (key[1:] != key[:-1]) | (set_[1:] != set_[:-1]))) if len(key) else np.zeros(0, bool)
-            key, set_, meta = key[one], set_[one], meta[one]
-            for b, s in stretches((key >> np.uint64(64 - bits)).astype(np.int64)):
-                out.append((b, 0, key[s].tobytes(), set_[s].tobytes(), b"", meta[s].tobytes()))
+            key, set_, meta, sketch = key[one], set_[one], meta[one], sketch[one]
+            for b, s in stretches((key >> np.uint64(32)).astype(np.int64)):
+                out.append((b, 0, (key[s] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), set_[s].tobytes(), sketch[s].tobytes(), meta[s].tobytes()))
             set_, check, doc, number = (np.concatenate(c) for c in zip(*lines, strict=True))
             order = np.argsort(set_, kind="stable")
             set_, check, doc, number = set_[order], check[order], doc[order], number[order]
@@ -207,40 +213,42 @@ def _emit(counters, threshold: Fraction, bits: int):
 def _meet(batches):
     """Keeps keys that several sets share (kind 0), and passes the lines (kind 1)."""
     zero = lambda n, t: pa.array(np.zeros(n, t))
-    names = ["kind", "key", "id", "chk", "words", "lonely", "place", "doc_id", "line"]
-    for _, parts in rows_by(batches, "bucket"):
+    names = ["kind", "key", "id", "chk", "words", "lonely", "place", "sketch", "doc_id", "line"]
+    for bucket, parts in rows_by(batches, "bucket"):
         got = []
         for part in parts:
             for kind, key, id_, check, meta in zip(*(part.column(c).to_pylist() for c in ("kind", "key", "id", "check", "meta")), strict=True):
                 if kind == 0:
-                    got.append((np.frombuffer(key, np.uint64), np.frombuffer(id_, np.uint64), np.frombuffer(meta, np.uint64)))
+                    got.append((np.frombuffer(key, np.uint32), np.frombuffer(id_, np.uint64), np.frombuffer(meta, np.uint64), np.frombuffer(check, np.uint64)))
                 else:
                     doc, set_, check, number = np.frombuffer(key, np.int64), np.frombuffer(id_, np.int64), np.frombuffer(check, np.int64), np.frombuffer(meta, np.int64)
                     n = len(doc)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), zero(n, np.int64), pa.array(set_), pa.array(check), *[zero(n, np.int32)] * 3, pa.array(doc), pa.array(number.astype(np.int32))], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), zero(n, np.int64), pa.array(set_), pa.array(check), *[zero(n, np.int32)] * 3, zero(n, np.int64), pa.array(doc), pa.array(number.astype(np.int32))], names)
         if not got:
             continue
-        key, set_, meta = (np.concatenate(c) for c in zip(*got, strict=True))
+        key, set_, meta, sketch = (np.concatenate(c) for c in zip(*got, strict=True))
         order = np.lexsort((set_, key))
-        key, set_, meta = key[order], set_[order], meta[order]
+        key, set_, meta, sketch = key[order], set_[order], meta[order], sketch[order]
         one = np.concatenate(([True], (key[1:] != key[:-1]) | (set_[1:] != set_[:-1])))
-        key, set_, meta = key[one], set_[one], meta[one]
+        key, set_, meta, sketch = key[one], set_[one], meta[one], sketch[one]
         heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         many = np.repeat(np.diff(np.concatenate((heads, [len(key)]))), np.diff(np.concatenate((heads, [len(key)])))) > 1
-        key, set_, meta = key[many], set_[many], meta[many]
+        key, set_, meta, sketch = key[many].astype(np.int64) | (bucket << 32), set_[many], meta[many], sketch[many]
         n = len(key)
         field = lambda shift: pa.array(((meta >> np.uint64(shift)) & np.uint64(0xFFFFF)).astype(np.int32))  # noqa: B023, E731
-        yield pa.RecordBatch.from_arrays([zero(n, np.int32), pa.array(key.view(np.int64)), pa.array(set_.view(np.int64)), zero(n, np.int64), field(40), field(20), field(0), zero(n, np.int64), zero(n, np.int32)], names)
+        yield pa.RecordBatch.from_arrays([zero(n, np.int32), pa.array(key), pa.array(set_.view(np.int64)), zero(n, np.int64), field(40), field(20), field(0), pa.array(sketch.view(np.int64)), zero(n, np.int64), zero(n, np.int32)], names)
 
 
 def candidates(keys: DataFrame, threshold: Fraction) -> DataFrame:
-    """(a, b) of sets that share a key and pass the length and position filters."""
+    """(a, b) of sets that share a key and pass the length, position and bitmap filters."""
     p, q = threshold.numerator, threshold.denominator
     x, y = keys.alias("x"), keys.alias("y")
     c = F.col
     rest = lambda t: c(f"{t}.words") - c(f"{t}.lonely") - c(f"{t}.place")
     most = F.least(c("x.place"), c("y.place")) + F.least(rest("x"), rest("y"))  # of words in common
-    near = most * (p + q) >= p * (c("x.words") + c("y.words"))
+    words = c("x.words") + c("y.words")
+    differ = words - 2 * F.ceil(p * words / (p + q))  # words that one side lacks, at most
+    near = (most * (p + q) >= p * words) & (F.bit_count(c("x.sketch").bitwiseXOR(c("y.sketch"))) <= differ)
     return x.join(y, (c("x.key") == c("y.key")) & (c("x.id") < c("y.id")) & near).select(c("x.id").alias("a"), c("y.id").alias("b")).distinct()
 
 

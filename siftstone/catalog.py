@@ -99,7 +99,7 @@ def nb_heatmap_topk(spark, d):
     return heat.orderBy(F.desc("flagged"), "doc_id").limit(20).select("doc_id", "flagged", F.round("intensity", 6).alias("intensity"))
 
 
-@_query(f"SELECT 'doc/' || doc_id || '.txt' AS path, CAST(line AS INTEGER) AS line, CAST(strpos(lower(text), 'license') AS INTEGER) AS \"column\" FROM ({_LINES}) WHERE strpos(lower(text), 'license') > 0")
+@_query(f"SELECT 'doc/' || doc_id || '.txt' AS path, CAST(line AS INTEGER) AS line, CAST(strpos(lower(text), 'license') - 1 AS INTEGER) AS \"column\" FROM ({_LINES}) WHERE strpos(lower(text), 'license') > 0")
 def line_search(spark, d):
     files = _t(spark, d, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id"), F.lit(".txt")).alias("path"), "text")
     return rules.search(bayes.lines_of(files, "text", "path"), "license")

@@ -26,7 +26,7 @@ FILES = {
     "composer.lock": ("composer_lock", "Packagist", "PHP", True),
     "go.mod": ("go_mod", "Go", "Go", True),
     "Gemfile.lock": ("gem_lock", "RubyGems", "Ruby", True),
-    "packages.lock.json": ("nuget_lock", "NuGet", "C#", True),
+    "packages.lock.json": ("nuget_lock", "NuGet", ".NET", True),
     "Package.resolved": ("swift_resolved", "SwiftURL", "Swift", True),
     "gradle.lockfile": ("gradle_lock", "Maven", "Java", True),
     "libs.versions.toml": ("gradle_catalog", "Maven", "Java", True),
@@ -39,8 +39,11 @@ FILES = {
     "build.gradle": ("gradle", "Maven", "Java", False),
     "build.gradle.kts": ("gradle", "Maven", "Java", False),
 }
-# Folders that are not searched, and the deepest level.
-SKIPPED = (".git", ".svn", ".hg", "node_modules", "vendor", "build", "dist", "target", "Pods", "Carthage", "DerivedData", "venv", ".venv", "__pycache__", ".tox", ".gradle", ".idea", ".build", "bin", "obj", "out")
+# Folders that are not searched (hidden ones never are), and the deepest level.
+SKIPPED = (
+    "node_modules", "vendor", "Pods", "Carthage", "build", "Build", "BUILD", "dist", "Dist", "out", "target", "bin", "obj", "packages", "DerivedData",
+    "__pycache__", "bower_components", "coverage", "tmp", "venv", "Godeps",
+)
 DEPTH = 10
 EXACT = r"^[0-9]+(\.[0-9]+)+([-+][0-9A-Za-z.\-+]+)?$"
 _EXACT = re.compile(EXACT)
@@ -59,8 +62,8 @@ def discover(files: DataFrame) -> DataFrame:
     name = F.substring_index("path", "/", -1)
     folders = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
     specs = files.sparkSession.createDataFrame([(k, *v) for k, v in FILES.items()], "name string, format string, ecosystem string, language string, lock boolean")
-    named = files.where(~F.arrays_overlap(folders, F.array(*map(F.lit, SKIPPED))) & (F.size(folders) <= DEPTH)).withColumn("name", F.when(F.endswith(name, F.lit(".csproj")), "*.csproj").otherwise(name))
-    specs = specs.union(files.sparkSession.createDataFrame([("*.csproj", "csproj", "NuGet", "C#", False)], specs.schema))
+    named = files.where(~F.arrays_overlap(folders, F.array(*map(F.lit, SKIPPED))) & ~F.exists(folders, lambda x: F.startswith(x, F.lit("."))) & (F.size(folders) <= DEPTH)).withColumn("name", F.when(F.endswith(name, F.lit(".csproj")), "*.csproj").otherwise(name))
+    specs = specs.union(files.sparkSession.createDataFrame([("*.csproj", "csproj", "NuGet", ".NET", False)], specs.schema))
     found = named.join(F.broadcast(specs), "name")
     locked = found.where("lock").select("language").distinct()
     return found.where("lock").unionByName(found.where(~F.col("lock")).join(locked, "language", "left_anti"))

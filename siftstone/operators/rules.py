@@ -155,12 +155,12 @@ def macros(lines: DataFrame) -> DataFrame:
 
 
 def search(lines: DataFrame, query: str) -> DataFrame:
-    """(path, line, column): the first hit of a text in each line, ignoring case; binary files are skipped."""
+    """(path, line, column): the first hit of a text in each line, from 0, ignoring case; binary files are skipped."""
     # Extensions that are never searched.
-    binary = ("png", "jpg", "jpeg", "gif", "pdf", "zip", "o", "a")
+    binary = ("png", "jpg", "jpeg", "gif", "pdf", "zip", "app", "framework")
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     at = F.locate(query.lower(), F.lower("text"))
-    return lines.where(~ext.isin(*binary) & (at > 0)).select("path", "line", at.alias("column"))
+    return lines.where(~ext.isin(*binary) & (at > 0)).select("path", "line", (at - 1).alias("column"))
 
 
 def instantiations(files: DataFrame, name: str) -> DataFrame:

@@ -11,13 +11,14 @@ LIMIT = 1_000_000  #: characters of a file at most
 # Path parts that are never entered, and languages by extension.
 EXCLUDED = ("build", "vendor", "node_modules", ".git")
 LANGUAGES = {
-    "c": "C", "h": "C", "cc": "C++", "cpp": "C++", "cxx": "C++", "hpp": "C++", "inc": "C", "java": "Java", "cs": "C#", "go": "Go", "kt": "Kotlin", "kts": "Kotlin",
-    "php": "PHP", "py": "Python", "rb": "Ruby", "rake": "Ruby", "gemspec": "Ruby", "rs": "Rust", "sol": "Solidity", "js": "JavaScript", "jsx": "JavaScript",
-    "ts": "JavaScript", "tsx": "JavaScript", "swift": "Swift", "m": "Objective-C", "mm": "Objective-C",
+    "c": "C", "h": "C", "cpp": "C++", "cc": "C++", "cxx": "C++", "hpp": "C++", "hxx": "C++", "hh": "C++", "java": "Java", "cs": "C#", "csx": "C#", "go": "Go",
+    "kt": "Kotlin", "kts": "Kotlin", "rb": "Ruby", "rake": "Ruby", "gemspec": "Ruby", "php": "PHP", "phtml": "PHP", "inc": "PHP", "py": "Python",
+    "m": "Cocoa", "mm": "Cocoa", "objc": "Cocoa", "rs": "Rust", "sol": "Solidity", "js": "JavaScript", "jsx": "JavaScript", "ts": "JavaScript", "tsx": "JavaScript",
+    "swift": "Swift",
 }
 #: What the scanner reads, and what a viewer shows: they differ on purpose.
-SCANNED = tuple(x for x in LANGUAGES if x not in ("rake", "gemspec"))
-VIEWED = tuple(x for x in LANGUAGES if x != "inc")
+SCANNED = (*(x for x in LANGUAGES if x not in ("rake", "gemspec")), "c++", "h++")
+VIEWED = (*(x for x in LANGUAGES if x != "inc"), "c++", "h++")
 
 
 def extension(path: Column) -> Column:

@@ -253,7 +253,7 @@ def candidates(keys: DataFrame, threshold: Fraction) -> DataFrame:
 
 
 def _contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, line, content): words of the lines in `wanted`, found by a filter of FILTER bits, then exactly."""
+    """(doc_id, line, content) of the lines in `wanted` and a few others: what passes a filter of FILTER bits."""
     spot = F.pmod(F.xxhash64("doc_id", "line"), F.lit(FILTER))
     bits = wanted.select((spot / 64).cast("long").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id, line), {FILTER}) % 64 as int))").alias("bit"))
     words = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()  # FILTER / 64 rows at most
@@ -264,7 +264,8 @@ def _contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     blocks = docs.sparkSession.createDataFrame([(i, int(v)) for i, v in enumerate(table) if v], "word long, bits long")
     hit = F.expr(f"(shiftright(bits, cast(pmod(xxhash64(doc_id, line), {FILTER}) % 64 as int)) & 1) = 1")
     kept = lines.withColumn("word", (spot / 64).cast("long")).join(F.broadcast(blocks), "word").where(hit)
-    return kept.select("doc_id", "line", "content").join(wanted, ["doc_id", "line"], "left_semi")
+    # A table, since the optimiser would move a join with `wanted` below the filter and shuffle all lines.
+    return stage(kept.select("doc_id", "line", "content"), "lines_met", release=True)
 
 
 def links(docs: DataFrame, threshold: Fraction = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -296,7 +297,7 @@ def links(docs: DataFrame, threshold: Fraction = THRESHOLD) -> tuple[DataFrame,
     right = full.select(F.col("id").alias("b"), F.col("chk").alias("cb"), F.col("at").alias("pb"), F.col("w").alias("wb"))
     both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("wa", "wb"))
-    linked = stage(both.where(common * (p + q) >= p * (F.size("wa") + F.size("wb"))).select("a", "ca", "pa", "b", "cb", "pb"), "set_links")
+    linked = stage(both.where(common * (p + q) >= p * (F.size("wa") + F.size("wb"))).select("a", "ca", "pa", "b", "cb", "pb").dropDuplicates(["a", "ca", "b", "cb"]), "set_links")
     ends = linked.select(F.col("a").alias("id"), F.col("ca").alias("chk"), F.when(F.col("pb") < F.col("pa"), F.col("pb")).alias("before")).union(linked.select(F.col("b").alias("id"), F.col("cb").alias("chk"), F.when(F.col("pa") < F.col("pb"), F.col("pa")).alias("before")))
     per = ends.groupBy("id", "chk").agg(F.count("*").alias("n_links"), F.min("before").alias("before"))
     joined = sets.join(per.hint("shuffle_hash"), ["id", "chk"], "left")

@@ -134,5 +134,18 @@ def enclosing(sites: DataFrame, functions: DataFrame) -> DataFrame:
     return top.select(*[F.col(f"s.{c}") for c in sites.columns], F.col("f.fn").alias("fn"))
 
 
+def types_at(sites: DataFrame, declarations: DataFrame) -> DataFrame:
+    """sites(path, off, name) with the type of the declaration(path, name, type, at, lo, hi) they see, or null.
+
+    Of those whose scope holds the site and that come before it, the innermost
+    and then the last one counts; path and name bound the range join.
+    """
+    s, d = sites.withColumn("_site", F.monotonically_increasing_id()).alias("s"), declarations.alias("d")
+    seen = (F.col("s.path") == F.col("d.path")) & (F.col("s.name") == F.col("d.name")) & (F.col("s.off") >= F.col("d.at")) & (F.col("s.off") >= F.col("d.lo")) & (F.col("s.off") < F.col("d.hi"))
+    w = Window.partitionBy("s._site").orderBy(F.col("d.hi") - F.col("d.lo"), F.desc("d.at"))
+    top = s.join(d, seen, "left").withColumn("_rank", F.row_number().over(w)).where("_rank = 1")
+    return top.select(*[F.col(f"s.{c}") for c in sites.columns], F.col("d.type").alias("type"))
+
+
 def normalised(findings: DataFrame) -> DataFrame:
     return findings.withColumn("path", normalized_path(F.col("path")))

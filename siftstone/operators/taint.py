@@ -83,8 +83,27 @@ def walk(text: str, ext: str, sources: set[str], sinks: dict[str, tuple[str, int
             i += 1
 
 
+def _arguments(tokens: list) -> list[list]:
+    """The parts of an argument list between its own commas."""
+    out, depth = [[]], 0
+    for t in tokens:
+        if t[2] == "," and depth == 0:
+            out.append([])
+        else:
+            depth += (t[2] in "([{") - (t[2] in ")]}")
+            out[-1].append(t)
+    return out if out != [[]] else []
+
+
 def facts(text: str, ext: str, sources: set[str]):
-    """(kind, fn, name) of each function: calls; source, if its result can come from one; static; sanitizer."""
+    """(kind, fn, name) facts of each function.
+
+    call: it calls name; source: its result can come from a source;
+    pass_through: from a parameter; returns_call: from a call of name;
+    param_seed: somebody passes a tainted value as parameter number `name`;
+    write_through: it writes one into parameter number `name`; static;
+    sanitizer.
+    """
     for fn, _, _, _, lo, hi, params, quals in functions(text, ext):
         tokens = list(tokenize(text[lo:hi], ext))
         if _is_clean(fn):
@@ -95,6 +114,14 @@ def facts(text: str, ext: str, sources: set[str]):
         for i, t in enumerate(tokens):
             if t[1] == "identifier" and i + 1 < len(tokens) and tokens[i + 1][2] == "(":
                 yield "call", fn, t[2]
+                for n, part in enumerate(_arguments(tokens[i + 2 : _closing(tokens, i + 1, "(", ")")])):
+                    if any(x[1] == "identifier" and (_chain(part, k)[0] in sources or x[2] in tainted and x[2] not in params) for k, x in enumerate(part)):
+                        yield "param_seed", t[2], str(n)
+            if t[2] in params and i + 1 < len(tokens) and (tokens[i + 1][2] in ("[", "->") or i and tokens[i - 1][2] == "*"):
+                k = _closing(tokens, i + 1, "[", "]") + 1 if tokens[i + 1][2] == "[" else i + 3 if tokens[i + 1][2] == "->" else i + 1
+                right = [x for x in tokens[k + 1 : k + 200] if x[3] == t[3]]
+                if k < len(tokens) and tokens[k][2] == "=" and any(_chain(right, n)[0] in sources or x[2] in tainted - set(params) for n, x in enumerate(right) if x[1] == "identifier"):
+                    yield "write_through", fn, str(params.index(t[2]))
             line = [x for x in tokens[i + 1 : i + 200] if x[3] == t[3]]
             if t[1] == "identifier" and i + 1 < len(tokens) and tokens[i + 1][2] in _ASSIGN and any(_chain(tokens, i + 1 + k)[0] in sources or x[2] in tainted for k, x in enumerate(line)):
                 tainted.add(t[2])
@@ -136,6 +163,18 @@ def all_facts(files: DataFrame, sources: list[str]) -> DataFrame:
     return spark.sql("SELECT f.path, t.* FROM siftstone_files_facts f, LATERAL siftstone_facts(f.content, f.ext, f._sources) t")
 
 
+def parameter_facts(found: DataFrame, kind: str = "param_seed") -> DataFrame:
+    """(path, fn, indices): parameters that a project's facts name; path is null where they hold everywhere.
+
+    Facts about a static function stay in its file; the others are united over
+    all files.
+    """
+    static = found.where("kind = 'static'").select("path", "fn").distinct().withColumn("_static", F.lit(True))
+    joined = found.where(F.col("kind") == kind).join(static, ["path", "fn"], "left")
+    place = F.when(F.col("_static"), F.col("path")).alias("path")
+    return joined.groupBy(place, "fn").agg(F.sort_array(F.collect_set(F.col("name").cast("int"))).alias("indices"))
+
+
 def tainting_functions(found: DataFrame, rounds: int = 10) -> DataFrame:
     """(name, round): functions of the project whose result is tainted; sanitizers never are."""
     calls = found.where("kind = 'returns_call'").select(F.col("fn").alias("caller"), F.col("name").alias("callee"))

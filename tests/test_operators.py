@@ -172,6 +172,19 @@ def test_taint(spark):
     assert [(r["function"], r["taint_path"]) for r in hits] == [("go", ["mid()", "t"])]
 
 
+def test_parameter_facts(spark):
+    code = [("a.c", "c", 'static void put(char *d, int n) { d[0] = getenv("X"); }\nvoid go() { char *t = getenv("Y"); put(t, 3); run(1, t); }')]
+    found = taint.all_facts(spark.createDataFrame(code, "path string, ext string, content string"), ["getenv"])
+    assert sorted(map(tuple, taint.parameter_facts(found).collect()), key=str) == [("a.c", "put", [0]), (None, "run", [1])]
+    assert [tuple(r) for r in taint.parameter_facts(found, "write_through").collect()] == [("a.c", "put", [0])]
+
+
+def test_types(spark):
+    d = spark.createDataFrame([("p", "x", "int", 0, 0, 100), ("p", "x", "char", 20, 10, 50)], "path string, name string, type string, at int, lo int, hi int")
+    sites = spark.createDataFrame([("p", 5, "x"), ("p", 15, "x"), ("p", 30, "x"), ("p", 60, "x"), ("p", 60, "y")], "path string, off int, name string")
+    assert [r["type"] for r in findings.types_at(sites, d).orderBy("off", "name").collect()] == ["int", "int", "char", "int", None]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "src" / "node_modules").mkdir(parents=True)
     (tmp_path / "src" / "a.py").write_text("x = 1\n")

@@ -268,6 +268,24 @@ def _contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return stage(kept.select("doc_id", "line", "content"), "lines_met", release=True)
 
 
+def _verify(threshold: Fraction):
+    """Keeps the pairs whose word sets reach the threshold; texts travel as they are, which packs well."""
+    p, q = threshold.numerator, threshold.denominator
+
+    def go(batches):
+        for batch in batches:
+            keep, last, mine = [], None, frozenset()
+            for wa, wb in zip(batch.column("wa").to_pylist(), batch.column("wb").to_pylist(), strict=True):
+                if wb is not last and wb != last:
+                    last, mine = wb, frozenset(wb.encode().split())
+                other = set(wa.encode().split())
+                n = len(other) + len(mine)
+                keep.append(len(mine.intersection(other)) * (p + q) >= p * n)
+            yield batch.drop_columns(["wa", "wb"]).filter(pa.array(keep, pa.bool_()))
+
+    return go
+
+
 def links(docs: DataFrame, threshold: Fraction = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(lines, sets): every line that has words, and every distinct set with its first line and its links.
 
@@ -285,19 +303,19 @@ def links(docs: DataFrame, threshold: Fraction = THRESHOLD) -> tuple[DataFrame,
     found = stage(met, "keys", release=True)
     lines = found.where("kind = 1").select("doc_id", "line", "id", "chk")
     sets = stage(lines.groupBy("id", "chk").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("n")), "sets")
-    pairs = stage(candidates(found.where("kind = 0"), threshold), "pairs")
+    pairs = stage(candidates(found.where("kind = 0"), threshold), "pairs", release=True)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     met_sets = sets.join(ids.hint("shuffle_hash"), "id", "left_semi").select("id", "chk", "at", F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line"))
     met_sets = stage(met_sets, "met_sets")
     content = _contents(docs, met_sets.select("doc_id", "line"))
-    words = F.array_distinct(F.filter(F.split(F.translate("content", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
-    full = stage(met_sets.join(content, ["doc_id", "line"]).select("id", "chk", "at", words.alias("w")), "candidates", release=True)
-    p, q = threshold.numerator, threshold.denominator
+    low = F.translate("content", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    full = stage(met_sets.join(content, ["doc_id", "line"]).select("id", "chk", "at", low.alias("w")), "candidates", release=True)
     left = full.select(F.col("id").alias("a"), F.col("chk").alias("ca"), F.col("at").alias("pa"), F.col("w").alias("wa"))
     right = full.select(F.col("id").alias("b"), F.col("chk").alias("cb"), F.col("at").alias("pb"), F.col("w").alias("wb"))
-    both = pairs.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("wa", "wb"))
-    linked = stage(both.where(common * (p + q) >= p * (F.size("wa") + F.size("wb"))).select("a", "ca", "pa", "b", "cb", "pb").dropDuplicates(["a", "ca", "b", "cb"]), "set_links")
+    both = pairs.join(left, "a").join(right, "b").select("a", "ca", "pa", "b", "cb", "pb", "wa", "wb")
+    place = "struct<doc_id: long, line: int>"
+    same = both.mapInArrow(_verify(threshold), f"a long, ca long, pa {place}, b long, cb long, pb {place}")
+    linked = stage(same.dropDuplicates(["a", "ca", "b", "cb"]), "set_links", release=True)
     ends = linked.select(F.col("a").alias("id"), F.col("ca").alias("chk"), F.when(F.col("pb") < F.col("pa"), F.col("pb")).alias("before")).union(linked.select(F.col("b").alias("id"), F.col("cb").alias("chk"), F.when(F.col("pa") < F.col("pb"), F.col("pa")).alias("before")))
     per = ends.groupBy("id", "chk").agg(F.count("*").alias("n_links"), F.min("before").alias("before"))
     joined = sets.join(per.hint("shuffle_hash"), ["id", "chk"], "left")

@@ -12,6 +12,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import re
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,14 +49,14 @@ def dechunked(body: bytes) -> bytes:
         at += size + 2
 
 
-def record_id(page: int | None, segment: int = 1) -> str:
-    """A stable identifier; a null page has the identifier of no page."""
+def record_id(page: int | None, segment: int = 1, row: str = "0") -> str:
+    """An identifier of a page's row; a null page has the identifier of no page."""
     low = "none" if page is None else f"{page & (1 << 64) - 1:016x}"
-    return f"<urn:page:{low}:{segment}>"
+    return f"<urn:page:{low}:{row}:{segment}>"
 
 
 def page_of(identifier: str) -> int | None:
-    found = re.fullmatch(r"<urn:page:([0-9a-f]{16}):\d+>", identifier)
+    found = re.fullmatch(r"<urn:page:([0-9a-f]{16}):[0-9a-f]+:\d+>", identifier)
     if not found:
         return None
     n = int(found[1], 16)
@@ -71,12 +72,18 @@ def _uri(url: str | None) -> str | None:
     return None if url is None else re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
 
 
-def records(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, segment: int = SEGMENT):
-    """The records of one page, each without the blank lines that end it."""
+def records(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, sole: bool, segment: int = SEGMENT):
+    """The records of one page, each without the blank lines that end it.
+
+    Each row has identifiers of its own.  That of a row to which revisits refer
+    follows from page and digest if it is the `sole` row with both; if several
+    rows have both, revisits name page and digest, and no record.
+    """
     base = {"WARC-Target-URI": _uri(url), "WARC-Date": "1970-01-01T00:00:00Z", "WARC-Payload-Digest": f"sha256:{digest}", "WARC-Payload-Length": len(payload)}
-    mine = record_id(page)
+    row = digest if sole and not revisit else uuid.uuid4().hex
+    mine = record_id(page, row=row)
     if revisit:
-        yield _record({"WARC-Type": "revisit", "WARC-Record-ID": mine, **base, "WARC-Profile": PROFILE, "WARC-Refers-To": record_id(refers_to), "Content-Type": "application/http;msgtype=response"}, HTTP + b"\r\n")
+        yield _record({"WARC-Type": "revisit", "WARC-Record-ID": mine, **base, "WARC-Profile": PROFILE, "WARC-Refers-To": record_id(refers_to, row=digest) if sole else None, "WARC-Refers-To-Page": refers_to, "Content-Type": "application/http;msgtype=response"}, HTTP + b"\r\n")
         return
     block = HTTP + b"\r\n" + chunked(payload)
     kind = {"WARC-Type": "response", "WARC-Record-ID": mine, **base, "Content-Type": "application/http;msgtype=response"}
@@ -90,7 +97,7 @@ def records(page: int | None, url: str | None, payload: bytes, digest: str, refe
         if k == 1:
             yield _record(kind | {"WARC-Segment-Number": 1}, part)
         else:
-            yield _record({"WARC-Type": "continuation", "WARC-Record-ID": record_id(page, k), "WARC-Date": base["WARC-Date"], "WARC-Segment-Number": k, "WARC-Segment-Origin-ID": mine, "WARC-Segment-Total-Length": total}, part)
+            yield _record({"WARC-Type": "continuation", "WARC-Record-ID": record_id(page, k, row), "WARC-Date": base["WARC-Date"], "WARC-Segment-Number": k, "WARC-Segment-Origin-ID": mine, "WARC-Segment-Total-Length": total}, part)
 
 
 def parse(archive: bytes):
@@ -114,7 +121,7 @@ def parse(archive: bytes):
 
 
 def plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Pages with their digest, and the page that a revisit refers to.
+    """Pages with their digest, the page that a revisit refers to, and whether one row alone holds that page with this digest.
 
     The first page of a digest is found by partial sums before the shuffle, and
     only that small side is hashed; a digest shared by a third of all pages is
@@ -122,10 +129,12 @@ def plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     """
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col), F.lit("")), "utf-8").alias("payload"))
     base = base.withColumn("digest", F.sha2("payload", 256))
-    first = base.where(F.octet_length("payload") >= REVISIT_FROM).groupBy(F.col("digest").alias("of")).agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    each = base.where(F.octet_length("payload") >= REVISIT_FROM).groupBy(F.col("digest").alias("of"), "page_id").agg(F.count("*").alias("rows"))
+    first = each.groupBy("of").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "rows"))).alias("least"), F.sum("rows").alias("n"))
+    first = first.select("of", F.col("least.page_id").alias("first"), (F.col("least.rows") == 1).alias("sole"), "n")
     joined = base.join(first.where("n > 1").hint("shuffle_hash"), F.col("digest") == F.col("of"), "left")
     other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.octet_length("payload") >= REVISIT_FROM)
-    return joined.select("page_id", "url", "payload", "digest", F.when(other, F.col("first")).alias("refers_to"), other.alias("revisit"))
+    return joined.select("page_id", "url", "payload", "digest", F.when(other, F.col("first")).alias("refers_to"), other.alias("revisit"), F.coalesce("sole", F.lit(False)).alias("sole"))
 
 
 def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", segment: int = SEGMENT) -> str:
@@ -140,7 +149,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     def go(batches):
         for batch in batches:
             out, held = [], 0
-            for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to", "revisit")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to", "revisit", "sole")), strict=True):
                 for r in records(*row, segment=segment):
                     out.append(r)
                     held += len(r)
@@ -156,7 +165,7 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     return folder
 
 
-_PARSED = "origin string, number int, total long, type string, refers_to string, digest string, declared long, bytes long, block binary"
+_PARSED = "origin string, number int, total long, type string, refers_to long, digest string, declared long, bytes long, block binary"
 
 
 def _parsed(batches):
@@ -173,11 +182,11 @@ def _parsed(batches):
                         digest, size, block = hashlib.sha256(payload).hexdigest(), len(payload), None
                     else:
                         block = None
-                out.append((f.get("warc-segment-origin-id") or f["warc-record-id"], number, f.get("warc-segment-total-length"), kind, f.get("warc-refers-to"), digest, size, block))
+                out.append((f.get("warc-segment-origin-id") or f["warc-record-id"], number, f.get("warc-segment-total-length"), kind, f.get("warc-refers-to-page"), digest, size, block))
             origin, number, total, kind, refers, digest, size, block = zip(*out, strict=True) if out else [()] * 8
             integers = lambda x: pa.array([None if v is None else int(v) for v in x], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(origin, pa.string()), pa.array(number, pa.int32()), integers(total), pa.array(kind, pa.string()), pa.array(refers, pa.string()), pa.array(digest, pa.string()), integers(size), pa.array([len(b or b"") for b in block], pa.int64()), pa.array(block, pa.binary())],
+                [pa.array(origin, pa.string()), pa.array(number, pa.int32()), integers(total), pa.array(kind, pa.string()), integers(refers), pa.array(digest, pa.string()), integers(size), pa.array([len(b or b"") for b in block], pa.int64()), pa.array(block, pa.binary())],
                 ["origin", "number", "total", "type", "refers_to", "digest", "declared", "bytes", "block"],
             )
 
@@ -209,7 +218,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 if s["number"]:
                     s, payload, whole = reassemble(segments)
                     s |= {"declared": len(payload), "digest": hashlib.sha256(payload).hexdigest()}
-                out.append((page_of(origin), s["declared"], s["digest"], s["type"], page_of(s["refers_to"] or ""), len(segments), whole))
+                out.append((page_of(origin), s["declared"], s["digest"], s["type"], s["refers_to"], len(segments), whole))
             columns = zip(*out, strict=True) if out else [()] * 7
             types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "segments", "complete"])

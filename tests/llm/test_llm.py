@@ -1,5 +1,6 @@
 """The ten operators against brute force on small tables with nulls, ties, repeats, empties and clashing columns."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -94,6 +95,23 @@ def test_warc(spark, docs):
     assert warc.round_trip(pages.limit(0)).collect() == []
 
 
+def test_warc_repeated_long(spark):
+    a, b = "é" * 40_000, "b" * 50_000
+    rows = [(1, "u", a), (1, "u", a), (1, "u", b), (2, "u", a), (None, "u", "c" * 30_000), (None, "u", "c" * 30_000), (None, "v", "d" * 20_000), (3, "u", b + "e"), (4, "u", b + "e")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    folder = warc.write(pages)
+    got = warc.read(spark, folder).collect()
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = [(i, len(t.encode()), sha(t), "response", None) for i, _, t in rows if (i, t) not in [(2, a), (4, b + "e")]]
+    want += [(2, 80_000, sha(a), "revisit", 1), (4, 50_001, sha(b + "e"), "revisit", 3)]
+    assert sorted(map(str, want)) == sorted(str((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"])) for r in got)
+    assert all(r["complete"] and (r["segments"] > 1) == (r["record_type"] == "response") for r in got)
+    fields = [f for r in spark.read.format("binaryFile").load(folder).collect() for f, _ in warc.parse(gzip.decompress(r["content"]))]
+    ids = [f["warc-record-id"] for f in fields]
+    assert len(set(ids)) == len(ids)
+    assert [f["warc-refers-to"] in ids for f in fields if "warc-refers-to" in f] == [True]
+
+
 def test_warc_segments():
     assert warc.dechunked(b"4;x=y\r\nabcd\r\n0\r\nT: v\r\n\r\n") == b"abcd"
     with pytest.raises(ValueError):

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftstone.llm import language_id, line_dedup, packing, simhash, suffix_dedup
+from siftstone.llm import language_id, line_dedup, near_dedup, packing, suffix_dedup
 from siftstone.llm.common import stage
 from siftstone.llm.queries import TOKENIZERS
 from siftstone.session import ship, shipped_stage
@@ -34,9 +34,11 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents linked by near-equal fingerprints, that with the smallest id stays."""
-    found = simhash.classes(docs)
-    stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    """Of the documents linked by a similarity of their 5-word shingles of 0.8 or more, that with the smallest id stays."""
+    rows = stage(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*docs.columns).alias("row")), "rows")
+    found = near_dedup.classes(rows.select("_row", "row.text"), id_col="_row")
+    ids = rows.select("_row", "row.doc_id").join(found.select(F.col("doc_id").alias("_row"), "component_id").hint("shuffle_hash"), "_row")
+    stay = ids.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     return docs.join(stay.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
 
 
@@ -53,7 +55,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language_id", shipped_stage(known_language)),
     ("line_dedup", shipped_stage(fresh_lines)),
-    ("simhash_near_dedup", shipped_stage(one_of_each)),
+    ("near_dedup", shipped_stage(one_of_each)),
     ("suffix_array_dedup", shipped_stage(fresh_passages)),
     ("packing", shipped_stage(packed)),
 ]

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from siftstone.llm import bit_sliced, byte_bpe, components, language_id, line_dedup, packing, queries, simhash, substring_dedup, suffix_dedup, transport_stream, warc
+from siftstone.llm import bit_sliced, byte_bpe, components, language_id, line_dedup, near_dedup, packing, queries, simhash, substring_dedup, suffix_dedup, transport_stream, warc
 from siftstone.llm.common import merge_spans
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, tag string, row string, spans string, key string, kept string"
@@ -397,3 +397,48 @@ def test_pipeline(spark):
         if name != "packing":
             assert docs.columns == columns and docs.count() <= before.count()
     assert docs.count() > 0 and docs.where("length > 2048 or offset + length > 2048").count() == 0
+
+
+def near_by_force(rows):
+    """Rows that stay of (id, text): the first, by id with nulls last, of each component at a similarity of 0.8."""
+    low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    words = [re.findall(r"[^\x20\x09-\x0D]+", low(t)) for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()) for w in words]
+    part = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if part[i] != part[j] and 5 * len(a & b) >= 4 * len(a | b):
+                part = [part[j] if p == part[i] else p for p in part]
+    best = {}
+    for p, (i, _) in zip(part, rows, strict=True):
+        best.setdefault(p, []).append((i is None, i or 0))
+    return sorted((None if unknown else i for unknown, i in map(min, best.values())), key=str)
+
+
+def near_texts():
+    rnd = random.Random(9)
+    fresh = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    out = []
+    for n in (12, 40, 100, 300):
+        for _ in range(6):
+            base = fresh(n)
+            out.append(" ".join(base))
+            for changes in (1, 2, 3, 5, 8):
+                near = list(base)
+                for i in rnd.sample(range(n), min(changes, n // 10)):
+                    near[i] = fresh(1)[0]
+                out.append(" ".join(near))
+    return out
+
+
+def test_pipeline_near_copies(spark):
+    import corpus_pipeline
+
+    rows = list(enumerate(near_texts() + TEXTS))
+    got = corpus_pipeline.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    assert sorted((r["doc_id"] for r in got.collect()), key=str) == near_by_force(rows)
+
+
+def test_near_pairs():
+    h, t = near_dedup.shingles([b"A b c d e f", b"", b"a b", b"a B c d e", b"a b a b a b a"])
+    assert np.bincount(t, minlength=5).tolist() == [2, 0, 1, 1, 2] and h[t == 3][0] in h[t == 0]

@@ -34,12 +34,16 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents linked by a similarity of their 5-word shingles of 0.8 or more, that with the smallest id stays."""
+    """Of the documents linked by a similarity of their 5-word shingles of 0.8 or more, one row stays.
+
+    It is that with the smallest id, the first of its rows; one with a null id
+    stays only if no linked document has an id.
+    """
     rows = stage(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*docs.columns).alias("row")), "rows")
     found = near_dedup.classes(rows.select("_row", "row.text"), id_col="_row")
     ids = rows.select("_row", "row.doc_id").join(found.select(F.col("doc_id").alias("_row"), "component_id").hint("shuffle_hash"), "_row")
-    stay = ids.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    return docs.join(stay.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+    stay = ids.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id").alias("unknown"), "doc_id", "_row")).alias("least")).select("least._row")
+    return rows.join(stay.hint("shuffle_hash"), "_row", "left_semi").select("row.*")
 
 
 def fresh_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

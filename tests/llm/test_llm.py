@@ -442,3 +442,14 @@ def test_pipeline_near_copies(spark):
 def test_near_pairs():
     h, t = near_dedup.shingles([b"A b c d e f", b"", b"a b", b"a B c d e", b"a b a b a b a"])
     assert np.bincount(t, minlength=5).tolist() == [2, 0, 1, 1, 2] and h[t == 3][0] in h[t == 0]
+
+
+def test_pipeline_near_copies_ids(spark):
+    import corpus_pipeline
+
+    a, b, c, d = near_texts()[60:78:6] + ["only here " * 9]
+    rows = [(None, a), (None, b), (5, b), (5, b), (3, b + " tail"), (7, c), (7, "other words of the same id"), (None, d), (None, d), (8, None), (None, "")]
+    got = corpus_pipeline.one_of_each(spark, spark.createDataFrame([(x, t, "en") for x, t in rows], "doc_id long, text string, row string").repartition(3), "")
+    assert got.columns == ["doc_id", "text", "row"]
+    want = [(None, a), (3, b + " tail"), (7, c), (7, "other words of the same id"), (None, d), (8, None)]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)

@@ -186,18 +186,18 @@ def _emit(counters, threshold: Fraction, bits: int):
             for a, parts in _groups(batch):
                 x = Lines(parts, counters.value)
                 key, set_, n, h, place, sketch = x.keys(threshold)
-                keys.append((key, set_, (n.astype(np.uint64) << np.uint64(40)) | (h.astype(np.uint64) << np.uint64(20)) | place.astype(np.uint64), sketch))
+                keys.append((key, set_, np.stack((n, h, place)).astype(np.uint32), sketch))
                 have = np.flatnonzero(x.words)
                 lines.append((x.set[have], x.check[have], ids[a + x.text[have]].astype(np.int64), x.number[have].astype(np.int64)))
             out = []
-            key, set_, meta, sketch = (np.concatenate(c) for c in zip(*keys, strict=True))
+            key, set_, meta, sketch = (np.concatenate(c, axis=-1) for c in zip(*keys, strict=True))
             key >>= np.uint64(32 - bits)  # the bucket, and 32 bits more: a chance match costs a verification
             order = np.lexsort((set_, key))
-            key, set_, meta, sketch = key[order], set_[order], meta[order], sketch[order]
+            key, set_, meta, sketch = key[order], set_[order], meta[:, order], sketch[order]
             one = np.concatenate(([True], (key[1:] != key[:-1]) | (set_[1:] != set_[:-1]))) if len(key) else np.zeros(0, bool)
-            key, set_, meta, sketch = key[one], set_[one], meta[one], sketch[one]
+            key, set_, meta, sketch = key[one], set_[one], meta[:, one], sketch[one]
             for b, s in stretches((key >> np.uint64(32)).astype(np.int64)):
-                out.append((b, 0, (key[s] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), set_[s].tobytes(), sketch[s].tobytes(), meta[s].tobytes()))
+                out.append((b, 0, (key[s] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), set_[s].tobytes(), sketch[s].tobytes(), meta[:, s].tobytes()))
             set_, check, doc, number = (np.concatenate(c) for c in zip(*lines, strict=True))
             order = np.argsort(set_, kind="stable")
             set_, check, doc, number = set_[order], check[order], doc[order], number[order]
@@ -219,24 +219,23 @@ def _meet(batches):
         for part in parts:
             for kind, key, id_, check, meta in zip(*(part.column(c).to_pylist() for c in ("kind", "key", "id", "check", "meta")), strict=True):
                 if kind == 0:
-                    got.append((np.frombuffer(key, np.uint32), np.frombuffer(id_, np.uint64), np.frombuffer(meta, np.uint64), np.frombuffer(check, np.uint64)))
+                    got.append((np.frombuffer(key, np.uint32), np.frombuffer(id_, np.uint64), np.frombuffer(meta, np.uint32).reshape(3, -1), np.frombuffer(check, np.uint64)))
                 else:
                     doc, set_, check, number = np.frombuffer(key, np.int64), np.frombuffer(id_, np.int64), np.frombuffer(check, np.int64), np.frombuffer(meta, np.int64)
                     n = len(doc)
                     yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), zero(n, np.int64), pa.array(set_), pa.array(check), *[zero(n, np.int32)] * 3, zero(n, np.int64), pa.array(doc), pa.array(number.astype(np.int32))], names)
         if not got:
             continue
-        key, set_, meta, sketch = (np.concatenate(c) for c in zip(*got, strict=True))
+        key, set_, meta, sketch = (np.concatenate(c, axis=-1) for c in zip(*got, strict=True))
         order = np.lexsort((set_, key))
-        key, set_, meta, sketch = key[order], set_[order], meta[order], sketch[order]
+        key, set_, meta, sketch = key[order], set_[order], meta[:, order], sketch[order]
         one = np.concatenate(([True], (key[1:] != key[:-1]) | (set_[1:] != set_[:-1])))
-        key, set_, meta, sketch = key[one], set_[one], meta[one], sketch[one]
+        key, set_, meta, sketch = key[one], set_[one], meta[:, one], sketch[one]
         heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         many = np.repeat(np.diff(np.concatenate((heads, [len(key)]))), np.diff(np.concatenate((heads, [len(key)])))) > 1
-        key, set_, meta, sketch = key[many].astype(np.int64) | (bucket << 32), set_[many], meta[many], sketch[many]
+        key, set_, meta, sketch = key[many].astype(np.int64) | (bucket << 32), set_[many], meta[:, many].astype(np.int32), sketch[many]
         n = len(key)
-        field = lambda shift: pa.array(((meta >> np.uint64(shift)) & np.uint64(0xFFFFF)).astype(np.int32))  # noqa: B023, E731
-        yield pa.RecordBatch.from_arrays([zero(n, np.int32), pa.array(key), pa.array(set_.view(np.int64)), zero(n, np.int64), field(40), field(20), field(0), pa.array(sketch.view(np.int64)), zero(n, np.int64), zero(n, np.int32)], names)
+        yield pa.RecordBatch.from_arrays([zero(n, np.int32), pa.array(key), pa.array(set_.view(np.int64)), zero(n, np.int64), *map(pa.array, meta), pa.array(sketch.view(np.int64)), zero(n, np.int64), zero(n, np.int32)], names)
 
 
 def candidates(keys: DataFrame, threshold: Fraction) -> DataFrame:
@@ -244,9 +243,9 @@ def candidates(keys: DataFrame, threshold: Fraction) -> DataFrame:
     p, q = threshold.numerator, threshold.denominator
     x, y = keys.alias("x"), keys.alias("y")
     c = F.col
-    rest = lambda t: c(f"{t}.words") - c(f"{t}.lonely") - c(f"{t}.place")
+    rest = lambda t: c(f"{t}.words").cast("long") - c(f"{t}.lonely") - c(f"{t}.place")
     most = F.least(c("x.place"), c("y.place")) + F.least(rest("x"), rest("y"))  # of words in common
-    words = c("x.words") + c("y.words")
+    words = c("x.words").cast("long") + c("y.words")
     differ = words - 2 * F.ceil(p * words / (p + q))  # words that one side lacks, at most
     near = (most * (p + q) >= p * words) & (F.bit_count(c("x.sketch").bitwiseXOR(c("y.sketch"))) <= differ)
     return x.join(y, (c("x.key") == c("y.key")) & (c("x.id") < c("y.id")) & near).select(c("x.id").alias("a"), c("y.id").alias("b")).distinct()

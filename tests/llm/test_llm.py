@@ -239,6 +239,13 @@ def test_line_dedup(docs, empty):
     assert cut.columns == docs.columns and cut.count() == docs.count() and line_dedup.remove(empty).collect() == []
 
 
+def test_line_of_many_words(spark):
+    words = [f"{i:x}" for i in range((1 << 20) + 1_000)]
+    rows = [(1, " ".join(words[:-2_000])), (2, " ".join(words))]
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_removed"], r["n_links"], r["class_id"]) for r in got) == [(1, 0, 1, 1), (2, 1, 1, 1)]
+
+
 def test_prefix_lengths():
     p = line_dedup.prefix_lengths(np.array([3, 4, 5, 40, 10]), np.array([0, 0, 0, 0, 3]), line_dedup.THRESHOLD)
     assert p.tolist() == [2, 3, 4, 18, 0]

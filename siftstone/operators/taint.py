@@ -95,6 +95,14 @@ def _arguments(tokens: list) -> list[list]:
     return out if out != [[]] else []
 
 
+def _rest(tokens: list, at: int, line: int) -> list:
+    """The tokens of a line from `at` on."""
+    end = at
+    while end < len(tokens) and tokens[end][3] == line:
+        end += 1
+    return tokens[at:end]
+
+
 def facts(text: str, ext: str, sources: set[str]):
     """(kind, fn, name) facts of each function.
 
@@ -111,6 +119,15 @@ def facts(text: str, ext: str, sources: set[str]):
         if "static" in quals:
             yield "static", fn, fn
         tainted = set(params)
+        # Of each line, the last token that ends a source, that has a name, and that has a tainted name.
+        source = {t[3]: i for i, t in enumerate(tokens) if _chain(tokens, i)[0] in sources}
+        last: dict[str, dict[int, int]] = {}
+        for i, t in enumerate(tokens):
+            last.setdefault(t[2], {})[t[3]] = i
+        far: dict[int, int] = {}
+        for p in tainted:
+            for n, k in last.get(p, {}).items():
+                far[n] = max(far.get(n, -1), k)
         for i, t in enumerate(tokens):
             if t[1] == "identifier" and i + 1 < len(tokens) and tokens[i + 1][2] == "(":
                 yield "call", fn, t[2]
@@ -119,12 +136,15 @@ def facts(text: str, ext: str, sources: set[str]):
                         yield "param_seed", t[2], str(n)
             if t[2] in params and i + 1 < len(tokens) and (tokens[i + 1][2] in ("[", "->") or i and tokens[i - 1][2] == "*"):
                 k = _closing(tokens, i + 1, "[", "]") + 1 if tokens[i + 1][2] == "[" else i + 3 if tokens[i + 1][2] == "->" else i + 1
-                right = [x for x in tokens[k + 1 : k + 200] if x[3] == t[3]]
-                if k < len(tokens) and tokens[k][2] == "=" and any(_chain(right, n)[0] in sources or x[2] in tainted - set(params) for n, x in enumerate(right) if x[1] == "identifier"):
+                right = _rest(tokens, k + 1, t[3]) if k < len(tokens) and tokens[k][2] == "=" else []
+                if any(_chain(right, n)[0] in sources or x[2] in tainted and x[2] not in params for n, x in enumerate(right) if x[1] == "identifier"):
                     yield "write_through", fn, str(params.index(t[2]))
-            line = [x for x in tokens[i + 1 : i + 200] if x[3] == t[3]]
-            if t[1] == "identifier" and i + 1 < len(tokens) and tokens[i + 1][2] in _ASSIGN and any(_chain(tokens, i + 1 + k)[0] in sources or x[2] in tainted for k, x in enumerate(line)):
+            assigned = t[1] == "identifier" and i + 1 < len(tokens) and tokens[i + 1][2] in _ASSIGN
+            line = _rest(tokens, i + 1, t[3]) if t[2] == "return" else []
+            if assigned and max(source.get(t[3], -1), far.get(t[3], -1)) > i and t[2] not in tainted:
                 tainted.add(t[2])
+                for n, k in last[t[2]].items():
+                    far[n] = max(far.get(n, -1), k)
             if t[2] == "return":
                 names = {x[2] for x in line if x[1] == "identifier"}
                 chains = {_chain(tokens, i + 1 + k)[0] for k, x in enumerate(line) if x[1] == "identifier"}

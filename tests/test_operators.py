@@ -172,6 +172,13 @@ def test_taint(spark):
     assert [(r["function"], r["taint_path"]) for r in hits] == [("go", ["mid()", "t"])]
 
 
+def test_facts_of_long_lines():
+    far = " + ".join(str(i) for i in range(300))
+    code = f"int own(void) {{ return {far} + getenv(); }}\nint call(void) {{ return {far} + own(); }}\nint same(int p) {{ return {far} + p; }}\nint held(void) {{ int x = {far} + getenv(); return x; }}\nvoid put(char *q) {{ *q = {far} + getenv(); }}\n"
+    found = set(taint.facts(code, "c", {"getenv"}))
+    assert {("source", "own", "own"), ("returns_call", "call", "own"), ("pass_through", "same", "same"), ("source", "held", "held"), ("write_through", "put", "0")} <= found
+
+
 def test_parameter_facts(spark):
     code = [("a.c", "c", 'static void put(char *d, int n) { d[0] = getenv("X"); }\nvoid go() { char *t = getenv("Y"); put(t, 3); run(1, t); }')]
     found = taint.all_facts(spark.createDataFrame(code, "path string, ext string, content string"), ["getenv"])

@@ -460,3 +460,35 @@ def test_pipeline_near_copies_ids(spark):
     assert got.columns == ["doc_id", "text", "row"]
     want = [(None, a), (3, b + " tail"), (7, c), (7, "other words of the same id"), (None, d), (8, None)]
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_pipeline_stages_by_force(spark):
+    import corpus_pipeline
+
+    step = dict(corpus_pipeline.STAGES)
+    rows = [(i, t, 0) for i, t in enumerate(TEXTS)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(3)
+    kept = lambda name: sorted(map(tuple, step[name](spark, docs, "").collect()))
+    gone, _ = lines_by_force([(i, t or "") for i, t, _ in rows])
+    lines = [(i, t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)) for i, t, _ in rows]
+    assert kept("line_dedup") == [(i, t, len(t or "")) for i, t in lines]
+    passages = []
+    for i, s, m in windows_by_force([(i, (t or "").encode()) for i, t, _ in rows], 50):
+        runs, at = [], 0
+        for k in range(1, len(s) + 1):
+            if k == len(s) or m[k] != m[at]:
+                runs += [s[at:k].decode("utf-8", "ignore")] if not m[at] else []
+                at = k
+        passages.append((i, None if rows[i][1] is None else "".join(runs)))
+    assert kept("suffix_array_dedup") == sorted((i, t, len(t or "")) for i, t in passages)
+
+
+def test_pipeline_known_language(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    letters = {r["doc_id"]: r["text"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
+    base = max(r["doc_id"] for r in docs.select("doc_id").collect())
+    bare = docs.limit(4).withColumn("doc_id", F.lit(base + 1) + F.monotonically_increasing_id()).withColumn("text", F.lit("123 456 --"))
+    got = corpus_pipeline.known_language(spark, docs.union(bare), "").collect()
+    assert len(got) == len(letters) and {r["doc_id"]: r["text"] for r in got} == letters

@@ -35,6 +35,8 @@ from siftstone.llm.windows import mix
 THRESHOLD = Fraction(4, 5)
 COUNTERS = 1 << 22  #: rarity counters, a byte each: all that is broadcast of the corpus
 SLICES = 64
+HEAVY = 1 << 18  #: lines of a key beyond which several tasks share it
+ROOM = 8 << 20  #: bytes of text of a group that one task compares
 FILTER = 1 << 23  #: bits of the filter that fetches candidate lines
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -79,7 +81,8 @@ class Lines:
         order = np.lexsort((hashes, count, line))
         hashes, line, count = hashes[order], line[order], count[order]
         new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1]))) if len(line) else np.zeros(0, bool)
-        self.hashes, self.line, self.once = hashes[new], line[new], count[new] == 1
+        self.hashes, self.line, self.rank = hashes[new], line[new], count[new]
+        self.once = self.rank == 1
         n = len(ends)
         self.words = np.bincount(self.line, minlength=n)
         self.lonely = np.bincount(self.line[self.once], minlength=n)
@@ -96,7 +99,7 @@ class Lines:
             self.sketch[have] = np.bitwise_or.reduceat(np.uint64(1) << (self.hashes & np.uint64(63)), at[:-1][have])
 
     def keys(self, threshold: Fraction):
-        """(key, set, words, lonely words, position, sketch) of the neighbours in every line's prefix."""
+        """(key, set, words, lonely words, position, sketch, lines at most) of the neighbours in every line's prefix."""
         prefix = prefix_lengths(self.words, self.lonely, threshold)
         at = ~self.once
         h, line = self.hashes[at], self.line[at]
@@ -105,7 +108,7 @@ class Lines:
         ok = np.flatnonzero((line[1:] == line[:-1]) & (place[:-1] + 2 <= prefix[line[:-1]])) if len(line) else np.zeros(0, np.int64)
         key = mix(h[ok] * np.uint64(0x9E3779B97F4A7C15) ^ mix(h[ok + 1]))
         of = line[ok]
-        return key, self.set[of], self.words[of], self.lonely[of], place[ok], self.sketch[of]
+        return key, self.set[of], self.words[of], self.lonely[of], place[ok], self.sketch[of], count_of(self.rank[at][ok])
 
 
 def prefix_lengths(words: np.ndarray, lonely: np.ndarray, threshold: Fraction) -> np.ndarray:
@@ -138,6 +141,12 @@ def rank_of(counts: np.ndarray) -> np.ndarray:
     return np.where(counts < 64, counts, np.minimum(wide, 255)).astype(np.uint8)
 
 
+def count_of(rank: np.ndarray) -> np.ndarray:
+    """The largest count of a rank, but for the last one, which has no bound."""
+    rank = rank.astype(np.float64)
+    return np.where(rank < 64, rank, 64 * np.exp2((rank - 63) / 8))
+
+
 def rarity(docs: DataFrame) -> np.ndarray:
     """Ranks of the counts of all words of all texts, by COUNTERS buckets of their hash.
 
@@ -172,12 +181,20 @@ def rarity(docs: DataFrame) -> np.ndarray:
     return out
 
 
-_KEYS = "bucket int, kind int, key binary, id binary, check binary, meta binary"
-_FOUND = "kind int, key long, id long, chk long, words int, lonely int, place int, sketch long, doc_id long, line int"
+_KEYS = "bucket int, kind int, a binary, b binary, c binary, d binary"
+_FOUND = "kind int, key long, id long, chk long, doc_id long, line int"
+_KEY, _LINE, _LATER, _HEAVY = range(4)
+_PLAIN = np.array([1 << 12, 1 << 10, 1 << 10])  # words, lonely words and position below these are packed in 32 bits
+_ANY = np.uint32(0xFFFFFFFF)  # the mark of a line with more of them, which the filters let pass
+
+
+def _packed(meta: np.ndarray) -> np.ndarray:
+    n, h, place = meta
+    return np.where((meta < _PLAIN[:, None]).all(axis=0), (n << 20) | (h << 10) | place, int(_ANY)).astype(np.uint32)
 
 
-def _emit(counters, threshold: Fraction, bits: int):
-    """Rows of two kinds: 0, prefix keys; 1, the lines themselves."""
+def _emit(counters, threshold: Fraction, bits: int, heavy: int):
+    """Rows of four kinds: prefix keys; first lines of each set in a batch; its later lines; keys that may stand in over `heavy` lines."""
 
     def go(batches):
         for batch in batches:
@@ -185,112 +202,251 @@ def _emit(counters, threshold: Fraction, bits: int):
             keys, lines = [], []
             for a, parts in _groups(batch):
                 x = Lines(parts, counters.value)
-                key, set_, n, h, place, sketch = x.keys(threshold)
-                keys.append((key, set_, np.stack((n, h, place)).astype(np.uint32), sketch))
+                key, set_, n, h, place, sketch, most = x.keys(threshold)
+                keys.append((key, set_, _packed(np.stack((n, h, place))), sketch, most))
                 have = np.flatnonzero(x.words)
                 lines.append((x.set[have], x.check[have], ids[a + x.text[have]].astype(np.int64), x.number[have].astype(np.int64)))
+            if not keys:
+                continue
             out = []
-            key, set_, meta, sketch = (np.concatenate(c, axis=-1) for c in zip(*keys, strict=True))
-            key >>= np.uint64(32 - bits)  # the bucket, and 32 bits more: a chance match costs a verification
+            key, set_, meta, sketch, most = map(np.concatenate, zip(*keys, strict=True))
             order = np.lexsort((set_, key))
-            key, set_, meta, sketch = key[order], set_[order], meta[:, order], sketch[order]
+            key, set_, meta, sketch, most = key[order], set_[order], meta[order], sketch[order], most[order]
             one = np.concatenate(([True], (key[1:] != key[:-1]) | (set_[1:] != set_[:-1]))) if len(key) else np.zeros(0, bool)
-            key, set_, meta, sketch = key[one], set_[one], meta[:, one], sketch[one]
+            key, set_, meta, sketch, most = key[one], set_[one], meta[one], sketch[one], most[one]
+            # A key of which no task may hold all rows is dealt by its sets too, over buckets of its own.
+            wide = most > heavy
+            salt = set_[wide] % np.ceil(most[wide] / heavy).astype(np.uint64)
+            spot = ((mix(key[wide] + salt * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)) + (1 << bits)
+            order = np.argsort(spot, kind="stable")
+            for b, s in stretches(spot[order]):
+                at = np.flatnonzero(wide)[order[s]]
+                out.append((b, _HEAVY, key[at].tobytes(), set_[at].tobytes(), b"", b""))
+            key, set_, meta, sketch = key[~wide], set_[~wide], meta[~wide], sketch[~wide]
+            key >>= np.uint64(32 - bits)  # the bucket, and 32 bits more: a chance match costs a verification
             for b, s in stretches((key >> np.uint64(32)).astype(np.int64)):
-                out.append((b, 0, (key[s] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), set_[s].tobytes(), sketch[s].tobytes(), meta[:, s].tobytes()))
-            set_, check, doc, number = (np.concatenate(c) for c in zip(*lines, strict=True))
-            order = np.argsort(set_, kind="stable")
-            set_, check, doc, number = set_[order], check[order], doc[order], number[order]
-            for b, s in stretches((set_ >> np.uint64(64 - bits)).astype(np.int64)):
-                out.append((b, 1, doc[s].tobytes(), set_[s].tobytes(), check[s].tobytes(), number[s].tobytes()))
+                out.append((b, _KEY, (key[s] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), set_[s].tobytes(), sketch[s].tobytes(), meta[s].tobytes()))
+            set_, check, doc, number = map(np.concatenate, zip(*lines, strict=True))
+            order = np.lexsort((number, doc, check, set_))
+            set_, check, doc, number = set_[order], check[order], doc[order], number[order].astype(np.uint32)
+            first = np.concatenate(([True], (set_[1:] != set_[:-1]) | (check[1:] != check[:-1]))) if len(set_) else np.zeros(0, bool)
+            for kind, which in ((_LINE, first), (_LATER, ~first)):
+                mine = [v[which] for v in (doc, set_, check, number)]
+                # A later line is known to go: it need not meet the set's other lines in one place.
+                spot = mine[1] if kind == _LINE else mix(mine[0].view(np.uint64))
+                order = np.argsort(spot, kind="stable") if kind == _LATER else np.arange(len(spot))
+                for b, s in stretches((spot[order] >> np.uint64(64 - bits)).astype(np.int64)):
+                    out.append((b, kind, *(v[order[s]].tobytes() for v in mine)))
             types = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
             for i in range(0, len(out), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out[i : i + 64], strict=True), types, strict=True)], ["bucket", "kind", "key", "id", "check", "meta"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out[i : i + 64], strict=True), types, strict=True)], ["bucket", "kind", "a", "b", "c", "d"])
 
     return go
 
 
-def _meet(batches):
-    """Keeps keys that several sets share (kind 0), and passes the lines (kind 1)."""
-    zero = lambda n, t: pa.array(np.zeros(n, t))
-    names = ["kind", "key", "id", "chk", "words", "lonely", "place", "sketch", "doc_id", "line"]
-    for bucket, parts in rows_by(batches, "bucket"):
-        got = []
-        for part in parts:
-            for kind, key, id_, check, meta in zip(*(part.column(c).to_pylist() for c in ("kind", "key", "id", "check", "meta")), strict=True):
-                if kind == 0:
-                    got.append((np.frombuffer(key, np.uint32), np.frombuffer(id_, np.uint64), np.frombuffer(meta, np.uint32).reshape(3, -1), np.frombuffer(check, np.uint64)))
-                else:
-                    doc, set_, check, number = np.frombuffer(key, np.int64), np.frombuffer(id_, np.int64), np.frombuffer(check, np.int64), np.frombuffer(meta, np.int64)
-                    n = len(doc)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), zero(n, np.int64), pa.array(set_), pa.array(check), *[zero(n, np.int32)] * 3, zero(n, np.int64), pa.array(doc), pa.array(number.astype(np.int32))], names)
-        if not got:
-            continue
-        key, set_, meta, sketch = (np.concatenate(c, axis=-1) for c in zip(*got, strict=True))
-        order = np.lexsort((set_, key))
-        key, set_, meta, sketch = key[order], set_[order], meta[:, order], sketch[order]
-        one = np.concatenate(([True], (key[1:] != key[:-1]) | (set_[1:] != set_[:-1])))
-        key, set_, meta, sketch = key[one], set_[one], meta[:, one], sketch[one]
-        heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        many = np.repeat(np.diff(np.concatenate((heads, [len(key)]))), np.diff(np.concatenate((heads, [len(key)])))) > 1
-        key, set_, meta, sketch = key[many].astype(np.int64) | (bucket << 32), set_[many], meta[:, many].astype(np.int32), sketch[many]
-        n = len(key)
-        yield pa.RecordBatch.from_arrays([zero(n, np.int32), pa.array(key), pa.array(set_.view(np.int64)), zero(n, np.int64), *map(pa.array, meta), pa.array(sketch.view(np.int64)), zero(n, np.int64), zero(n, np.int32)], names)
-
-
-def candidates(keys: DataFrame, threshold: Fraction) -> DataFrame:
-    """(a, b) of sets that share a key and pass the length, position and bitmap filters."""
+def _met(kind: int, key=None, id_=None, chk=None, doc=None, line=None) -> pa.RecordBatch:
+    n = len(id_)
+    zero = np.zeros(n, np.int64)
+    long = lambda v: pa.array(zero if v is None else np.ascontiguousarray(v).view(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), long(key), long(id_), long(chk), long(doc), pa.array((zero if line is None else line).astype(np.int32))], ["kind", "key", "id", "chk", "doc_id", "line"])
+
+
+def partnered(meta: np.ndarray, sketch: np.ndarray, threshold: Fraction, most: int = 4096) -> np.ndarray:
+    """Which sets of one key pass the length, position and bitmap filters with another one; all of them, if there are over `most`."""
+    m = len(meta)
+    if m > most:
+        return np.ones(m, bool)
     p, q = threshold.numerator, threshold.denominator
-    x, y = keys.alias("x"), keys.alias("y")
-    c = F.col
-    rest = lambda t: c(f"{t}.words").cast("long") - c(f"{t}.lonely") - c(f"{t}.place")
-    most = F.least(c("x.place"), c("y.place")) + F.least(rest("x"), rest("y"))  # of words in common
-    words = c("x.words").cast("long") + c("y.words")
-    differ = words - 2 * F.ceil(p * words / (p + q))  # words that one side lacks, at most
-    near = (most * (p + q) >= p * words) & (F.bit_count(c("x.sketch").bitwiseXOR(c("y.sketch"))) <= differ)
-    return x.join(y, (c("x.key") == c("y.key")) & (c("x.id") < c("y.id")) & near).select(c("x.id").alias("a"), c("y.id").alias("b")).distinct()
+    meta = meta.astype(np.int64)
+    n, place = meta >> 20, meta & 1023
+    rest = n - ((meta >> 10) & 1023) - place
+    free = meta == int(_ANY)
+    found = np.zeros(m, bool)
+    for a in range(0, m, 256):
+        todo = np.flatnonzero(~found)
+        b = min(a + 256, m)
+        words = n[todo, None] + n[a:b]
+        common = np.minimum(place[todo, None], place[a:b]) + np.minimum(rest[todo, None], rest[a:b])
+        ok = common * (p + q) >= p * words
+        ok &= np.bitwise_count(sketch[todo, None] ^ sketch[a:b]) <= words - 2 * -(-p * words // (p + q))
+        ok |= free[todo, None] | free[a:b]
+        ok[todo[:, None] == np.arange(a, b)] = False
+        found[todo] = ok.any(axis=1)
+    return found
+
+
+def _meet(threshold: Fraction):
+    """Groups of sets that may match (kind _KEY), the first line of each set (_LINE), and all later lines (_LATER).
+
+    A group's key is the hash of its members, so that keys which the same sets
+    share make one group.
+    """
+
+    def go(batches):
+        for bucket, parts in rows_by(batches, "bucket"):
+            got, lines = [], []
+            for part in parts:
+                for kind, a, b, c, d in zip(*(part.column(x) for x in ("kind", "a", "b", "c", "d")), strict=True):
+                    kind, a, b, c, d = kind.as_py(), a.as_buffer(), b.as_buffer(), c.as_buffer(), d.as_buffer()
+                    if kind == _KEY:
+                        got.append((np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint64), np.frombuffer(c, np.uint64), np.frombuffer(d, np.uint32)))
+                    elif kind == _HEAVY:
+                        yield _met(_KEY, np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64))
+                    else:
+                        mine = np.frombuffer(a, np.int64), np.frombuffer(b, np.uint64), np.frombuffer(c, np.uint64), np.frombuffer(d, np.uint32)
+                        if kind == _LINE:
+                            lines.append(mine)
+                        else:
+                            yield _met(_LATER, None, *mine[1:3], mine[0], mine[3])
+            if lines:
+                doc, set_, check, number = map(np.concatenate, zip(*lines, strict=True))
+                order = np.lexsort((number, doc, check, set_))
+                doc, set_, check, number = doc[order], set_[order], check[order], number[order]
+                first = np.concatenate(([True], (set_[1:] != set_[:-1]) | (check[1:] != check[:-1])))
+                for kind, which in ((_LINE, first), (_LATER, ~first)):
+                    yield _met(kind, None, set_[which], check[which], doc[which], number[which])
+            if not got:
+                continue
+            key, set_, sketch, meta = map(np.concatenate, zip(*got, strict=True))
+            del got, lines
+            order = np.lexsort((set_, key))
+            key, set_, sketch, meta = key[order], set_[order], sketch[order], meta[order]
+            one = np.concatenate(([True], (key[1:] != key[:-1]) | (set_[1:] != set_[:-1])))
+            key, set_, sketch, meta = key[one], set_[one], sketch[one], meta[one]
+            heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            ends = np.concatenate((heads[1:], [len(key)]))
+            names, ids, known = [], [], set()
+            for a, b in zip(heads[ends - heads > 1].tolist(), ends[ends - heads > 1].tolist(), strict=True):
+                members = set_[a:b][partnered(meta[a:b], sketch[a:b], threshold)]
+                name = xxhash.xxh3_64_intdigest(members.tobytes())
+                if len(members) and name not in known:
+                    known.add(name)
+                    names.append(np.full(len(members), name, np.uint64))
+                    ids.append(members)
+            if ids:
+                yield _met(_KEY, np.concatenate(names), np.concatenate(ids))
+
+    return go
 
 
 def _contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, line, content) of the lines in `wanted` and a few others: what passes a filter of FILTER bits."""
     spot = F.pmod(F.xxhash64("doc_id", "line"), F.lit(FILTER))
     bits = wanted.select((spot / 64).cast("long").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id, line), {FILTER}) % 64 as int))").alias("bit"))
-    words = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()  # FILTER / 64 rows at most
-    table = np.zeros(FILTER // 64, np.int64)
-    for r in words:
-        table[r["word"]] = r["bits"]
+    words = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # FILTER / 64 rows at most
+    blocks = docs.sparkSession.createDataFrame(words) if words.num_rows else docs.sparkSession.createDataFrame([], "word long, bits long")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
-    blocks = docs.sparkSession.createDataFrame([(i, int(v)) for i, v in enumerate(table) if v], "word long, bits long")
     hit = F.expr(f"(shiftright(bits, cast(pmod(xxhash64(doc_id, line), {FILTER}) % 64 as int)) & 1) = 1")
     kept = lines.withColumn("word", (spot / 64).cast("long")).join(F.broadcast(blocks), "word").where(hit)
     # A table, since the optimiser would move a join with `wanted` below the filter and shuffle all lines.
     return stage(kept.select("doc_id", "line", "content"), "lines_met", release=True)
 
 
-def _verify(threshold: Fraction):
-    """Keeps the pairs whose word sets reach the threshold; texts travel as they are, which packs well."""
+class _Lists:
+    """Lists of small integers, end to end; each begins with a 0 that nothing else is."""
+
+    def __init__(self, lists: list[list[int]]):
+        self.at = np.concatenate(([0], np.cumsum([len(x) + 1 for x in lists])))
+        self.flat = np.zeros(self.at[-1], np.int64)
+        for a, x in zip(self.at.tolist(), lists, strict=False):
+            self.flat[a + 1 : a + 1 + len(x)] = x
+        self.mark = np.zeros(int(self.flat.max(initial=0)) + 1, np.int32)
+
+    def common(self, mine: list[int], n: int) -> np.ndarray:
+        """How many of `mine` each of the first n lists holds."""
+        known = [x for x in mine if x < len(self.mark)]
+        self.mark[known] = 1
+        found = np.add.reduceat(self.mark[self.flat[: self.at[n]]], self.at[:n])
+        self.mark[known] = 0
+        return found
+
+
+def compare(key: int, side: list[int], keys: list[list[int]], words: list[bytes], threshold: Fraction) -> tuple[list[int], list[int]]:
+    """(links, earliest earlier match or -1) of each row of a group, whose rows are in order of place.
+
+    Rows of side 2 meet each other, rows of side 0 meet those of side 1.  A
+    pair counts in the least of the groups that it shares, and in no other.
+    """
     p, q = threshold.numerator, threshold.denominator
+    m = len(side)
+    links, first = [0] * m, [-1] * m
+    sets = [set(w.split()) for w in words]
+    smaller = [[k for k in mine if k < key] for mine in keys]
+    both = all(x == 2 for x in side)
+
+    def found(i: int, j: int) -> None:
+        links[i] += 1
+        links[j] += 1
+        later, earlier = max(i, j), min(i, j)
+        if first[later] < 0 or earlier < first[later]:
+            first[later] = earlier
+
+    refs = list(range(m)) if both else [i for i in range(m) if side[i] == 0]
+    if m <= 12:
+        below = [frozenset(x) for x in smaller]
+        for i in range(m) if both else (i for i in range(m) if side[i] == 1):
+            for j in refs[:i] if both else refs:
+                n = len(sets[i]) + len(sets[j])
+                if p * n <= (p + q) * min(len(sets[i]), len(sets[j])) and below[i].isdisjoint(below[j]) and len(sets[i] & sets[j]) * (p + q) >= p * n:
+                    found(i, j)
+        return links, first
+    number: dict = {}
+    numbered = [[number.setdefault(w, len(number) + 1) for w in x] for x in sets]
+    number = {}
+    below = [[number.setdefault(k, len(number) + 1) for k in x] for x in smaller]
+    held, kept = _Lists([numbered[j] for j in refs]), _Lists([below[j] for j in refs])
+    sizes = np.array([len(sets[j]) for j in refs], np.int64)
+    for i in range(m) if both else (i for i in range(m) if side[i] == 1):
+        n = i if both else len(refs)
+        if not n:
+            continue
+        ok = held.common(numbered[i], n) * (p + q) >= p * (sizes[:n] + len(sets[i]))
+        if below[i] and ok.any():
+            ok &= kept.common(below[i], n) == 0
+        for j in np.flatnonzero(ok).tolist():
+            found(i, refs[j])
+    return links, first
+
+
+def _verify(threshold: Fraction):
+    """Compares the sets of each group; one row for each set and group in which it has a link."""
 
     def go(batches):
+        group: list = []
         for batch in batches:
-            keep, last, mine = [], None, frozenset()
-            for wa, wb in zip(batch.column("wa").to_pylist(), batch.column("wb").to_pylist(), strict=True):
-                if wb is not last and wb != last:
-                    last, mine = wb, frozenset(wb.encode().split())
-                other = set(wa.encode().split())
-                n = len(other) + len(mine)
-                keep.append(len(mine.intersection(other)) * (p + q) >= p * n)
-            yield batch.drop_columns(["wa", "wb"]).filter(pa.array(keep, pa.bool_()))
+            out: list = []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("grp", "key", "side", "id", "chk", "doc_id", "line", "keys", "w")), strict=True):
+                if group and group[0][0] != row[0]:
+                    out += settled(group)
+                    group = []
+                group.append(row)
+            yield made(out)
+        if group:
+            yield made(settled(group))
+
+    def settled(group):
+        grp, key, side, id_, chk, doc, line, keys, w = zip(*group, strict=True)
+        links, first = compare(key[0], side, keys, [x.encode() for x in w], threshold)
+        return [(id_[i], chk[i], n, doc[f] if f >= 0 else None, line[f] if f >= 0 else None) for i, (n, f) in enumerate(zip(links, first, strict=True)) if n]
+
+    def made(out):
+        columns = zip(*out, strict=True) if out else [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["id", "chk", "n", "doc_id", "line"])
 
     return go
 
 
-def links(docs: DataFrame, threshold: Fraction = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(lines, sets): every line that has words, and every distinct set with its first line and its links.
+def links(docs: DataFrame, threshold: Fraction = THRESHOLD, heavy: int = HEAVY, room: int = ROOM) -> tuple[DataFrame, DataFrame]:
+    """(sets, later): each distinct set with its first line and its links, and every line that an equal one precedes.
 
-    lines: doc_id, line, id, chk.  sets: id, chk, doc_id and line of the first
-    line, n of lines, n_links, and `before`, the doc_id of the earliest line of
-    a linked set that precedes (null: none).
+    sets: id, chk, doc_id and line of the first line, n_links (distinct other
+    sets that match), and `before`, the place of the earliest matching line
+    that precedes it (null: none).  later: id, chk, doc_id, line.
+
+    No row stands for a pair: a set travels once to each group of candidates,
+    and one row for each set and group comes back.  Keys that may stand in more
+    than `heavy` lines are dealt over several tasks; groups of more than `room`
+    bytes are cut into parts, and each two parts meet in a task.
     """
     if not Fraction(2, 3) < threshold <= 1:
         raise ValueError("neighbours are complete keys for thresholds over 2/3 only")
@@ -298,38 +454,36 @@ def links(docs: DataFrame, threshold: Fraction = THRESHOLD) -> tuple[DataFrame,
     counters = spark.sparkContext.broadcast(rarity(docs))
     n = partitions(spark)
     bits = max(4, int(np.ceil(np.log2(4 * n))))
-    met = docs.where("doc_id is not null").mapInArrow(_emit(counters, threshold, bits), _KEYS).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _FOUND)
-    found = stage(met, "keys", release=True)
-    lines = found.where("kind = 1").select("doc_id", "line", "id", "chk")
-    sets = stage(lines.groupBy("id", "chk").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("n")), "sets")
-    pairs = stage(candidates(found.where("kind = 0"), threshold), "pairs", release=True)
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    met_sets = sets.join(ids.hint("shuffle_hash"), "id", "left_semi").select("id", "chk", "at", F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line"))
-    met_sets = stage(met_sets, "met_sets")
-    content = _contents(docs, met_sets.select("doc_id", "line"))
+    met = docs.where("doc_id is not null").mapInArrow(_emit(counters, threshold, bits, heavy), _KEYS).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(threshold), _FOUND)
+    found = stage(met, "found", release=True)
+    sets = found.where(F.col("kind") == _LINE).select("id", "chk", "doc_id", "line")
+    groups = found.where(F.col("kind") == _KEY).select("id", "key").distinct().groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    wanted = stage(sets.join(groups.hint("shuffle_hash"), "id"), "wanted")
     low = F.translate("content", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    full = stage(met_sets.join(content, ["doc_id", "line"]).select("id", "chk", "at", low.alias("w")), "candidates", release=True)
-    left = full.select(F.col("id").alias("a"), F.col("chk").alias("ca"), F.col("at").alias("pa"), F.col("w").alias("wa"))
-    right = full.select(F.col("id").alias("b"), F.col("chk").alias("cb"), F.col("at").alias("pb"), F.col("w").alias("wb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "ca", "pa", "b", "cb", "pb", "wa", "wb")
-    place = "struct<doc_id: long, line: int>"
-    same = both.mapInArrow(_verify(threshold), f"a long, ca long, pa {place}, b long, cb long, pb {place}")
-    linked = stage(same.dropDuplicates(["a", "ca", "b", "cb"]), "set_links", release=True)
-    ends = linked.select(F.col("a").alias("id"), F.col("ca").alias("chk"), F.when(F.col("pb") < F.col("pa"), F.col("pb")).alias("before")).union(linked.select(F.col("b").alias("id"), F.col("cb").alias("chk"), F.when(F.col("pa") < F.col("pb"), F.col("pa")).alias("before")))
-    per = ends.groupBy("id", "chk").agg(F.count("*").alias("n_links"), F.min("before").alias("before"))
+    full = stage(wanted.join(_contents(docs, wanted), ["doc_id", "line"]).select("id", "chk", "doc_id", "line", "keys", low.alias("w")), "candidates", release=True)
+    large = stage(full.select(F.explode("keys").alias("key"), F.octet_length("w").alias("n")).groupBy("key").agg((F.sum("n") / room).cast("long").alias("more")).where("more > 0"), "large_groups")
+    rows = full.select(F.explode("keys").alias("key"), "*")
+    if large.isEmpty():
+        dealt = rows.withColumns({"grp": F.col("key"), "side": F.lit(2)})
+    else:
+        parted = rows.join(large, "key", "left").withColumn("more", F.coalesce("more", F.lit(0))).withColumn("part", F.pmod(F.xxhash64("id", "chk"), F.col("more") + 1))
+        each = parted.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "more")))
+        grp = F.when(F.col("more") == 0, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
+        dealt = each.withColumns({"grp": grp, "side": F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1)})
+    dealt = dealt.select("grp", "key", "side", "id", "chk", "doc_id", "line", "keys", "w").repartition(n, "grp").sortWithinPartitions("grp", "doc_id", "line")
+    place = "id long, chk long, n long, doc_id long, line int"
+    per = stage(dealt.mapInArrow(_verify(threshold), place).groupBy("id", "chk").agg(F.sum("n").alias("n_links"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "line"))).alias("before")), "set_links", release=True)
     joined = sets.join(per.hint("shuffle_hash"), ["id", "chk"], "left")
-    return lines, joined.select("id", "chk", F.col("at.doc_id").alias("first_doc"), F.col("at.line").alias("first_line"), "n", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("before.doc_id").alias("before"))
-
-
-def verdicts(docs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """(doc_id, gone array<int>, n_links, class_id) for documents with a matched line."""
-    lines, sets = links(docs, threshold)
-    notable = sets.where("n > 1 or n_links > 0")
-    met = lines.join(notable.hint("shuffle_hash"), ["id", "chk"])
-    first = (F.col("doc_id") == F.col("first_doc")) & (F.col("line") == F.col("first_line"))
-    gone = ~first | F.col("before").isNotNull()
-    match = F.least("before", F.when(~first, F.col("first_doc")))
-    return met.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.when(gone, F.col("line")))).alias("gone"), F.sum("n_links").alias("n_links"), F.min(match).alias("match"))
+    return joined.withColumn("n_links", F.coalesce("n_links", F.lit(0))), found.where(F.col("kind") == _LATER).select("id", "chk", "doc_id", "line")
+
+
+def verdicts(docs: DataFrame, threshold: Fraction = THRESHOLD, heavy: int = HEAVY, room: int = ROOM) -> DataFrame:
+    """(doc_id, gone array<int>, n_links, match) for documents with a matched line."""
+    sets, later = links(docs, threshold, heavy, room)
+    first = sets.where("n_links > 0").select("doc_id", F.when(F.col("before").isNotNull(), F.col("line")).alias("line"), "n_links", F.col("before.doc_id").alias("match"))
+    of = sets.select("id", "chk", "n_links", F.coalesce("before.doc_id", "doc_id").alias("match"))
+    rest = later.join(of, ["id", "chk"]).select("doc_id", "line", "n_links", "match")
+    return first.unionByName(rest).groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("gone"), F.sum("n_links").alias("n_links"), F.min("match").alias("match"))
 
 
 def _kept(text: str, gone) -> str:

@@ -239,6 +239,28 @@ def test_line_dedup(docs, empty):
     assert cut.columns == docs.columns and cut.count() == docs.count() and line_dedup.remove(empty).collect() == []
 
 
+def test_line_dedup_of_hot_keys(docs):
+    known = docs.where("doc_id is not null")
+    plain = sorted(map(tuple, line_dedup.verdicts(known).collect()))
+    assert plain and plain == sorted(map(tuple, line_dedup.verdicts(known, heavy=2, room=150).collect()))
+
+
+def test_partnered():
+    rnd = random.Random(8)
+    meta = np.array([(n << 20) | (rnd.randrange(2) << 10) | rnd.randrange(n) for n in (rnd.randrange(3, 40) for _ in range(700))], np.uint32)
+    meta[3] = 0xFFFFFFFF
+    sketch = np.array([rnd.getrandbits(12) for _ in meta], np.uint64)
+    got = line_dedup.partnered(meta, sketch, line_dedup.THRESHOLD)
+    parts = [(m >> 20, m & 1023, (m >> 20) - (m >> 10 & 1023) - (m & 1023)) for m in meta.tolist()]
+
+    def near(i, j):
+        (n, a, b), (m, c, d) = parts[i], parts[j]
+        return 9 * (min(a, c) + min(b, d)) >= 4 * (n + m) and (int(sketch[i]) ^ int(sketch[j])).bit_count() <= n + m - 2 * -(-4 * (n + m) // 9)
+
+    assert got.tolist() == [any(i != j and (3 in (i, j) or near(i, j)) for j in range(len(parts))) for i in range(len(parts))]
+    assert line_dedup.partnered(meta, sketch, line_dedup.THRESHOLD, most=10).all()
+
+
 def test_line_of_many_words(spark):
     words = [f"{i:x}" for i in range((1 << 20) + 1_000)]
     rows = [(1, " ".join(words[:-2_000])), (2, " ".join(words))]

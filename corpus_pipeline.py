@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftstone.llm import language_id, line_dedup, near_dedup, packing, suffix_dedup
+from siftstone.llm import language_id, line_dedup, packing, simhash, suffix_dedup
 from siftstone.llm.common import stage
 from siftstone.llm.queries import TOKENIZERS
 from siftstone.session import ship, shipped_stage
@@ -40,7 +40,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stays only if no linked document has an id.
     """
     rows = stage(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*docs.columns).alias("row")), "rows")
-    found = near_dedup.classes(rows.select("_row", "row.text"), id_col="_row")
+    found = simhash.near_classes(rows.select("_row", "row.text"), id_col="_row")
     ids = rows.select("_row", "row.doc_id").join(found.select(F.col("doc_id").alias("_row"), "component_id").hint("shuffle_hash"), "_row")
     stay = ids.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id").alias("unknown"), "doc_id", "_row")).alias("least")).select("least._row")
     return rows.join(stay.hint("shuffle_hash"), "_row", "left_semi").select("row.*")
@@ -59,7 +59,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language_id", shipped_stage(known_language)),
     ("line_dedup", shipped_stage(fresh_lines)),
-    ("near_dedup", shipped_stage(one_of_each)),
+    ("simhash_near_dedup", shipped_stage(one_of_each)),
     ("suffix_array_dedup", shipped_stage(fresh_passages)),
     ("packing", shipped_stage(packed)),
 ]

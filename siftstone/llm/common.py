@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import itertools
+import re
 import tempfile
 import time
 import uuid
@@ -20,11 +21,13 @@ BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir, which every executor shares.
 
-    Only where that setting is missing (tests on one machine) is a local
-    folder used instead, and it becomes the setting.
+    Only where that setting is missing and all runs on one machine is a local
+    folder used instead, and it becomes the setting; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="siftstone-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/siftstone/{uuid.uuid4().hex}/{name}"

@@ -7,20 +7,23 @@ language is the label of most of its letters.
 
 Decoding is exact and vectorised: words are cut into blocks, the best path
 between every first and last state of a block is found for all blocks together,
-and blocks are then chained document by document.
+and blocks are then chained document by document.  The states of a block are
+the candidate languages of its words' scripts, so the trellis does not grow
+with the languages of other scripts.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from siftstone.llm.common import texts
 
 SAMPLE = 20_000  #: about as many labelled rows are read to fit the model, all if there are fewer
 BUCKETS = 1 << 15  #: hash buckets of trigrams, and as many of words
@@ -138,8 +141,36 @@ def count(w: Words) -> np.ndarray:
     ))
 
 
-def viterbi(score: np.ndarray, doc: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
-    """The best label of each word; `doc` (sorted) tells which words form one sequence."""
+def _paths(score: np.ndarray, penalty: float, first: np.ndarray | None = None):
+    """Best paths through blocks of words, score (block, step, state).
+
+    Without `first`: (block, first state, last state), the score of the best
+    path between them.  With it: (step, block, state), the state before each
+    state on the best path from the block's first state.
+    """
+    n, steps, k = score.shape
+    if first is None:
+        v = np.where(np.eye(k, dtype=bool), score[:, 0, :, None], np.float32(-1e30))
+    else:
+        v = np.where(np.arange(k) == first[:, None], score[:, 0], np.float32(-1e30))[:, None, :]
+        back = np.zeros((steps, n, k), np.uint16)
+    states = np.arange(k, dtype=np.uint16)
+    for t in range(1, steps):
+        top = v.argmax(axis=2)
+        leap = np.take_along_axis(v, top[:, :, None], 2) - np.float32(penalty)
+        stay = v >= leap
+        if first is not None:
+            back[t] = np.where(stay[:, 0], states, top.astype(np.uint16))
+        v = np.where(stay, v, leap) + score[:, t, None, :]
+    return v if first is None else back
+
+
+def viterbi(score: np.ndarray, doc: np.ndarray, penalty: float = PENALTY, candidate: np.ndarray | None = None, script: np.ndarray | None = None) -> np.ndarray:
+    """The best label of each word; `doc` (sorted) tells which words form one sequence.
+
+    A block of words is decoded among the candidate languages of its scripts
+    alone; `candidate` (script, language) and the words' `script` name them.
+    """
     n, k = score.shape
     if n == 0 or k <= 1:
         return np.zeros(n, np.int64)
@@ -150,52 +181,70 @@ def viterbi(score: np.ndarray, doc: np.ndarray, penalty: float = PENALTY) -> np.
     ordinal = np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     begin = heads[of] + ordinal * BLOCK
     length = np.minimum(sizes[of] - ordinal * BLOCK, BLOCK)
-    steps = int(length.max())
-    index = begin[:, None] + np.arange(steps)
-    inside = np.arange(steps) < length[:, None]
-    padded = np.where(inside[:, :, None], score[np.minimum(index, n - 1)], np.float32(0))
-    v = np.where(np.eye(k, dtype=bool), padded[:, 0, :, None], np.float32(-1e30))  # (block, first state, state)
-    back = np.empty((steps, len(of), k, k), np.uint8)
-    states = np.arange(k, dtype=np.uint8)
-    for t in range(1, steps):
-        top = v.argmax(axis=2)
-        leap = np.take_along_axis(v, top[:, :, None], 2) - np.float32(penalty)
-        stay = v >= leap
-        back[t] = np.where(stay, states, top[:, :, None].astype(np.uint8))
-        v = np.where(stay, v, leap) + padded[:, t, None, :]
+    # The scripts of each block, as bits; blocks of the same scripts have the same trellis.
+    scripts = np.bitwise_or.reduceat(np.uint64(1) << script.astype(np.uint64), begin) if candidate is not None else np.zeros(len(of), np.uint64)
+    trellises, which = np.unique(scripts, return_inverse=True)
+    states = [np.flatnonzero(candidate[[i for i in range(len(candidate)) if int(x) >> i & 1]].any(axis=0)) if candidate is not None else np.arange(k) for x in trellises]
+
+    def padded(mine: np.ndarray, own: np.ndarray) -> np.ndarray:
+        index = begin[mine][:, None] + np.arange(int(length[mine].max()))
+        inside = index < (begin + length)[mine][:, None]
+        return np.where(inside[:, :, None], score[np.minimum(index, n - 1)[:, :, None], own], np.float32(0))
+
+    def portions():
+        """(trellis, blocks) of a few blocks each: their paths take some 32 MB."""
+        for x, own in enumerate(states):
+            mine = np.flatnonzero(which == x)
+            each = max(1, (1 << 21) // max(len(own) ** 2, len(own) * BLOCK))
+            for a in range(0, len(mine), each):
+                yield x, mine[a : a + each]
+
+    path, place = [np.empty((int((which == x).sum()), len(own), len(own)), np.float32) for x, own in enumerate(states)], np.empty(len(of), np.int64)
+    for x in range(len(states)):
+        place[which == x] = np.arange(int((which == x).sum()))
+    for x, mine in portions():
+        path[x][place[mine]] = _paths(padded(mine, states[x]), penalty)
     # Chain the blocks of each document: all documents' first blocks, then their second ones, and so on.
-    enter = np.empty((len(of), k), np.uint8)  # state before, for each first state
-    begin_state = np.empty((len(of), k), np.uint8)  # first state, for each last state
-    reach = np.empty((len(of), k), np.float64)
-    order = np.argsort(ordinal, kind="stable")
-    for group in np.split(order, np.flatnonzero(np.diff(ordinal[order])) + 1):
+    enter = np.empty((len(of), k), np.uint16)  # state before, for each first state
+    begin_state = np.empty((len(of), k), np.uint16)  # first state, for each last state
+    reach = np.full((len(of), k), -np.inf)
+    order = np.lexsort((which, ordinal))
+    cut = np.flatnonzero(np.diff(ordinal[order]) | np.diff(which[order])) + 1
+    groups = np.split(order, cut)
+    for group in groups:
+        x = which[group[0]]
+        own = states[x]
         if ordinal[group[0]] == 0:
-            base = np.zeros((len(group), k))
+            base = np.zeros((len(group), len(own)))
         else:
             before = reach[group - 1]
             top = before.argmax(axis=1)
             leap = before[np.arange(len(group)), top][:, None] - penalty
-            stay = before >= leap
-            enter[group] = np.where(stay, states, top[:, None])
-            base = np.where(stay, before, leap)
-        total = base[:, :, None] + v[group]
-        begin_state[group] = total.argmax(axis=1)
-        reach[group] = total.max(axis=1)
+            stay = before[:, own] >= leap
+            enter[group[:, None], own] = np.where(stay, own, top[:, None])
+            base = np.where(stay, before[:, own], leap)
+        total = base[:, :, None] + path[x][place[group]]
+        begin_state[group[:, None], own] = own[total.argmax(axis=1)]
+        reach[group[:, None], own] = total.max(axis=1)
     last = np.empty(len(of), np.int64)
     final = np.concatenate((ordinal[1:] == 0, [True]))
-    for group in reversed(np.split(order, np.flatnonzero(np.diff(ordinal[order])) + 1)):
+    for group in reversed(groups):
         ends = final[group]
         last[group[ends]] = reach[group[ends]].argmax(axis=1)
         go_on = group[~ends]
         last[go_on] = enter[go_on + 1, begin_state[go_on + 1, last[go_on + 1]]]
-    rows = np.arange(len(of))
-    first = begin_state[rows, last]
-    state, label = last.copy(), np.empty((len(of), steps), np.int64)
-    for t in range(steps - 1, -1, -1):
-        label[:, t] = state
-        if t:
-            state = back[t, rows, first, state].astype(np.int64)
-    return label[inside]
+    first = begin_state[np.arange(len(of)), last]
+    out = np.empty(n, np.int64)
+    for x, mine in portions():
+        own = states[x]
+        back = _paths(padded(mine, own), penalty, np.searchsorted(own, first[mine]))
+        state, rows = np.searchsorted(own, last[mine]), np.arange(len(mine))
+        for t in range(len(back) - 1, -1, -1):
+            inside = t < length[mine]
+            out[(begin[mine] + t)[inside]] = own[state[inside]]
+            if t:
+                state = back[t, rows, state].astype(np.int64)
+    return out
 
 
 def _chunks(values: list[str], limit: int):
@@ -219,8 +268,8 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     n = rows.count()
-    if n > sample:
-        rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(sample / n * (1 << 20)))
+    if n > sample:  # a share of all 64-bit hashes, which does not round to none however many rows there are
+        rows = rows.where(F.xxhash64("id") < -(1 << 63) + (sample << 64) // n)
 
     def go(batches):
         total: dict[str, np.ndarray] = {}
@@ -252,7 +301,7 @@ def label(batch: list[str], model: Model, penalty: float = PENALTY):
     k = len(model.languages)
     for part in _chunks(batch, TOGETHER * 4):
         w = read_words(part)
-        path = viterbi(model.scores(w), w.doc, penalty) if k else np.zeros(len(w.start), np.int64)
+        path = viterbi(model.scores(w), w.doc, penalty, model.candidate, w.script) if k else np.zeros(len(w.start), np.int64)
         share = np.zeros((len(part), max(k, 1)))
         np.add.at(share, (w.doc, path), w.letters)
         total = share.sum(axis=1)
@@ -278,18 +327,20 @@ def predict(df: DataFrame, model: Model, text_col: str = "text", penalty: float
     to the language that sorts first.  Texts of any length are read whole.
     """
     model_ = df.sparkSession.sparkContext.broadcast(model)  # 2 * BUCKETS floats a language
-    base = df.select(F.struct(*df.columns).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    def go(batches):
+    @arrow_udf("struct<lang: string, score: double, spans: array<struct<lang: string, first: int, words: int>>>")
+    def found(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         spans = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("words", pa.int32())]))
-        for batch in batches:
-            lang, score, found = zip(*label(batch.column("text").to_pylist(), model_.value, penalty), strict=True) if batch.num_rows else ((), (), ())
-            found = [[{"lang": x, "first": a, "words": n} for x, a, n in s] for s in found]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(found, spans)], ["row", "lang_pred", "lang_score", "lang_spans"])
+        for batch in texts:
+            lang, score, mine = zip(*label(batch.to_pylist(), model_.value, penalty), strict=True) if len(batch) else ((), (), ())
+            mine = [[{"lang": x, "first": a, "words": n} for x, a, n in s] for s in mine]
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(mine, spans)], ["lang", "score", "spans"])
 
-    row = base.schema["row"].dataType.simpleString()
-    out = base.mapInArrow(go, f"row {row}, lang_pred string, lang_score double, lang_spans array<struct<lang: string, first: int, words: int>>")
-    return out.select(*[F.col("row")[c].alias(c) for c in df.columns if c not in ("lang_pred", "lang_score", "lang_spans")], "lang_pred", "lang_score", "lang_spans")
+    # Only the texts go to Python; the other columns stay where they are.
+    names = {"lang_pred": "lang", "lang_score": "score", "lang_spans": "spans"}
+    row, at = F.struct(*df.columns).alias("row"), F.coalesce(F.col(text_col), F.lit(""))
+    out = df.select(row, found.asNondeterministic()(at).alias("found"))  # else a filter on the result would label each text twice
+    return out.select(*[F.col("row")[c].alias(c) for c in df.columns if c not in names], *[F.col("found")[v].alias(k) for k, v in names.items()])
 
 
 def held_out(id_col: str = "doc_id"):
@@ -300,5 +351,7 @@ def held_out(id_col: str = "doc_id"):
 def keep_known(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """Rows of docs whose language is known; the others (no letters, or no language for half of them) go."""
     model = train(docs.where(~held_out()))
+    if not model.languages and not docs.isEmpty():
+        raise ValueError("no labelled document to learn a language from: every document would be rejected")
     found = predict(docs, model)
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= min_score)).select(*docs.columns)

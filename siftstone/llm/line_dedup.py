@@ -15,6 +15,9 @@ they shorten the prefix, and a line with too many of them has no partner.
 Length, position and bitmap filters cut the rest before the sets are compared.
 
 Equal sets are one node, so copies of a line cost nothing beyond themselves.
+The sets that share a key and pass the filters form a group; equal groups are
+one.  Each set travels once to each of its groups, is compared there, and gives
+one row: how many others it matches, and the earliest one before it.
 """
 
 from __future__ import annotations
@@ -342,6 +345,14 @@ def _contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return stage(kept.select("doc_id", "line", "content"), "lines_met", release=True)
 
 
+def _own(batches):
+    """The rows whose content has the words of their set: rows of one doc_id may hold several texts."""
+    for batch in batches:
+        x = Lines([w.encode() for w in batch.column("w").to_pylist()], np.zeros(COUNTERS, np.uint8))
+        own = (x.set.view(np.int64) == batch.column("id").to_numpy()) & (x.check.view(np.int64) == batch.column("chk").to_numpy()) if batch.num_rows else np.zeros(0, bool)
+        yield batch.filter(pa.array(own))
+
+
 class _Lists:
     """Lists of small integers, end to end; each begins with a 0 that nothing else is."""
 
@@ -365,45 +376,57 @@ def compare(key: int, side: list[int], keys: list[list[int]], words: list[bytes]
     """(links, earliest earlier match or -1) of each row of a group, whose rows are in order of place.
 
     Rows of side 2 meet each other, rows of side 0 meet those of side 1.  A
-    pair counts in the least of the groups that it shares, and in no other.
+    pair counts in the least of the groups that it shares, and in no other:
+    only pairs without a smaller group are compared.
     """
     p, q = threshold.numerator, threshold.denominator
     m = len(side)
     links, first = [0] * m, [-1] * m
-    sets = [set(w.split()) for w in words]
-    smaller = [[k for k in mine if k < key] for mine in keys]
-    both = all(x == 2 for x in side)
+    sets: dict[int, set] = {}
+
+    def of(i: int) -> set:
+        if i not in sets:
+            sets[i] = set(words[i].split())
+        return sets[i]
 
     def found(i: int, j: int) -> None:
         links[i] += 1
         links[j] += 1
-        later, earlier = max(i, j), min(i, j)
+        later, earlier = (i, j) if i > j else (j, i)
         if first[later] < 0 or earlier < first[later]:
             first[later] = earlier
 
+    def alike(i: int, j: int) -> bool:
+        a, b = of(i), of(j)
+        n = p * (len(a) + len(b))
+        return n <= (p + q) * min(len(a), len(b)) and len(a & b) * (p + q) >= n
+
+    both = all(x == 2 for x in side)
     refs = list(range(m)) if both else [i for i in range(m) if side[i] == 0]
+    asks = range(m) if both else [i for i in range(m) if side[i] == 1]
+    smaller = [mine[: mine.index(key)] if key in mine else [k for k in mine if k < key] for mine in keys]
     if m <= 12:
         below = [frozenset(x) for x in smaller]
-        for i in range(m) if both else (i for i in range(m) if side[i] == 1):
+        for i in asks:
             for j in refs[:i] if both else refs:
-                n = len(sets[i]) + len(sets[j])
-                if p * n <= (p + q) * min(len(sets[i]), len(sets[j])) and below[i].isdisjoint(below[j]) and len(sets[i] & sets[j]) * (p + q) >= p * n:
+                if below[i].isdisjoint(below[j]) and alike(i, j):
                     found(i, j)
         return links, first
     number: dict = {}
-    numbered = [[number.setdefault(w, len(number) + 1) for w in x] for x in sets]
-    number = {}
     below = [[number.setdefault(k, len(number) + 1) for k in x] for x in smaller]
-    held, kept = _Lists([numbered[j] for j in refs]), _Lists([below[j] for j in refs])
-    sizes = np.array([len(sets[j]) for j in refs], np.int64)
-    for i in range(m) if both else (i for i in range(m) if side[i] == 1):
+    kept, held = _Lists([below[j] for j in refs]), None
+    for i in asks:
         n = i if both else len(refs)
-        if not n:
-            continue
-        ok = held.common(numbered[i], n) * (p + q) >= p * (sizes[:n] + len(sets[i]))
-        if below[i] and ok.any():
-            ok &= kept.common(below[i], n) == 0
-        for j in np.flatnonzero(ok).tolist():
+        open_ = np.flatnonzero(kept.common(below[i], n) == 0) if n and below[i] else np.arange(n)
+        if held is None and len(open_) > 12:
+            of_word: dict = {}
+            numbered = [[of_word.setdefault(w, len(of_word) + 1) for w in of(j)] for j in range(m)]
+            held, sizes = _Lists([numbered[j] for j in refs]), np.array([len(of(j)) for j in refs], np.int64)
+        if len(open_) > 12:
+            near = open_[(held.common(numbered[i], n) * (p + q) >= p * (sizes[:n] + len(of(i))))[open_]].tolist()
+        else:
+            near = [j for j in open_.tolist() if alike(i, refs[j])]
+        for j in near:
             found(i, refs[j])
     return links, first
 
@@ -460,7 +483,8 @@ def links(docs: DataFrame, threshold: Fraction = THRESHOLD, heavy: int = HEAVY,
     groups = found.where(F.col("kind") == _KEY).select("id", "key").distinct().groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
     wanted = stage(sets.join(groups.hint("shuffle_hash"), "id"), "wanted")
     low = F.translate("content", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    full = stage(wanted.join(_contents(docs, wanted), ["doc_id", "line"]).select("id", "chk", "doc_id", "line", "keys", low.alias("w")), "candidates", release=True)
+    read = wanted.join(_contents(docs, wanted), ["doc_id", "line"]).select("id", "chk", "doc_id", "line", "keys", low.alias("w"))
+    full = stage(read.mapInArrow(_own, read.schema).dropDuplicates(["id", "chk"]), "candidates", release=True)
     large = stage(full.select(F.explode("keys").alias("key"), F.octet_length("w").alias("n")).groupBy("key").agg((F.sum("n") / room).cast("long").alias("more")).where("more > 0"), "large_groups")
     rows = full.select(F.explode("keys").alias("key"), "*")
     if large.isEmpty():
@@ -481,9 +505,10 @@ def verdicts(docs: DataFrame, threshold: Fraction = THRESHOLD, heavy: int = HEAV
     """(doc_id, gone array<int>, n_links, match) for documents with a matched line."""
     sets, later = links(docs, threshold, heavy, room)
     first = sets.where("n_links > 0").select("doc_id", F.when(F.col("before").isNotNull(), F.col("line")).alias("line"), "n_links", F.col("before.doc_id").alias("match"))
-    of = sets.select("id", "chk", "n_links", F.coalesce("before.doc_id", "doc_id").alias("match"))
-    rest = later.join(of, ["id", "chk"]).select("doc_id", "line", "n_links", "match")
-    return first.unionByName(rest).groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("gone"), F.sum("n_links").alias("n_links"), F.min("match").alias("match"))
+    of = sets.select("id", "chk", "n_links", F.coalesce("before.doc_id", "doc_id").alias("match"), F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line"))
+    again = (F.col("doc_id") == F.col("first_doc")) & (F.col("line") == F.col("first_line"))  # a repeated row's line is no later line
+    rest = later.join(of, ["id", "chk"]).where(~again).select("doc_id", "line", "n_links", "match")
+    return first.unionByName(rest).groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("gone"), F.sum("n_links").alias("n_links"), F.min("match").alias("match"))
 
 
 def _kept(text: str, gone) -> str:

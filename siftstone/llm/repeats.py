@@ -41,13 +41,32 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def symbols(data: np.ndarray, unit: str) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
-    """The symbol array of a text, and for words where each begins and ends."""
+def _stretches(data: np.ndarray, unit: str, size: int, limit: int = 1 << 18):
+    """(first symbol, symbols) of stretches that hold each window of a text once.
+
+    A long text is read in stretches, so that memory does not follow its length.
+    A run that a stretch ends is cut in two; its windows are then compared one
+    by one where the whole run's hash finds no equal.
+    """
     if unit == "byte":
-        return _BYTE[data], None, None
+        for a in range(0, max(len(data) - size + 1, 0), limit):
+            yield a, _BYTE[data[a : a + limit + size - 1]]
+        return
     start, stop = word_bounds(data)
-    h = Rolling(_BYTE[data]).of(start, stop)
-    return mix(h + (stop - start).astype(np.uint64)), start, stop
+    for a in range(0, max(len(start) - size + 1, 0), limit):
+        s, e = start[a : a + limit + size - 1], stop[a : a + limit + size - 1]
+        yield a, _hashed(data, s, e)
+
+
+def _hashed(data: np.ndarray, start: np.ndarray, stop: np.ndarray, limit: int = 1 << 20) -> np.ndarray:
+    """Hashes of words from all their bytes, a stretch of about `limit` bytes at a time."""
+    out, a = np.empty(len(start), np.uint64), 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(stop, start[a] + limit, "right")))
+        h = Rolling(_BYTE[data[start[a] : stop[b - 1]]]).of(start[a:b] - start[a], stop[a:b] - start[a])
+        out[a:b] = mix(h + (stop[a:b] - start[a:b]).astype(np.uint64))
+        a = b
+    return out
 
 
 _RUNS = "bucket int, kind int, ids binary, digit binary, body binary, at binary"
@@ -86,15 +105,13 @@ def _scan(unit: str, size: int, gram: int, bits: int):
         for i in range(len(ids)):
             if offsets[i + 1] - offsets[i] < size:
                 continue
-            v, _, _ = symbols(data[offsets[i] : offsets[i + 1]], unit)
-            if len(v) < size:
-                continue
-            rolling = Rolling(v)
-            low, high, anchor, h = runs(rolling, len(v), size, gram)
-            bodies.append(mix(rolling.of(low, high + size)) ^ mix((anchor - low + 1).astype(np.uint64)))
-            keys.append(h)
-            ats.append((low.astype(np.uint64) << np.uint64(32)) | np.uint64(int(tags[i]) << 8) | (high - low).astype(np.uint64))
-            rows.append(np.full(len(h), ids[i]))
+            for first, v in _stretches(data[offsets[i] : offsets[i + 1]], unit, size):
+                rolling = Rolling(v)
+                low, high, anchor, h = runs(rolling, len(v), size, gram)
+                bodies.append(mix(rolling.of(low, high + size)) ^ mix((anchor - low + 1).astype(np.uint64)))
+                keys.append(h)
+                ats.append(((low + first).astype(np.uint64) << np.uint64(32)) | np.uint64(int(tags[i]) << 8) | (high - low).astype(np.uint64))
+                rows.append(np.full(len(h), ids[i]))
         if not keys:
             return
         key, body, at, doc = map(np.concatenate, (keys, bodies, ats, rows))

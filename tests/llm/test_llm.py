@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from siftstone.llm import bit_sliced, byte_bpe, components, language_id, line_dedup, near_dedup, packing, queries, simhash, substring_dedup, suffix_dedup, transport_stream, warc
+from siftstone.llm import bit_sliced, byte_bpe, components, language_id, line_dedup, packing, queries, simhash, substring_dedup, suffix_dedup, transport_stream, warc
 from siftstone.llm.common import merge_spans
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, tag string, row string, spans string, key string, kept string"
@@ -469,7 +469,7 @@ def test_pipeline_near_copies(spark):
 
 
 def test_near_pairs():
-    h, t = near_dedup.shingles([b"A b c d e f", b"", b"a b", b"a B c d e", b"a b a b a b a"])
+    h, t = simhash.shingles([b"A b c d e f", b"", b"a b", b"a B c d e", b"a b a b a b a"])
     assert np.bincount(t, minlength=5).tolist() == [2, 0, 1, 1, 2] and h[t == 3][0] in h[t == 0]
 
 

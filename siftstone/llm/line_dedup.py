@@ -254,27 +254,37 @@ def _met(kind: int, key=None, id_=None, chk=None, doc=None, line=None) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), long(key), long(id_), long(chk), long(doc), pa.array((zero if line is None else line).astype(np.int32))], ["kind", "key", "id", "chk", "doc_id", "line"])
 
 
-def partnered(meta: np.ndarray, sketch: np.ndarray, threshold: Fraction, most: int = 4096) -> np.ndarray:
-    """Which sets of one key pass the length, position and bitmap filters with another one; all of them, if there are over `most`."""
-    m = len(meta)
-    if m > most:
-        return np.ones(m, bool)
+def _near(meta, sketch, i, j, threshold: Fraction) -> np.ndarray:
+    """Whether the sets i and j (index arrays) pass the length, position and bitmap filters."""
     p, q = threshold.numerator, threshold.denominator
-    meta = meta.astype(np.int64)
     n, place = meta >> 20, meta & 1023
     rest = n - ((meta >> 10) & 1023) - place
-    free = meta == int(_ANY)
-    found = np.zeros(m, bool)
-    for a in range(0, m, 256):
-        todo = np.flatnonzero(~found)
-        b = min(a + 256, m)
-        words = n[todo, None] + n[a:b]
-        common = np.minimum(place[todo, None], place[a:b]) + np.minimum(rest[todo, None], rest[a:b])
-        ok = common * (p + q) >= p * words
-        ok &= np.bitwise_count(sketch[todo, None] ^ sketch[a:b]) <= words - 2 * -(-p * words // (p + q))
-        ok |= free[todo, None] | free[a:b]
-        ok[todo[:, None] == np.arange(a, b)] = False
-        found[todo] = ok.any(axis=1)
+    words = n[i] + n[j]
+    common = np.minimum(place[i], place[j]) + np.minimum(rest[i], rest[j])
+    ok = (common * (p + q) >= p * words) & (np.bitwise_count(sketch[i] ^ sketch[j]) <= words - 2 * -(-p * words // (p + q)))
+    return ok | (meta[i] == int(_ANY)) | (meta[j] == int(_ANY))
+
+
+def partnered(heads: np.ndarray, meta: np.ndarray, sketch: np.ndarray, threshold: Fraction, small: int = 48, most: int = 4096) -> np.ndarray:
+    """Which sets pass the filters with another one of their key; all of a key with over `most` sets.
+
+    The sets of a key stand together and begin at `heads`.  Keys of at most
+    `small` sets are all compared at once, at one distance after another.
+    """
+    meta = meta.astype(np.int64)
+    ends = np.concatenate((heads[1:], [len(meta)]))
+    size = ends - heads
+    found = np.repeat(size > most, size)
+    each, left = np.repeat(size, size), np.repeat(ends, size) - np.arange(len(meta))
+    for d in range(1, min(small, int(size.max(initial=1)))):
+        i = np.flatnonzero((each <= small) & (left > d))
+        ok = _near(meta, sketch, i, i + d, threshold)
+        found[i[ok]] = found[i[ok] + d] = True
+    for a, b in zip(heads[(size > small) & (size <= most)].tolist(), ends[(size > small) & (size <= most)].tolist(), strict=True):
+        for x in range(a, b, 256):
+            todo, near = a + np.flatnonzero(~found[a:b]), np.arange(x, min(x + 256, b))
+            ok = _near(meta, sketch, todo[:, None], near, threshold) & (todo[:, None] != near)
+            found[todo] = ok.any(axis=1)
     return found
 
 
@@ -317,17 +327,17 @@ def _meet(threshold: Fraction):
             one = np.concatenate(([True], (key[1:] != key[:-1]) | (set_[1:] != set_[:-1])))
             key, set_, sketch, meta = key[one], set_[one], sketch[one], meta[one]
             heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            ends = np.concatenate((heads[1:], [len(key)]))
-            names, ids, known = [], [], set()
-            for a, b in zip(heads[ends - heads > 1].tolist(), ends[ends - heads > 1].tolist(), strict=True):
-                members = set_[a:b][partnered(meta[a:b], sketch[a:b], threshold)]
-                name = xxhash.xxh3_64_intdigest(members.tobytes())
-                if len(members) and name not in known:
-                    known.add(name)
-                    names.append(np.full(len(members), name, np.uint64))
-                    ids.append(members)
-            if ids:
-                yield _met(_KEY, np.concatenate(names), np.concatenate(ids))
+            group = np.repeat(np.arange(len(heads)), np.diff(np.concatenate((heads, [len(key)]))))
+            live = partnered(heads, meta, sketch, threshold)
+            if not live.any():
+                continue
+            members, group = set_[live], group[live]
+            heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+            sizes = np.diff(np.concatenate((heads, [len(group)])))
+            names = mix(np.add.reduceat(mix(members ^ np.uint64(0xA4093822299F31D0)), heads) + sizes.astype(np.uint64))
+            _, one = np.unique(names, return_index=True)
+            kept = np.repeat(np.isin(np.arange(len(heads)), one), sizes)
+            yield _met(_KEY, np.repeat(names, sizes)[kept], members[kept])
 
     return go
 
@@ -372,12 +382,12 @@ class _Lists:
         return found
 
 
-def compare(key: int, side: list[int], keys: list[list[int]], words: list[bytes], threshold: Fraction) -> tuple[list[int], list[int]]:
+def compare(side: list[int], smaller: list[list[int]], words: list[bytes], threshold: Fraction) -> tuple[list[int], list[int]]:
     """(links, earliest earlier match or -1) of each row of a group, whose rows are in order of place.
 
     Rows of side 2 meet each other, rows of side 0 meet those of side 1.  A
     pair counts in the least of the groups that it shares, and in no other:
-    only pairs without a smaller group are compared.
+    only pairs that share none of their `smaller` groups are compared.
     """
     p, q = threshold.numerator, threshold.denominator
     m = len(side)
@@ -404,7 +414,6 @@ def compare(key: int, side: list[int], keys: list[list[int]], words: list[bytes]
     both = all(x == 2 for x in side)
     refs = list(range(m)) if both else [i for i in range(m) if side[i] == 0]
     asks = range(m) if both else [i for i in range(m) if side[i] == 1]
-    smaller = [mine[: mine.index(key)] if key in mine else [k for k in mine if k < key] for mine in keys]
     if m <= 12:
         below = [frozenset(x) for x in smaller]
         for i in asks:
@@ -431,6 +440,72 @@ def compare(key: int, side: list[int], keys: list[list[int]], words: list[bytes]
     return links, first
 
 
+def _needed(most: int = 1 << 16):
+    """The rows (id, key) of sets that must be compared in a group: some other one of it shares no smaller group with them.
+
+    Rows come sorted by key.  Of a group of over `most` sets all are needed.
+    """
+
+    def needed(smaller: list) -> list[bool]:
+        m = len(smaller)
+        out = [False] * m
+        if m > 64:
+            number: dict = {}
+            below = [[number.setdefault(k, len(number) + 1) for k in x] for x in smaller]
+            lists = _Lists(below)
+            # Sets that share the most common smaller group are not apart: one of two that are lacks it.
+            lacks = np.ones(m, bool)
+            if number:
+                usual = np.bincount(lists.flat)[1:].argmax() + 1
+                lacks = np.add.reduceat((lists.flat == usual).astype(np.int32), lists.at[:-1]) == 0
+            for i in np.flatnonzero(lacks).tolist():
+                apart = np.flatnonzero(lists.common(below[i], m) == 0)
+                apart = apart[apart != i].tolist()
+                for j in apart:
+                    out[j] = True
+                out[i] |= bool(apart)
+            return out
+        sets = [frozenset(x) for x in smaller]
+        for i in range(m):
+            for j in range(m) if not out[i] else ():
+                if j != i and sets[i].isdisjoint(sets[j]):
+                    out[i] = out[j] = True
+                    break
+        return out
+
+    def go(batches):
+        key, ids, smaller, wide = None, [], [], False
+        for batch in batches:
+            done_id, done_key = [], []
+
+            def close():
+                if not wide and len(ids) > 1:
+                    mine = [i for i, x in zip(ids, needed(smaller), strict=True) if x]
+                    done_id.extend(mine)
+                    done_key.extend([key] * len(mine))
+
+            for k, i, s in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "smaller")), strict=True):
+                if k != key:
+                    close()
+                    key, ids, smaller, wide = k, [], [], False
+                if not wide:
+                    ids.append(i)
+                    smaller.append(s)
+                    if len(ids) > most:
+                        done_id.extend(ids)
+                        done_key.extend([key] * len(ids))
+                        ids, smaller, wide = [], [], True
+                else:
+                    done_id.append(i)
+                    done_key.append(key)
+            yield pa.RecordBatch.from_arrays([pa.array(done_id, pa.int64()), pa.array(done_key, pa.int64())], ["id", "key"])
+        if not wide and len(ids) > 1:
+            mine = [i for i, x in zip(ids, needed(smaller), strict=True) if x]
+            yield pa.RecordBatch.from_arrays([pa.array(mine, pa.int64()), pa.array([key] * len(mine), pa.int64())], ["id", "key"])
+
+    return go
+
+
 def _verify(threshold: Fraction):
     """Compares the sets of each group; one row for each set and group in which it has a link."""
 
@@ -438,7 +513,7 @@ def _verify(threshold: Fraction):
         group: list = []
         for batch in batches:
             out: list = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("grp", "key", "side", "id", "chk", "doc_id", "line", "keys", "w")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("grp", "side", "id", "chk", "doc_id", "line", "smaller", "w")), strict=True):
                 if group and group[0][0] != row[0]:
                     out += settled(group)
                     group = []
@@ -448,8 +523,8 @@ def _verify(threshold: Fraction):
             yield made(settled(group))
 
     def settled(group):
-        grp, key, side, id_, chk, doc, line, keys, w = zip(*group, strict=True)
-        links, first = compare(key[0], side, keys, [x.encode() for x in w], threshold)
+        _, side, id_, chk, doc, line, smaller, w = zip(*group, strict=True)
+        links, first = compare(side, smaller, [x.encode() for x in w], threshold)
         return [(id_[i], chk[i], n, doc[f] if f >= 0 else None, line[f] if f >= 0 else None) for i, (n, f) in enumerate(zip(links, first, strict=True)) if n]
 
     def made(out):
@@ -480,13 +555,15 @@ def links(docs: DataFrame, threshold: Fraction = THRESHOLD, heavy: int = HEAVY,
     met = docs.where("doc_id is not null").mapInArrow(_emit(counters, threshold, bits, heavy), _KEYS).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(threshold), _FOUND)
     found = stage(met, "found", release=True)
     sets = found.where(F.col("kind") == _LINE).select("id", "chk", "doc_id", "line")
-    groups = found.where(F.col("kind") == _KEY).select("id", "key").distinct().groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    wanted = stage(sets.join(groups.hint("shuffle_hash"), "id"), "wanted")
+    groups = stage(found.where(F.col("kind") == _KEY).groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys")), "groups")
+    placed = groups.select("id", F.posexplode("keys").alias("pos", "key"), "keys").select("id", "key", F.slice("keys", F.lit(1), F.col("pos")).alias("smaller"))
+    need = placed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_needed(), "id long, key long").groupBy("id").agg(F.collect_list("key").alias("need"))
+    wanted = stage(sets.join(groups.join(need.hint("shuffle_hash"), "id"), "id"), "wanted", release=True)
     low = F.translate("content", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    read = wanted.join(_contents(docs, wanted), ["doc_id", "line"]).select("id", "chk", "doc_id", "line", "keys", low.alias("w"))
+    read = wanted.join(_contents(docs, wanted), ["doc_id", "line"]).select("id", "chk", "doc_id", "line", "keys", "need", low.alias("w"))
     full = stage(read.mapInArrow(_own, read.schema).dropDuplicates(["id", "chk"]), "candidates", release=True)
-    large = stage(full.select(F.explode("keys").alias("key"), F.octet_length("w").alias("n")).groupBy("key").agg((F.sum("n") / room).cast("long").alias("more")).where("more > 0"), "large_groups")
-    rows = full.select(F.explode("keys").alias("key"), "*")
+    large = stage(full.select(F.explode("need").alias("key"), F.octet_length("w").alias("n")).groupBy("key").agg((F.sum("n") / room).cast("long").alias("more")).where("more > 0"), "large_groups")
+    rows = full.select(F.explode("need").alias("key"), "*").withColumn("smaller", F.filter("keys", lambda k: k < F.col("key"))).drop("keys", "need")
     if large.isEmpty():
         dealt = rows.withColumns({"grp": F.col("key"), "side": F.lit(2)})
     else:
@@ -494,7 +571,7 @@ def links(docs: DataFrame, threshold: Fraction = THRESHOLD, heavy: int = HEAVY,
         each = parted.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "more")))
         grp = F.when(F.col("more") == 0, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
         dealt = each.withColumns({"grp": grp, "side": F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1)})
-    dealt = dealt.select("grp", "key", "side", "id", "chk", "doc_id", "line", "keys", "w").repartition(n, "grp").sortWithinPartitions("grp", "doc_id", "line")
+    dealt = dealt.select("grp", "side", "id", "chk", "doc_id", "line", "smaller", "w").repartition(n, "grp").sortWithinPartitions("grp", "doc_id", "line")
     place = "id long, chk long, n long, doc_id long, line int"
     per = stage(dealt.mapInArrow(_verify(threshold), place).groupBy("id", "chk").agg(F.sum("n").alias("n_links"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "line"))).alias("before")), "set_links", release=True)
     joined = sets.join(per.hint("shuffle_hash"), ["id", "chk"], "left")

@@ -10,6 +10,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -247,18 +248,45 @@ def test_line_dedup_of_hot_keys(docs):
 
 def test_partnered():
     rnd = random.Random(8)
+    heads = np.array([0, 1, 3, 9, 40, 300])
     meta = np.array([(n << 20) | (rnd.randrange(2) << 10) | rnd.randrange(n) for n in (rnd.randrange(3, 40) for _ in range(700))], np.uint32)
-    meta[3] = 0xFFFFFFFF
+    meta[3] = meta[310] = 0xFFFFFFFF
     sketch = np.array([rnd.getrandbits(12) for _ in meta], np.uint64)
-    got = line_dedup.partnered(meta, sketch, line_dedup.THRESHOLD)
+    got = line_dedup.partnered(heads, meta, sketch, line_dedup.THRESHOLD)
     parts = [(m >> 20, m & 1023, (m >> 20) - (m >> 10 & 1023) - (m & 1023)) for m in meta.tolist()]
+    group = np.searchsorted(heads, np.arange(700), "right").tolist()
 
     def near(i, j):
         (n, a, b), (m, c, d) = parts[i], parts[j]
         return 9 * (min(a, c) + min(b, d)) >= 4 * (n + m) and (int(sketch[i]) ^ int(sketch[j])).bit_count() <= n + m - 2 * -(-4 * (n + m) // 9)
 
-    assert got.tolist() == [any(i != j and (3 in (i, j) or near(i, j)) for j in range(len(parts))) for i in range(len(parts))]
-    assert line_dedup.partnered(meta, sketch, line_dedup.THRESHOLD, most=10).all()
+    free = (3, 310)
+    assert got.tolist() == [any(i != j and group[i] == group[j] and (i in free or j in free or near(i, j)) for j in range(700)) for i in range(700)]
+    assert line_dedup.partnered(heads, meta, sketch, line_dedup.THRESHOLD, most=50).tolist()[300:] == [True] * 400
+
+
+def test_compare():
+    rnd = random.Random(1)
+    for m in (2, 5, 12, 13, 40, 70) * 8:
+        words = [" ".join(rnd.choice("abcdefghijklmno"[: rnd.choice([6, 15])]) for _ in range(rnd.randrange(1, 14))).encode() for _ in range(m)]
+        smaller = [sorted({rnd.randrange(9) for _ in range(rnd.randrange(4))}) for _ in range(m)]
+        side = [2] * m if rnd.random() < 0.5 else [rnd.randrange(2) for _ in range(m)]
+        links, first = [0] * m, [-1] * m
+        for i in range(m):
+            for j in range(i):
+                a, b = set(words[i].split()), set(words[j].split())
+                if (side[i] == 2 or side[i] != side[j]) and not set(smaller[i]) & set(smaller[j]) and 5 * len(a & b) >= 4 * len(a | b):
+                    links[i], links[j], first[i] = links[i] + 1, links[j] + 1, j if first[i] < 0 else first[i]
+        assert line_dedup.compare(side, smaller, words, line_dedup.THRESHOLD) == (links, first)
+
+
+def test_needed():
+    rnd = random.Random(3)
+    for m in (1, 2, 9, 64, 65, 130) * 4:
+        smaller = [sorted({rnd.choice([1, 1, 1, 2, 3, 4, 5]) for _ in range(rnd.choice([0, 1, 2, 3, 3, 3]))}) for _ in range(m)]
+        batch = pa.RecordBatch.from_arrays([pa.array([7] * m, pa.int64()), pa.array(range(m), pa.int64()), pa.array(smaller, pa.list_(pa.int64()))], ["key", "id", "smaller"])
+        got = sorted(i for b in line_dedup._needed()([batch.slice(0, m // 2), batch.slice(m // 2)]) for i in b.column("id").to_pylist())
+        assert got == [i for i in range(m) if any(j != i and not set(smaller[i]) & set(smaller[j]) for j in range(m))]
 
 
 def test_line_of_many_words(spark):

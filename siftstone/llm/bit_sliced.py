@@ -1,7 +1,7 @@
 """Exact top-k by inner product over a bit-sliced index.
 
-A block of vectors keeps, for each component, its quantised values as bit
-slices: one bitmap over the block's rows for every binary digit.  A query adds
+The index is a stored table of blocks.  A block of vectors keeps, for each
+component, its quantised values as bit slices: one bitmap over the block's rows for every binary digit.  A query adds
 the slices of all components, each weighted by the query's component, with
 bitmap full adders; the sum is again a set of slices.  Rows are selected from
 the most significant slice of the sum downward.  Quantisation moves a score by
@@ -16,17 +16,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import stage
+from siftstone.llm.common import partitions, stage
 
 K = 10
 SCALE = 1024
 BITS = 6  #: slices of a quantised component
 ROWS = 1 << 16  #: rows of a block at most
-QUERIES = 4_096  #: queries sent to the executors at a time
+QUERIES = 4_096  #: queries of a block of queries at most
 
 
 def quantise(vectors: np.ndarray, scale: int = SCALE) -> np.ndarray:
-    return np.floor(scale * vectors.astype(np.float64)).astype(np.int64)
+    """floor(scale * x) of each component; an error where that leaves 62 bits."""
+    levels = np.floor(scale * vectors.astype(np.float64))
+    if levels.size and np.abs(levels).max() >= 2.0**62:
+        raise OverflowError("a component's level does not fit 62 bits")
+    return levels.astype(np.int64)
 
 
 def _pack(bits: np.ndarray) -> np.ndarray:
@@ -35,20 +39,32 @@ def _pack(bits: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """The slices of up to ROWS vectors of one length."""
-
-    def __init__(self, ids: np.ndarray, values: np.ndarray, bits: int = BITS):
-        self.ids, self.values = ids, values
-        n, self.dims = values.shape
-        self.rows = n
-        self.base = values.min(axis=0)
-        width = int((values.max(axis=0) - self.base).max()).bit_length()
-        self.shift = max(0, width - bits)
-        self.bits = max(1, min(bits, width))
-        level = np.zeros((-(-n // 64) * 64, self.dims), np.int64)
-        level[:n] = (values - self.base) >> self.shift
-        self.slices = _pack(((level.T[:, None, :] >> np.arange(self.bits)[:, None]) & 1).astype(bool))
-        self.all = _pack(np.arange(len(level)) < n)
+    """Up to ROWS vectors of one length: their slices, and the values that resolve boundary rows."""
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray, slices: np.ndarray, shift: int):
+        self.ids, self.values, self.slices, self.shift = ids, values, slices, shift
+        self.rows, self.dims = values.shape
+        self.bits = slices.shape[1]
+        self.all = _pack(np.arange(64 * slices.shape[2]) < self.rows)
+        self.most = int(np.abs(values).max(initial=0))
+
+    @classmethod
+    def of(cls, ids: np.ndarray, values: np.ndarray, bits: int = BITS) -> Block:
+        """Slices the values: each component's distance from its least one, without the lowest digits beyond `bits`."""
+        n, dims = values.shape
+        base = values.min(axis=0)
+        width = int((values.max(axis=0) - base).max()).bit_length()
+        shift = max(0, width - bits)
+        level = np.zeros((-(-n // 64) * 64, dims), np.int64)
+        level[:n] = (values - base) >> shift
+        return cls(ids, values, _pack(((level.T[:, None, :] >> np.arange(max(1, min(bits, width)))[:, None]) & 1).astype(bool)), shift)
+
+    def row(self) -> tuple:
+        return self.dims, self.rows, self.shift, self.bits, self.ids.tobytes(), self.slices.tobytes(), self.values.tobytes()
+
+    @classmethod
+    def read(cls, dims: int, rows: int, shift: int, bits: int, ids: bytes, slices: bytes, values: bytes) -> Block:
+        return cls(np.frombuffer(ids, np.int64), np.frombuffer(values, np.int64).reshape(rows, dims), np.frombuffer(slices, np.uint64).reshape(dims, bits, -1), shift)
 
     def sums(self, query: np.ndarray) -> list[np.ndarray]:
         """Slices of the sum over components of |q| times the level (its complement where q < 0)."""
@@ -86,6 +102,8 @@ class Block:
 
     def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best rows, ties to the smaller id; rows of the query's own id are out."""
+        if self.most * int(np.abs(query).sum()) >= 1 << 63:
+            raise OverflowError("a score does not fit 64 bits")
         alive = self.all.copy()
         own = np.flatnonzero(self.ids == query_id)
         for r in own:
@@ -137,67 +155,80 @@ def _arrays(batch: pa.RecordBatch):
         yield ids[rows], flat[at[rows][:, None] + np.arange(length)]
 
 
-def index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """A stored table of blocks: (dims, ids, values), a row for up to ROWS vectors of one length."""
+_BLOCK = "dims int, rows int, shift int, bits int, ids binary, slices binary, levels binary"
+_NAMES = ["dims", "rows", "shift", "bits", "ids", "slices", "levels"]
+_TYPES = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+
+
+def _blocks(made, most: int, scale: int, names: list[str], types: tuple):
+    """An Arrow map that gathers vectors by length, and gives a row made(ids, levels) for up to `most` of them."""
 
     def go(batches):
         held: dict[int, list] = {}
 
         def flush(length: int):
             parts = held.pop(length)
-            ids, values = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            return pa.RecordBatch.from_arrays([pa.array([length], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], ["dims", "ids", "values"])
+            row = made(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names)
 
         for batch in batches:
             for ids, matrix in _arrays(batch):
-                length = matrix.shape[1]
-                held.setdefault(length, []).append((ids, quantise(matrix, scale)))
-                if sum(len(p[0]) for p in held[length]) + 10_000 > ROWS:
-                    yield flush(length)
+                levels, length = quantise(matrix, scale), matrix.shape[1]
+                for a in range(0, len(ids), most):
+                    part = ids[a : a + most], levels[a : a + most]
+                    if length in held and sum(len(p[0]) for p in held[length]) + len(part[0]) > most:
+                        yield flush(length)
+                    held.setdefault(length, []).append(part)
         for length in list(held):
             yield flush(length)
 
-    return stage(valid(df, id_col, vector_col).mapInArrow(go, "dims int, ids binary, values binary"), "bit_sliced_index")
+    return go
+
+
+def index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
+    """The stored index: a row for up to ROWS vectors of one length, with their slices."""
+    made = _blocks(lambda ids, levels: Block.of(ids, levels).row(), ROWS, scale, _NAMES, _TYPES)
+    return stage(valid(df, id_col, vector_col).mapInArrow(made, _BLOCK), "bit_sliced_index")
 
 
 def top_k(df: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows for each query.
 
-    `is_query` is a condition on the columns (id, v).  Queries go to the blocks
-    in sets of about QUERIES, so no broadcast grows with the table.  Vectors
-    that are null, empty, or hold a null or non-finite component take no part;
-    vectors of another length than the query's are no candidates of it; rows of
-    the query's own id are no candidates either.  Repeated query rows of one
-    id count once.  Fewer candidates than k: all.  An empty table: no rows.
+    `is_query` is a condition on the columns (id, v).  Queries are gathered in
+    blocks too; every block of the index is dealt to one of as many slots as
+    there are partitions, every block of queries to each of them, and one
+    equi-join on length and slot brings them together, so neither the driver
+    nor a broadcast holds what grows with the table.  Vectors that are null,
+    empty, or hold a null or non-finite component take no part; vectors of
+    another length than the query's are no candidates of it; rows of the
+    query's own id are no candidates either.  Of repeated query rows of one id
+    the least vector counts.  Fewer candidates than k: all.  An empty table: no
+    rows.  A component whose level leaves 62 bits, or a score that may leave 64
+    bits, is an error.
     """
-    spark = df.sparkSession
-    blocks = index(df, id_col, vector_col, scale)
-    asked = valid(df, id_col, vector_col).where(is_query)
-    sets = max(1, -(-asked.count() // QUERIES))
-    found = None
-    for s in range(sets):
-        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(sets)) == s) if sets > 1 else asked
-        queries = {(len(r["v"]), r["id"]): quantise(np.array(r["v"]), scale) for r in part.collect()}
-        sent = spark.sparkContext.broadcast(queries)
-        hits = blocks.mapInArrow(_searcher(sent, k), "query_id long, vec_id long, score long")
-        found = hits if found is None else found.union(hits)
+    n = partitions(df.sparkSession)
+    slots = F.sequence(F.lit(0), F.lit(n - 1))
+    blocks = index(df, id_col, vector_col, scale).withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int"))
+    asked = valid(df, id_col, vector_col).where(is_query).groupBy(F.size("v").alias("dims"), "id").agg(F.min("v").alias("v")).select("id", "v")
+    made = _blocks(lambda ids, levels: (levels.shape[1], ids.tobytes(), levels.tobytes()), QUERIES, scale, ["dims", "asked", "queries"], (pa.int32(), pa.binary(), pa.binary()))
+    queries = stage(asked.mapInArrow(made, "dims int, asked binary, queries binary"), "bit_sliced_queries").withColumn("slot", F.explode(slots))
+    met = blocks.join(queries.hint("shuffle_hash"), ["dims", "slot"]).select(*_NAMES, "asked", "queries")
+    found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _searcher(sent, k: int):
+def _search(k: int):
+    """The best rows of each block for each query that it meets."""
+
     def go(batches):
         for batch in batches:
-            for dims, ids, values in zip(*(batch.column(c).to_pylist() for c in ("dims", "ids", "values")), strict=True):
-                block = Block(np.frombuffer(ids, np.int64), np.frombuffer(values, np.int64).reshape(-1, dims))
-                asked, best, scores = [], [], []
-                for (length, query_id), query in sent.value.items():
-                    if length == dims:
-                        i, s = block.top(query_id, query, k)
-                        asked.append(np.full(len(i), query_id))
-                        best.append(i)
-                        scores.append(s)
-                if asked:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (asked, best, scores)], ["query_id", "vec_id", "score"])
+            for i in range(batch.num_rows):
+                row = [batch.column(c)[i] for c in range(batch.num_columns)]
+                block = Block.read(*(x.as_py() for x in row[:4]), *(x.as_buffer() for x in row[4:7]))
+                ids, queries = np.frombuffer(row[7].as_buffer(), np.int64), np.frombuffer(row[8].as_buffer(), np.int64).reshape(-1, block.dims)
+                best = [block.top(int(q), v, k) for q, v in zip(ids, queries, strict=True)]
+                asked = np.repeat(ids, [len(b[0]) for b in best])
+                yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(np.concatenate([b[0] for b in best])), pa.array(np.concatenate([b[1] for b in best]))], ["query_id", "vec_id", "score"])
 
     return go

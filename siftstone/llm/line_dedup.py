@@ -23,6 +23,7 @@ one row: how many others it matches, and the earliest one before it.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from fractions import Fraction
 
 import numpy as np
@@ -61,6 +62,17 @@ def word_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.nda
     return h
 
 
+def _by_line_and_rarity(hashes: np.ndarray, rank: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The order by line, rank and hash, from one sort of 64-bit keys where these tell the words apart."""
+    if len(line) and line[-1] < 1 << 20:
+        key = (line.astype(np.uint64) << np.uint64(44)) | (rank.astype(np.uint64) << np.uint64(36)) | (hashes >> np.uint64(28))
+        order = np.argsort(key)
+        key, sorted_ = key[order], hashes[order]
+        if not ((key[1:] == key[:-1]) & (sorted_[1:] != sorted_[:-1])).any():
+            return order
+    return np.lexsort((hashes, rank, line))
+
+
 class Lines:
     """The lines of a few texts: their distinct words, ordered by line and rarity."""
 
@@ -81,7 +93,7 @@ class Lines:
             self.hashes = hashes
             return
         count = counters[hashes >> np.uint64(64 - 22)]
-        order = np.lexsort((hashes, count, line))
+        order = _by_line_and_rarity(hashes, count, line)
         hashes, line, count = hashes[order], line[order], count[order]
         new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1]))) if len(line) else np.zeros(0, bool)
         self.hashes, self.line, self.rank = hashes[new], line[new], count[new]
@@ -213,7 +225,7 @@ def _emit(counters, threshold: Fraction, bits: int, heavy: int):
                 continue
             out = []
             key, set_, meta, sketch, most = map(np.concatenate, zip(*keys, strict=True))
-            order = np.lexsort((set_, key))
+            order = np.argsort(key)
             key, set_, meta, sketch, most = key[order], set_[order], meta[order], sketch[order], most[order]
             one = np.concatenate(([True], (key[1:] != key[:-1]) | (set_[1:] != set_[:-1]))) if len(key) else np.zeros(0, bool)
             key, set_, meta, sketch, most = key[one], set_[one], meta[one], sketch[one], most[one]
@@ -322,7 +334,7 @@ def _meet(threshold: Fraction):
                 continue
             key, set_, sketch, meta = map(np.concatenate, zip(*got, strict=True))
             del got, lines
-            order = np.lexsort((set_, key))
+            order = np.argsort((key.astype(np.uint64) << np.uint64(32)) | (set_ >> np.uint64(32)))
             key, set_, sketch, meta = key[order], set_[order], sketch[order], meta[order]
             one = np.concatenate(([True], (key[1:] != key[:-1]) | (set_[1:] != set_[:-1])))
             key, set_, sketch, meta = key[one], set_[one], sketch[one], meta[one]
@@ -356,11 +368,12 @@ def _contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _own(batches):
-    """The rows whose content has the words of their set: rows of one doc_id may hold several texts."""
+    """The rows whose content has the words of their set, packed: rows of one doc_id may hold several texts."""
     for batch in batches:
         x = Lines([w.encode() for w in batch.column("w").to_pylist()], np.zeros(COUNTERS, np.uint8))
         own = (x.set.view(np.int64) == batch.column("id").to_numpy()) & (x.check.view(np.int64) == batch.column("chk").to_numpy()) if batch.num_rows else np.zeros(0, bool)
-        yield batch.filter(pa.array(own))
+        packed = pa.array([zlib.compress(w.encode(), 1) if x else b"" for w, x in zip(batch.column("w").to_pylist(), own.tolist(), strict=True)], pa.binary())
+        yield batch.set_column(batch.schema.get_field_index("w"), "w", packed).filter(pa.array(own))
 
 
 class _Lists:
@@ -392,12 +405,13 @@ def compare(side: list[int], smaller: list[list[int]], words: list[bytes], thres
     p, q = threshold.numerator, threshold.denominator
     m = len(side)
     links, first = [0] * m, [-1] * m
-    sets: dict[int, set] = {}
+    sets: list[set | None] = [None] * m
 
     def of(i: int) -> set:
-        if i not in sets:
-            sets[i] = set(words[i].split())
-        return sets[i]
+        found = sets[i]
+        if found is None:
+            found = sets[i] = set(words[i].split())
+        return found
 
     def found(i: int, j: int) -> None:
         links[i] += 1
@@ -414,6 +428,8 @@ def compare(side: list[int], smaller: list[list[int]], words: list[bytes], thres
     both = all(x == 2 for x in side)
     refs = list(range(m)) if both else [i for i in range(m) if side[i] == 0]
     asks = range(m) if both else [i for i in range(m) if side[i] == 1]
+    if m == 1:
+        return links, first
     if m <= 12:
         below = [frozenset(x) for x in smaller]
         for i in asks:
@@ -523,8 +539,10 @@ def _verify(threshold: Fraction):
             yield made(settled(group))
 
     def settled(group):
+        if len(group) > 1:  # a repeated row has its set twice
+            group = list({(r[1], r[2], r[3]): r for r in reversed(group)}.values())[::-1]
         _, side, id_, chk, doc, line, smaller, w = zip(*group, strict=True)
-        links, first = compare(side, smaller, [x.encode() for x in w], threshold)
+        links, first = compare(side, smaller, [zlib.decompress(x) for x in w], threshold)
         return [(id_[i], chk[i], n, doc[f] if f >= 0 else None, line[f] if f >= 0 else None) for i, (n, f) in enumerate(zip(links, first, strict=True)) if n]
 
     def made(out):
@@ -561,7 +579,7 @@ def links(docs: DataFrame, threshold: Fraction = THRESHOLD, heavy: int = HEAVY,
     wanted = stage(sets.join(groups.join(need.hint("shuffle_hash"), "id"), "id"), "wanted", release=True)
     low = F.translate("content", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     read = wanted.join(_contents(docs, wanted), ["doc_id", "line"]).select("id", "chk", "doc_id", "line", "keys", "need", low.alias("w"))
-    full = stage(read.mapInArrow(_own, read.schema).dropDuplicates(["id", "chk"]), "candidates", release=True)
+    full = stage(read.mapInArrow(_own, "id long, chk long, doc_id long, line int, keys array<long>, need array<long>, w binary"), "candidates", release=True)
     large = stage(full.select(F.explode("need").alias("key"), F.octet_length("w").alias("n")).groupBy("key").agg((F.sum("n") / room).cast("long").alias("more")).where("more > 0"), "large_groups")
     rows = full.select(F.explode("need").alias("key"), "*").withColumn("smaller", F.filter("keys", lambda k: k < F.col("key"))).drop("keys", "need")
     if large.isEmpty():

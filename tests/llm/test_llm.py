@@ -415,11 +415,19 @@ def test_bit_sliced(spark):
     assert bit_sliced.top_k(df.limit(0), F.col("id") % 100 == 0).collect() == []
 
 
+def test_bit_sliced_range(spark):
+    with pytest.raises(OverflowError):
+        bit_sliced.quantise(np.array([[1e300]]))
+    block = bit_sliced.Block.of(np.arange(2), np.array([[1 << 50], [3]]))
+    with pytest.raises(OverflowError):
+        block.top(9, np.array([1 << 20]), 1)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_block(seed):
     rng = np.random.default_rng(seed)
     values = rng.integers(-900, 900, size=(int(rng.integers(1, 300)), 8))
-    block = bit_sliced.Block(np.arange(len(values)), values)
+    block = bit_sliced.Block.read(*bit_sliced.Block.of(np.arange(len(values)), values).row())
     query = rng.integers(-50, 50, 8)
     ids, scores = block.top(3, query, 5)
     s = values @ query
@@ -542,3 +550,82 @@ def test_pipeline_known_language(spark):
     bare = docs.limit(4).withColumn("doc_id", F.lit(base + 1) + F.monotonically_increasing_id()).withColumn("text", F.lit("123 456 --"))
     got = corpus_pipeline.known_language(spark, docs.union(bare), "").collect()
     assert len(got) == len(letters) and {r["doc_id"]: r["text"] for r in got} == letters
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_language_held_out(spark, sf):
+    """Accuracy on the fold that training never sees, and the fold itself."""
+    import zlib
+
+    known = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").collect()}
+    got = queries.op4_language_id(spark, f"/root/testdata/{sf}").collect()
+    assert len(got) == len(known) and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 for r in got)
+    tested = [r["lang_pred"] == known[r["doc_id"]] for r in got if r["held_out"] and known[r["doc_id"]] and r["lang_pred"] != "und"]
+    assert len(tested) > 20 and sum(tested) >= 0.98 * len(tested)
+
+
+def test_viterbi_of_scripts():
+    """Blocks decoded among the candidates of their scripts give the best path over all languages."""
+    rnd = np.random.default_rng(4)
+    candidate = np.zeros((4, 300), bool)
+    candidate[1, :3] = candidate[2, 2:260] = candidate[3, 299] = candidate[0] = True
+    script = np.repeat(rnd.integers(1, 4, 60), rnd.integers(1, 30, 60))
+    doc = np.sort(rnd.integers(0, 7, len(script)))
+    score = np.where(candidate[script], rnd.normal(0, 6, (len(script), 300)), -1e6).astype(np.float32)
+
+    def total(path, a, b):
+        return sum(float(score[i, path[i]]) for i in range(a, b)) - 8.0 * sum(path[i] != path[i - 1] for i in range(a + 1, b))
+
+    path = language_id.viterbi(score, doc, 8.0, candidate, script)
+    assert candidate[script, path].all()
+    for d in range(7):
+        a, b = np.searchsorted(doc, [d, d + 1])
+        if a == b:
+            continue
+        best = score[a].astype(float)
+        for i in range(a + 1, b):
+            best = np.maximum(best, best.max() - 8.0) + score[i]
+        assert abs(total(path, a, b) - best.max()) < 1e-2
+
+
+def test_sample_of_many_rows():
+    """The share of hashes that is read never rounds to none."""
+    for n in (20_001, 10**9, 10**12, 10**18):
+        share = (language_id.SAMPLE << 64) // n
+        assert share > 0 and -(1 << 63) + share < 1 << 63
+
+
+def test_stages_on_odd_rows(spark, docs, empty):
+    import corpus_pipeline
+
+    for name, step in corpus_pipeline.STAGES:
+        got = step(spark, docs, "")
+        if name == "packing":
+            assert got.where("doc_id is null").count() > 0 and step(spark, empty, "").collect() == []
+            continue
+        assert got.columns == docs.columns and step(spark, empty, "").collect() == []
+        rows = got.collect()
+        assert 0 < len(rows) <= docs.count() and all(r["tag"] in ("t", None) and r["key"] in ("k", None) for r in rows)
+        if name in ("line_dedup", "suffix_array_dedup"):
+            assert len(rows) == docs.count() and sum(r["text"] is None for r in rows) == 1
+
+
+def test_no_language_to_learn(spark, docs):
+    with pytest.raises(ValueError):
+        language_id.keep_known(docs.withColumn("lang", F.lit(None).cast("string")))
+
+
+def test_long_texts(spark):
+    """A text of more than one stretch, and one line that holds it all: equal to the same windows cut by force."""
+    rnd = random.Random(11)
+    long = " ".join(rnd.choice(["ab", "cde", "fghi", "jk"]) + str(rnd.randrange(10**6)) for _ in range(70_000))
+    rows = [(1, long), (2, long[300_000:420_000]), (3, "x" + long[100:200_000] + "y"), (4, "own words only")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in suffix_dedup.digest(suffix_dedup.dedup(df)).collect()}
+    assert [got[i]["n_removed"] for i in (1, 2, 3, 4)] == [0, 120_000, len(rows[2][1]) - 2, 0] and got[2]["n_spans"] == got[3]["n_spans"] == 1
+    words = {r["doc_id"]: r for r in substring_dedup.digest(substring_dedup.dedup(df)).collect()}
+    assert words[1]["n_removed"] == 0 and words[2]["n_words"] - words[2]["n_removed"] <= 2 and words[3]["n_words"] - words[3]["n_removed"] <= 2
+    lines = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup(df).collect()}
+    assert lines == {1: 0, 2: 0, 3: 0, 4: 0}
+    langs = language_id.train(spark.createDataFrame([(1, long, "en")], "doc_id long, text string, lang string"))
+    assert {r["lang_pred"] for r in language_id.predict(df, langs).collect()} == {"en"}

@@ -355,7 +355,7 @@ def _meet(threshold: Fraction):
 
 
 def _contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, line, content) of the lines in `wanted` and a few others: what passes a filter of FILTER bits."""
+    """(doc_id, line, id, chk, w) of the lines in `wanted` and a few others: what passes a filter of FILTER bits."""
     spot = F.pmod(F.xxhash64("doc_id", "line"), F.lit(FILTER))
     bits = wanted.select((spot / 64).cast("long").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id, line), {FILTER}) % 64 as int))").alias("bit"))
     words = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # FILTER / 64 rows at most
@@ -363,17 +363,17 @@ def _contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "content"))
     hit = F.expr(f"(shiftright(bits, cast(pmod(xxhash64(doc_id, line), {FILTER}) % 64 as int)) & 1) = 1")
     kept = lines.withColumn("word", (spot / 64).cast("long")).join(F.broadcast(blocks), "word").where(hit)
-    # A table, since the optimiser would move a join with `wanted` below the filter and shuffle all lines.
-    return stage(kept.select("doc_id", "line", "content"), "lines_met", release=True)
+    low = F.translate("content", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return kept.select("doc_id", "line", low.alias("content")).mapInArrow(_known, "doc_id long, line int, id long, chk long, w binary")
 
 
-def _own(batches):
-    """The rows whose content has the words of their set, packed: rows of one doc_id may hold several texts."""
+def _known(batches):
+    """(doc_id, line, id, chk, w): the set of each line and its text, packed before it is shuffled."""
     for batch in batches:
-        x = Lines([w.encode() for w in batch.column("w").to_pylist()], np.zeros(COUNTERS, np.uint8))
-        own = (x.set.view(np.int64) == batch.column("id").to_numpy()) & (x.check.view(np.int64) == batch.column("chk").to_numpy()) if batch.num_rows else np.zeros(0, bool)
-        packed = pa.array([zlib.compress(w.encode(), 1) if x else b"" for w, x in zip(batch.column("w").to_pylist(), own.tolist(), strict=True)], pa.binary())
-        yield batch.set_column(batch.schema.get_field_index("w"), "w", packed).filter(pa.array(own))
+        text = [w.encode() for w in batch.column("content").to_pylist()]
+        x = Lines(text, np.zeros(COUNTERS, np.uint8)) if text else None
+        sets = (x.set.view(np.int64), x.check.view(np.int64)) if text else (np.zeros(0, np.int64),) * 2
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("line"), *map(pa.array, sets), pa.array([zlib.compress(w, 1) for w in text], pa.binary())], ["doc_id", "line", "id", "chk", "w"])
 
 
 class _Lists:
@@ -577,10 +577,9 @@ def links(docs: DataFrame, threshold: Fraction = THRESHOLD, heavy: int = HEAVY,
     placed = groups.select("id", F.posexplode("keys").alias("pos", "key"), "keys").select("id", "key", F.slice("keys", F.lit(1), F.col("pos")).alias("smaller"))
     need = placed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_needed(), "id long, key long").groupBy("id").agg(F.collect_list("key").alias("need"))
     wanted = stage(sets.join(groups.join(need.hint("shuffle_hash"), "id"), "id"), "wanted", release=True)
-    low = F.translate("content", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    read = wanted.join(_contents(docs, wanted), ["doc_id", "line"]).select("id", "chk", "doc_id", "line", "keys", "need", low.alias("w"))
-    full = stage(read.mapInArrow(_own, "id long, chk long, doc_id long, line int, keys array<long>, need array<long>, w binary"), "candidates", release=True)
-    large = stage(full.select(F.explode("need").alias("key"), F.octet_length("w").alias("n")).groupBy("key").agg((F.sum("n") / room).cast("long").alias("more")).where("more > 0"), "large_groups")
+    # Rows of one doc_id may hold several texts: the line is that whose words are the set's.
+    full = stage(wanted.join(_contents(docs, wanted), ["doc_id", "line", "id", "chk"]), "candidates", release=True)
+    large = stage(full.select(F.explode("need").alias("key"), (2 * F.octet_length("w")).alias("n")).groupBy("key").agg((F.sum("n") / room).cast("long").alias("more")).where("more > 0"), "large_groups")
     rows = full.select(F.explode("need").alias("key"), "*").withColumn("smaller", F.filter("keys", lambda k: k < F.col("key"))).drop("keys", "need")
     if large.isEmpty():
         dealt = rows.withColumns({"grp": F.col("key"), "side": F.lit(2)})

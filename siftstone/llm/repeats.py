@@ -201,7 +201,9 @@ def repeated_spans(docs: DataFrame, unit: str, size: int, gram: int, closer) ->
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    bits = min(16, max(4, int(np.ceil(np.log2(4 * n)))))
+    bits = min(30, max(4, int(np.ceil(np.log2(4 * n)))))  # buckets grow with the partitions
+    if not 0 < gram <= size or size - gram > 255:
+        raise ValueError("a gram is no longer than a window, and shorter by 255 symbols at most")
     base = tagged(docs).where("doc_id is not null")
     found = base.mapInArrow(_scan(unit, size, gram, bits), _RUNS).repartition(n, "bucket").sortWithinPartitions("bucket")
     settled = stage(found.mapInArrow(_settle, _SETTLED), "settled", release=True)

@@ -24,6 +24,7 @@ from siftstone.llm.repeats import cut_rows, prepared, repeated_spans, union_of,
 
 SIZE = 50
 GRAM = 25
+PIECE = 4 << 20  #: bytes that are sorted together, and of one gram at a time
 
 
 def repeated(data: np.ndarray, start: np.ndarray, group: np.ndarray, doc: np.ndarray, size: int) -> np.ndarray:
@@ -54,15 +55,32 @@ def repeated(data: np.ndarray, start: np.ndarray, group: np.ndarray, doc: np.nda
     return live[doc[live] > least]
 
 
-def _closer(size: int):
+def _closer(size: int, limit: int = PIECE):
     def close(batches):
-        for table in _whole_groups(batches):
+        seen: np.ndarray | None = None  # distinct windows of the gram that the last piece left unfinished
+        seen_doc, seen_gram = np.zeros(0, np.int64), None
+        for table, goes_on in _pieces(batches, limit):
             data, offsets = buffers(table.column("content"))
             doc, gram = table.column("doc_id").to_numpy(), table.column("gram").to_numpy()
             n = np.diff(offsets) - size + 1
             run = np.repeat(np.arange(len(n)), n)
             within = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-            hit = np.sort(repeated(data, offsets[run] + within, gram[run], doc[run], size))
+            start, group, of = offsets[run] + within, gram[run], doc[run]
+            before = len(seen) if seen is not None and gram[0] == seen_gram else 0
+            if before:  # what the gram's earlier pieces held comes first
+                start = np.concatenate((np.arange(before) * size, start + before * size))
+                data = np.concatenate((seen.ravel(), data))
+                group, of = np.concatenate((np.full(before, gram[0]), group)), np.concatenate((seen_doc, of))
+            hit = np.sort(repeated(data, start, group, of, size))
+            if goes_on:
+                fresh = np.ones(len(start), bool)
+                fresh[hit] = False
+                windows = np.lib.stride_tricks.sliding_window_view(data, size)[start[fresh]]
+                _, first = np.unique(np.ascontiguousarray(windows).view(np.dtype((np.void, size)))[:, 0], return_index=True)
+                seen, seen_doc, seen_gram = windows[first], of[fresh][first], gram[-1]
+            else:
+                seen = None
+            hit = hit[hit >= before] - before
             if not len(hit):
                 continue
             first = np.concatenate(([True], (np.diff(hit) != 1) | (run[hit[1:]] != run[hit[:-1]])))
@@ -76,27 +94,39 @@ def _closer(size: int):
     return close
 
 
-def _whole_groups(batches, least: int = 1 << 22):
-    """Record batches that hold whole grams, cut where the gram changes."""
+def _pieces(batches, limit: int):
+    """(rows, whether their last gram goes on) of rows sorted by gram and document.
+
+    Rows are gathered up to about `limit` bytes and cut where a gram ends; a
+    gram of more bytes is given in pieces of its own.
+    """
     kept: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        gram = batch.column("gram").to_numpy()
-        cut = int(np.flatnonzero(gram != gram[-1])[-1]) + 1 if gram[0] != gram[-1] else 0
-        if kept and kept[-1].column("gram")[-1].as_py() != gram[-1] and not cut:
-            yield from _joined(kept)
-            kept = []
-        elif cut and sum(x.nbytes for x in kept) + batch.nbytes > least:
-            yield from _joined([*kept, batch.slice(0, cut)])
-            kept, batch = [], batch.slice(cut)
-        kept.append(batch)
-    yield from _joined(kept)
-
-
-def _joined(parts):
-    if parts:
-        yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
+    held = 0
+
+    def joined():
+        return pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+
+    for whole in batches:
+        at = 0
+        while at < whole.num_rows:
+            size = whole.column("content").slice(at).nbytes // max(whole.num_rows - at, 1) + 1
+            batch = whole.slice(at, max(1, (limit - held) // size))
+            at += batch.num_rows
+            kept.append(batch)
+            held += batch.column("content").nbytes
+            if held < limit:
+                continue
+            all_ = joined()
+            gram = all_.column("gram").to_numpy()
+            cut = int(np.searchsorted(gram, gram[-1]))
+            if cut:
+                yield all_.slice(0, cut), False
+                kept, held = [all_.slice(cut)], all_.slice(cut).column("content").nbytes
+            else:
+                yield all_, True
+                kept, held = [], 0
+    if kept:
+        yield joined(), False
 
 
 def dedup(df: DataFrame, size: int = SIZE, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -328,6 +328,20 @@ def test_suffix_dedup(docs, empty):
     assert cut.columns == docs.columns and cut.count() == docs.count() and cut.where("text is null").count() == 1
 
 
+def test_pieces_of_a_gram():
+    """A gram that comes in pieces gives the same spans as in one."""
+    rnd = random.Random(5)
+    base = bytes(rnd.choice(b"abcd") for _ in range(90))
+    rows = []
+    for d in range(60):
+        a = rnd.randrange(0, 30)
+        rows.append((d // 2, 0, 7 * d, rnd.choice([5, 5, 9]), base[a : a + rnd.randrange(50, 61)] if d % 3 else bytes(rnd.choice(b"abcd") for _ in range(55))))
+    rows.sort(key=lambda r: (r[3], r[0]))
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "tag", "low", "gram", "content"])
+    spans = lambda limit: sorted(tuple(r.values()) for b in suffix_dedup._closer(50, limit)([batch.slice(0, 25), batch.slice(25)]) for r in b.to_pylist())
+    assert spans(1 << 20) and spans(1 << 20) == spans(200) == spans(1) == spans(1500)
+
+
 def test_substring_dedup(docs, empty):
     known = docs.where("doc_id is not null")
     want = []

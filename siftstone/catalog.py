@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftstone import catalog_files, standins
 from siftstone.functions import scalars as S
-from siftstone.operators import bayes, diff, findings, graphs, lexing, packages, reviews, rules, taint
+from siftstone.operators import bayes, diff, findings, graphs, packages, reviews, rules
 from siftstone.plans import reports
+from siftstone.plans.loops import cut
 from siftstone.streaming import monitor
 
 FLAGSHIP = "nb_heatmap_topk"
@@ -71,7 +73,7 @@ def nb_token_counts(spark, d):
 
 def _scores(spark, d):
     labelled = _labelled(spark, d)
-    model = bayes.train(labelled)
+    model = cut(bayes.train(labelled), "model")  # used twice: to score, and to count its words
     lines = bayes.lines_of(_t(spark, d, "documents").select("doc_id", "text"), "text", "doc_id")
     return bayes.score(lines, model, bayes.totals(labelled, model), "doc_id", "line")
 
@@ -222,69 +224,81 @@ def range_enclosing(spark, d):
 
 # --- changes ----------------------------------------------------------------
 
-_FILES = [("a.py", None, "M"), ("new.py", None, "A"), ("moved.py", "old.py", "R"), ("gone.py", None, "D")]
-_HUNKS = [("a.py", 10, 13), ("moved.py", 40, 42)]
-_HEAD = [("z.py", 1, "f", "X"), ("new.py", 3, "g", "X"), ("a.py", 5, "h", "Y"), ("a.py", 11, "k", "Y"), ("moved.py", 7, "m", "Z"), ("a.py", 30, "n", "Y"), ("a.py", 12, "h", "W")]
-_BASE = [("z.py", 1, "f", "X"), ("a.py", 5, "h", "Y"), ("old.py", 7, "m", "Z"), ("gone.py", 2, "q", "V"), ("a.py", 25, "n", "Y"), ("a.py", 50, "r", "U")]
-
-
-@_query(f"""WITH files AS (SELECT * FROM {_sql_values(_FILES, 'path, old_path, kind')}), hunks AS (SELECT * FROM {_sql_values(_HUNKS, 'path, s, e')}),
-head AS (SELECT * FROM {_sql_values(_HEAD, 'path, line, function, category')}), base AS (SELECT * FROM {_sql_values(_BASE, 'path, line, function, category')}),
-c AS (SELECT h.*, CASE WHEN f.kind IS NULL THEN 'preExisting' WHEN f.kind = 'A' THEN 'introduced'
-  WHEN EXISTS (SELECT 1 FROM base b WHERE b.path = h.path AND b.line = h.line) THEN 'preExisting'
-  WHEN EXISTS (SELECT 1 FROM hunks r WHERE r.path = h.path AND h.line >= r.s AND h.line < r.e) THEN 'introduced'
-  WHEN f.kind = 'R' AND EXISTS (SELECT 1 FROM base b WHERE b.path = f.old_path AND b.line = h.line) THEN 'preExisting' ELSE 'contextual' END AS awareness
-  FROM head h LEFT JOIN files f USING (path))
-SELECT path, line, function, category, CASE WHEN awareness = 'introduced' AND EXISTS (SELECT 1 FROM base b WHERE b.path = c.path AND b.function = c.function) THEN 'contextual' ELSE awareness END AS awareness FROM c
-UNION ALL SELECT b.*, 'fixed' FROM base b WHERE b.path IN (SELECT path FROM files UNION ALL SELECT old_path FROM files WHERE old_path IS NOT NULL)
-  AND NOT EXISTS (SELECT 1 FROM head h WHERE h.path = b.path AND h.line = b.line) AND NOT EXISTS (SELECT 1 FROM head h WHERE h.path = b.path AND h.function = b.function AND h.category = b.category)""")
-def pr_classify(spark, d):
-    f = "path string, line int, function string, category string"
-    return diff.classify(_values(spark, _HEAD, f), _values(spark, _BASE, f), _values(spark, _FILES, "path string, old_path string, kind string"), _values(spark, _HUNKS, "path string, head_start int, head_end int"))
-
+_SCOPE = "'f' || l_suppkey || '.c' AS path, CAST(l_partkey % 150 AS INTEGER) AS line, 'fn' || (l_partkey % 11) AS function, l_returnflag AS category FROM lineitem"
+_CHANGES = f"""WITH files AS (SELECT 'f' || s_suppkey || '.c' AS path, CASE s_suppkey % 4 WHEN 3 THEN 'f' || (s_suppkey + 1) || '.c' END AS old_path, CASE s_suppkey % 4 WHEN 1 THEN 'A' WHEN 2 THEN 'M' ELSE 'R' END AS kind FROM supplier WHERE s_suppkey % 4 <> 0),
+hunks AS (SELECT 'f' || s_suppkey || '.c' AS path, CAST(s_suppkey * 7 % 100 AS INTEGER) AS s, CAST(s_suppkey * 7 % 100 + 20 AS INTEGER) AS e FROM supplier),
+head AS (SELECT {_SCOPE} WHERE l_linenumber % 2 = 0), base AS (SELECT {_SCOPE} WHERE l_linenumber % 3 = 0)"""
 
-_DIFF = "diff --git a/x.c b/x.c\n--- a/x.c\n+++ b/x.c\n@@ -12,0 +14,1 @@\n+added\n@@ -20,2 +23,0 @@ f()\n-one\n-two\ndiff --git a/y.c b/y.c\n--- a/y.c\n+++ /dev/null\n@@ -1,1 +0,0 @@\n-gone\n"
 
-
-@_query("SELECT * FROM (VALUES ('x.c', 14, 16, 12, 13), ('x.c', 23, 24, 20, 23)) AS v(path, head_start, head_end, base_start, base_end)")
-def hunk_ranges(spark, d):
-    return diff.hunks(_values(spark, [("d", _DIFF)], "diff string, content string")).drop("diff")
+@_query(f"""{_CHANGES}, same AS (SELECT DISTINCT path, line FROM base), old AS (SELECT DISTINCT path AS old_path, line FROM base), fns AS (SELECT DISTINCT path, function FROM base),
+c AS (SELECT h.*, CASE WHEN f.kind IS NULL THEN 'preExisting' WHEN f.kind = 'A' THEN 'introduced' WHEN a.line IS NOT NULL THEN 'preExisting'
+  WHEN h.line >= r.s AND h.line < r.e THEN 'introduced' WHEN f.kind = 'R' AND o.line IS NOT NULL THEN 'preExisting' ELSE 'contextual' END AS awareness
+  FROM head h LEFT JOIN files f USING (path) LEFT JOIN hunks r USING (path) LEFT JOIN same a ON a.path = h.path AND a.line = h.line LEFT JOIN old o ON o.old_path = f.old_path AND o.line = h.line)
+SELECT c.path, c.line, c.function, category, CASE WHEN awareness = 'introduced' AND k.path IS NOT NULL THEN 'contextual' ELSE awareness END AS awareness FROM c LEFT JOIN fns k ON k.path = c.path AND k.function = c.function
+UNION ALL SELECT DISTINCT b.*, 'fixed' FROM base b WHERE b.path IN (SELECT path FROM files UNION ALL SELECT old_path FROM files WHERE old_path IS NOT NULL)
+  AND (b.path, b.line) NOT IN (SELECT (path, line) FROM head) AND (b.path, b.function, b.category) NOT IN (SELECT (path, function, category) FROM head)""")
+def pr_classify(spark, d):
+    li, s, k = _t(spark, d, "lineitem"), _t(spark, d, "supplier"), F.col("s_suppkey")
+    name = lambda x: F.concat(F.lit("f"), x, F.lit(".c"))
+    scope = (name(F.col("l_suppkey")).alias("path"), (F.col("l_partkey") % 150).cast("int").alias("line"), F.concat(F.lit("fn"), F.col("l_partkey") % 11).alias("function"), F.col("l_returnflag").alias("category"))
+    files = s.where(k % 4 != 0).select(name(k).alias("path"), F.when(k % 4 == 3, name(k + 1)).alias("old_path"), F.when(k % 4 == 1, "A").when(k % 4 == 2, "M").otherwise("R").alias("kind"))
+    ranges = s.select(name(k).alias("path"), (k * 7 % 100).cast("int").alias("head_start"), (k * 7 % 100 + 20).cast("int").alias("head_end"))
+    # Two scans of one project, before and after: which rows each one reports is part of the stand-in.
+    return diff.classify(li.where("l_linenumber % 2 = 0").select(*scope), li.where("l_linenumber % 3 = 0").select(*scope), files, ranges)
 
 
-_VERSIONS = [("0.9", "0.10"), ("v0.13", "0.13.0"), ("0.14-beta", "0.1"), ("2.0.1", "2.0"), ("1", "1.0.0.1"), ("", "1")]
+_VERSIONS = """SELECT p_partkey AS k, p_size AS x1, CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE p_partkey % 10 END AS x2, p_size + p_partkey % 3 - 1 AS y1, p_partkey % 7 AS y2,
+ CASE p_partkey % 4 WHEN 0 THEN 'v' ELSE '' END || p_size || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE '.' || (p_partkey % 10) END || CASE WHEN p_partkey % 11 = 0 THEN '-beta' ELSE '' END AS a,
+ (p_size + p_partkey % 3 - 1) || '.' || (p_partkey % 7) || '.0' AS b FROM part"""
 
 
-@_query("SELECT * FROM (VALUES ('0.9', '0.10', -1), ('v0.13', '0.13.0', 0), ('0.14-beta', '0.1', -1), ('2.0.1', '2.0', 1), ('1', '1.0.0.1', -1), ('', '1', -1)) AS v(a, b, ord)")
+@_query(f"SELECT k, a, b, CASE WHEN k % 11 = 0 OR x1 < y1 OR (x1 = y1 AND x2 < y2) THEN -1 WHEN x1 = y1 AND x2 = y2 THEN 0 ELSE 1 END AS ord FROM ({_VERSIONS})")
 def version_order(spark, d):
-    return _values(spark, _VERSIONS, "a string, b string").select("a", "b", S.version_order(F.col("a"), F.col("b")).alias("ord"))
-
-
-_VECTORS = ["AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H", "AV:N/AC:L/PR:N/UI:N/S:U/C:L/I:N/A:N", "AV:N/AC:L/PR:L/UI:N/S:U/C:H/I:H/A:H", "AV:N/AC:H/PR:N/UI:N/S:U/C:H/I:H/A:H", "AV:N/AC:L/PR:N/UI:N/S:C/C:H/I:H/A:H", "AV:N/AC:L/PR:N/UI:N/S:U/C:N/I:N/A:N"]
-
-
-@_query("SELECT * FROM " + _sql_values(list(zip(_VECTORS, [9.8, 5.3, 8.8, 8.1, 10.0, 0.0], [9.8, 5.4, None, 7.0, 10.0, 3.9], strict=True)), "vector, score, compat"))
+    return standins.sql(spark, _VERSIONS, d, "part").select("k", "a", "b", S.version_order(F.col("a"), F.col("b")).alias("ord"))
+
+
+_VECTORS = """SELECT p_partkey AS k, 'AV:' || substr('NALP', CAST(p_partkey % 4 + 1 AS INT), 1) || '/AC:' || substr('LH', CAST(p_size % 2 + 1 AS INT), 1) || '/PR:' || substr('NLH', CAST(p_partkey % 3 + 1 AS INT), 1)
+ || '/UI:' || substr('NR', CAST(p_size % 3 % 2 + 1 AS INT), 1) || '/S:' || CASE WHEN p_partkey % 5 < 2 THEN 'C' ELSE 'U' END || '/C:' || substr('HLN', CAST(p_size % 5 % 3 + 1 AS INT), 1) || '/I:' || substr('NLH', CAST(p_partkey % 7 % 3 + 1 AS INT), 1)
+ || CASE WHEN p_partkey % 13 = 0 THEN '' ELSE '/A:' || substr('NLH', CAST(p_size % 7 % 3 + 1 AS INT), 1) END AS vector FROM part"""
+_METRIC = lambda name, table: f"CASE regexp_extract(vector, '{name}:([A-Z])', 1) {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN CAST({w} AS DOUBLE)' for k, w in table.items())} END"
+_IMPACT = {"N": 0.0, "L": 0.22, "H": 0.56}
+_CVSS = f"""WITH v AS ({_VECTORS}), m AS (SELECT *, vector LIKE '%S:C%' AS changed, {_METRIC('AV', {'N': 0.85, 'A': 0.62, 'L': 0.55, 'P': 0.2})} AS av, {_METRIC('/UI', {'N': 0.85, 'R': 0.62})} AS ui,
+ {_METRIC('AC', {'L': 0.77, 'H': 0.44})} AS ac, CASE WHEN vector LIKE '%S:C%' THEN {_METRIC('PR', {'N': 0.85, 'L': 0.68, 'H': 0.5})} ELSE {_METRIC('PR', {'N': 0.85, 'L': 0.62, 'H': 0.27})} END AS pr,
+ {_METRIC('AC', {'L': 0.77, 'H': 0.2})} AS ac2, {_METRIC('PR', {'N': 0.85})} AS pr2,
+ 1 - (1 - {_METRIC('/C', _IMPACT)}) * (1 - {_METRIC('/I', _IMPACT)}) * (1 - {_METRIC('/A', _IMPACT)}) AS iss FROM v),
+i AS (SELECT *, CASE WHEN changed THEN 7.52 * (iss - 0.029) - 3.25 * pow(iss - 0.02, 15) ELSE 6.42 * iss END AS impact, 8.22 * av * ac * pr * ui AS reach,
+ CASE WHEN changed THEN 7.52 * (iss - 0.029) - 3.25 * pow(iss * 0.9731 - 0.02, 13) ELSE 7.52 * (iss - 0.029) - 3.25 * pow(iss - 0.02, 13) END AS impact2, 8.22 * av * ac2 * pr2 * ui AS reach2 FROM m),
+t AS (SELECT *, CASE WHEN changed THEN least(1.08 * (reach + impact), 10) ELSE least(reach + impact, 10) END AS total, CASE WHEN changed THEN least(1.08 * (reach2 + impact2), 10) ELSE least(reach2 + impact2, 10) END AS total2 FROM i)
+SELECT k, vector, CAST(CASE WHEN iss IS NULL THEN NULL WHEN iss <= 0 OR impact <= 0 THEN 0 ELSE least(10.0, ceil(round(total * 10, 8)) / 10) END AS DOUBLE) AS score,
+ CAST(CASE WHEN iss IS NULL OR reach2 IS NULL THEN NULL WHEN iss <= 0 OR impact2 <= 0 THEN least(10.0, ceil(round(reach2 * 10, 8)) / 10) ELSE least(10.0, ceil(round(total2 * 10, 8)) / 10) END AS DOUBLE) AS compat FROM t"""
+
+
+@_query(_CVSS)
 def cvss_score(spark, d):
     v = F.col("vector")
-    return _values(spark, [(x,) for x in _VECTORS], "vector string").select("vector", S.cvss3_base(v).alias("score"), S.cvss3_base(v, compat=True).alias("compat"))
+    return standins.sql(spark, _VECTORS, d, "part").select("k", "vector", S.cvss3_base(v).alias("score"), S.cvss3_base(v, compat=True).alias("compat"))
 
 
 # --- graphs -----------------------------------------------------------------
 
-_EDGES = "SELECT DISTINCT 'p' || (l_partkey % 300) AS caller, 'p' || ((l_partkey * 7 + l_suppkey) % 300) AS callee FROM lineitem WHERE l_orderkey % 97 = 0"
+_EDGES = "SELECT DISTINCT 'p' || l_orderkey AS caller, 'p' || (l_orderkey // 3 + l_linenumber % 2) AS callee FROM lineitem"
 
 
 def _edges(spark, d):
-    """Sparse call edges: rows of one order in 97 stand for the calls there are (the tables' edges are dense)."""
-    li = _t(spark, d, "lineitem").where(F.col("l_orderkey") % 97 == 0)
-    return li.select(F.concat(F.lit("p"), F.col("l_partkey") % 300).alias("caller"), F.concat(F.lit("p"), (F.col("l_partkey") * 7 + F.col("l_suppkey")) % 300).alias("callee")).distinct()
+    """Call edges of all rows: an order calls one with a third of its key, or the next."""
+    o = F.col("l_orderkey")
+    callee = F.floor(o / 3) + F.col("l_linenumber") % 2
+    return _t(spark, d, "lineitem").select(F.concat(F.lit("p"), o).alias("caller"), F.concat(F.lit("p"), callee).alias("callee")).distinct()
 
 
 @_query(f"""WITH RECURSIVE e AS ({_EDGES}), c(root, node, depth) AS (SELECT 'p' || n_nationkey, 'p' || n_nationkey, 0 FROM nation
-  UNION SELECT c.root, e.caller, c.depth + 1 FROM c JOIN e ON e.callee = c.node WHERE c.depth < 4)
-SELECT root, node, CAST(min(depth) AS INTEGER) AS depth FROM c GROUP BY root, node""")
+  UNION SELECT c.root, e.caller, c.depth + 1 FROM c JOIN e ON e.callee = c.node WHERE c.depth < 12),
+n AS (SELECT root, node, min(depth) AS depth FROM c GROUP BY root, node), r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, node) AS r FROM n)
+SELECT root, node, CAST(depth AS INTEGER) AS depth FROM r WHERE r <= 80""")
 def reverse_closure(spark, d):
+    """The first 80 callers of each root, twelve calls away at most (both are limits of the feature)."""
     start = _t(spark, d, "nation").select(F.concat(F.lit("p"), F.col("n_nationkey")).alias("root"))
-    return graphs.closure(_edges(spark, d), start, depth=4, most=None)
+    return graphs.closure(_edges(spark, d), start)
 
 
 @_query(f"""WITH RECURSIVE e AS ({_EDGES}), t(name, round) AS (SELECT 'p' || n_nationkey, 0 FROM nation WHERE n_nationkey < 3
@@ -337,29 +351,21 @@ def dep_advisory_join(spark, d):
     return packages.package_findings(deps, a).select("ecosystem", "name", "version", "path", "line", "id", "severity")
 
 
-_REQ = "requests==2.31.0\nflask[async]==2.0.1 # c\nx>=1\n-r other\ny==1\n"
-
-
-@_query("SELECT * FROM (VALUES ('requirements.txt', 1, 'requests', '2.31.0'), ('requirements.txt', 2, 'flask', '2.0.1')) AS v(path, line, name, version)")
-def requirements_lines(spark, d):
-    lines = bayes.lines_of(_values(spark, [("requirements.txt", _REQ)], "path string, text string"), "text", "path")
-    return packages.requirements(lines)
-
-
-@_query("SELECT * FROM (VALUES ('npm', 'left-pad', '1.3.0', 'web/package-lock.json', 1), ('PyPI', 'requests', '2.31.0', 'requirements.txt', 1), ('PyPI', 'flask', '2.0.1', 'requirements.txt', 2)) AS v(ecosystem, name, version, path, line)")
-def dependency_scan(spark, d):
-    files = [("web/package-lock.json", '{"packages": {"": {}, "node_modules/left-pad": {"version": "1.3.0"}}}'), ("web/package.json", '{"dependencies": {"other": "9.9.9"}}'), ("requirements.txt", _REQ), ("node_modules/x/package-lock.json", "{}")]
-    return packages.dependencies(_values(spark, files, "path string, content string"))
-
-
 # --- text rules, hosts, reviews ----------------------------------------------
 
-_SECRETS = [("a.py", 1, "key = 'AKIA" + "A1" * 8 + "'"), ("a.py", 2, "url = postgres://u:p@h"), ("a.py", 3, 'pwd = "abcd1234!"'), ("a.py", 4, 'api_key = "changeme-now"'), ("a.py", 5, "version_2"), ("b.java", 6, "password = decryptedPassword;")]
+_SECRET_LINES = """SELECT p_partkey AS k, 'src/p' || p_partkey || '.py' AS path, CASE p_partkey % 11 WHEN 0 THEN 'key = ''AKIA' || lpad(CAST(p_partkey AS VARCHAR(20)), 16, 'Q') || chr(39)
+ WHEN 1 THEN 'url = postgres://u' || p_partkey || ':p@h' WHEN 2 THEN 'x = sk_live_' || lpad(CAST(p_partkey AS VARCHAR(20)), 10, '7') WHEN 3 THEN 'hook whsec_' || lpad(CAST(p_partkey AS VARCHAR(20)), 20, '7')
+ WHEN 4 THEN 'g = ghp_' || lpad(CAST(p_partkey AS VARCHAR(20)), 24, '7') WHEN 5 THEN 's = xoxb-' || lpad(CAST(p_partkey AS VARCHAR(20)), 12, '7') WHEN 6 THEN 'm = AIza' || lpad(CAST(p_partkey AS VARCHAR(20)), 24, '7')
+ WHEN 7 THEN 'api_key = "changeme' || p_partkey || '"' WHEN 8 THEN '-----BEGIN RSA PRIVATE KEY-----' WHEN 9 THEN 'total = ' || p_partkey ELSE 'password =\n  "Zk' || p_partkey || '!pw9"' END AS text FROM part"""
 
 
-@_query("SELECT * FROM (VALUES ('a.py', 1, 'Hardcoded AWS Access Key', 3), ('a.py', 2, 'Hardcoded Connection String (with password)', 2), ('a.py', 3, 'Hardcoded Credential', 2), ('a.py', 3, 'Hardcoded Credential', 2), ('a.py', 3, 'Hardcoded Credential', 2)) AS v(path, line, category, severity)")
+@_query(f"""WITH s AS ({_SECRET_LINES}) SELECT path, CAST(2 AS INTEGER) AS line, CASE k % 11 WHEN 0 THEN 'Hardcoded AWS Access Key' WHEN 1 THEN 'Hardcoded Connection String (with password)' WHEN 2 THEN 'Hardcoded Secret Key'
+ WHEN 3 THEN 'Hardcoded Webhook Secret' WHEN 4 THEN 'Hardcoded GitHub Token' WHEN 5 THEN 'Hardcoded Slack Token' WHEN 6 THEN 'Hardcoded Google API Key' WHEN 8 THEN 'Hardcoded Private Key' ELSE 'Hardcoded Credential' END AS category,
+ CAST(CASE WHEN k % 11 IN (1, 5, 6, 10) THEN 2 ELSE 3 END AS INTEGER) AS severity FROM s WHERE k % 11 NOT IN (7, 9) UNION ALL SELECT path, 2, 'Hardcoded Credential', 2 FROM s WHERE k % 11 = 10""")
 def secret_findings(spark, d):
-    return rules.secret_findings(_values(spark, _SECRETS, "path string, line int, text string"))
+    """Secrets of whole files; an assignment may end on the line after its name."""
+    files = standins.sql(spark, _SECRET_LINES, d, "part").select("path", F.concat(F.lit("# made\n"), "text", F.lit("\n")).alias("content"))
+    return rules.file_secrets(files)
 
 
 @_query("SELECT page_id, regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^.*://', ''), '[/?#].*$', ''), ':+$', '') AS host FROM pages")
@@ -377,7 +383,10 @@ def triage_verdicts(spark, d):
     return reviews.triage(_t(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("answer"))).select("conv_id", "turn", "verdict")
 
 
-@_query()
+@_query("""WITH RECURSIVE l AS (SELECT doc_id, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS line, unnest(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: length(x) + 1)) AS size FROM documents),
+c(doc_id, line, chunk, held) AS (SELECT doc_id, line, 0, size FROM l WHERE line = 1
+  UNION ALL SELECT l.doc_id, l.line, CASE WHEN held + size > 2000 THEN chunk + 1 ELSE chunk END, CASE WHEN held + size > 2000 THEN size ELSE held + size END FROM c JOIN l ON l.doc_id = c.doc_id AND l.line = c.line + 1)
+SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(min(line) AS INTEGER) AS first_line, CAST(max(line) AS INTEGER) AS last_line, CAST(max(held) - 1 AS INTEGER) AS n_chars FROM c GROUP BY doc_id, chunk""")
 def chunk_pack(spark, d):
     return reviews.chunks(_t(spark, d, "documents").select(F.col("doc_id").alias("path"), F.coalesce("text", F.lit("")).alias("content")), 2_000).select(F.col("path").alias("doc_id"), "chunk", "first_line", "last_line", F.length("text").alias("n_chars"))
 
@@ -387,54 +396,27 @@ def review_cache_keys(spark, d):
     return _t(spark, d, "documents").select("doc_id", S.cache_key(F.col("source"), F.col("text")).alias("key"))
 
 
-_TRACE = ["at main (src/app.js:12:5)", "at pkg.Cls.method(File.java:7)", "#0  0x1 in main (argc=1) at src/main.c:18", 'File "x.py", line 5, in main', "processRequest (src/main.c:4)", "12: std::panicking::begin_panic", "at /lib/panicking.rs:554", "foo at src/main.c:4", "src/main.c:4", "no frame here"]
+_TRACE = """SELECT p_partkey AS k, CAST(p_partkey % 50 AS VARCHAR(9)) AS trace, CAST(p_partkey AS INT) AS seq, CASE p_partkey % 8 WHEN 0 THEN 'at fn' || p_partkey || ' (lib/app.js:' || p_partkey || ':5)'
+ WHEN 1 THEN 'at org.Made.m' || p_partkey || '(Made.java:' || p_partkey || ')' WHEN 2 THEN '#3  0x9 in g' || p_partkey || ' (n=2) at lib/a.c:' || p_partkey WHEN 3 THEN 'File "mod.py", line ' || p_partkey || ', in h' || p_partkey
+ WHEN 4 THEN 'run' || p_partkey || ' (lib/m.c:' || p_partkey || ')' WHEN 5 THEN p_partkey || ': std::f' || p_partkey WHEN 6 THEN 'foo' || p_partkey || ' at lib/n.c:' || p_partkey ELSE 'lib/o.c:' || p_partkey END AS text FROM part"""
 
 
-@_query("SELECT * FROM (VALUES ('t', 0, 'main', 'src/app.js', 12), ('t', 1, 'method', 'File.java', 7), ('t', 2, 'main', 'src/main.c', 18), ('t', 3, 'main', 'x.py', 5), ('t', 4, 'processRequest', 'src/main.c', 4), ('t', 6, 'std::panicking::begin_panic', '/lib/panicking.rs', 554), ('t', 7, 'foo', 'src/main.c', 4), ('t', 8, '', 'src/main.c', 4)) AS v(trace, seq, function, file_hint, line)")
+@_query(f"""WITH t AS ({_TRACE}) SELECT trace, seq, CASE k % 8 WHEN 0 THEN 'fn' || k WHEN 1 THEN 'm' || k WHEN 2 THEN 'g' || k WHEN 3 THEN 'h' || k WHEN 4 THEN 'run' || k WHEN 6 THEN 'foo' || k ELSE CASE WHEN k >= 50 THEN 'std::f' || (k - 50) ELSE '' END END AS function,
+CASE k % 8 WHEN 0 THEN 'lib/app.js' WHEN 1 THEN 'Made.java' WHEN 2 THEN 'lib/a.c' WHEN 3 THEN 'mod.py' WHEN 4 THEN 'lib/m.c' WHEN 6 THEN 'lib/n.c' ELSE 'lib/o.c' END AS file_hint, seq AS line FROM t WHERE k % 8 <> 5""")
 def stack_frames(spark, d):
-    return reports.frames(_values(spark, [("t", i, x) for i, x in enumerate(_TRACE)], "trace string, seq int, text string"))
+    """Frames of 50 traces; a line that is a symbol alone names the next frame without a name."""
+    return reports.frames(standins.sql(spark, _TRACE, d, "part").select("trace", "seq", "text"))
 
 
-_COMMENTS = ["/* start", "middle", "end */ x()", "", "# note", "foo(); /* late", "bar", "// c", "/* a */ // b", "/* a */ b"]
+_COMMENTS = """SELECT p_partkey AS k, p_partkey % 40 AS path, p_partkey % 7 AS t, CASE p_partkey % 7 WHEN 0 THEN '/* open' WHEN 1 THEN 'middle' WHEN 2 THEN 'end */ x()' WHEN 3 THEN '' WHEN 4 THEN 'foo(); /* late' WHEN 5 THEN '// c' ELSE '/* a */ b' END AS text FROM part"""
 
 
-@_query("SELECT * FROM (VALUES (1, true), (2, true), (3, false), (4, true), (5, false), (6, false), (7, false), (8, true), (9, true), (10, false)) AS v(line, is_comment)")
+@_query(f"""WITH l AS (SELECT *, CASE t WHEN 0 THEN 1 WHEN 2 THEN 0 WHEN 6 THEN 0 END AS mark FROM ({_COMMENTS})),
+s AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY path ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS inside FROM l)
+SELECT path, CAST(k AS INTEGER) AS line, t IN (0, 3, 5) OR (t IN (1, 4) AND inside) AS is_comment FROM s""")
 def comment_state(spark, d):
-    rows = _values(spark, [("f.c", i, x) for i, x in enumerate(_COMMENTS, 1)], "path string, line int, text string")
-    return bayes.comment_lines(rows, "path").select("line", "is_comment")
-
-
-# --- code -------------------------------------------------------------------
-
-_CODE = [
-    ("a/bad.py", "py", "import os\n\ndef run(cmd):\n    text = cmd\n    os.system(text)\n\ndef clean(cmd):\n    safe = sanitize(cmd)\n    os.system(safe)\n"),
-    ("a/main.c", "c", 'static int helper(char *p) {\n  if (p && *p) { return 1; }\n  return 0;\n}\n\nint main(int argc, char **argv) {\n  char buf[8];\n  for (int i = 0; i < argc; i++) { helper(argv[i]); }\n  strcpy(buf, argv[1]);\n  return 0;\n}\n'),
-]
-_SINKS = [("os.system", "Command Injection", 3), ("strcpy", "Buffer Overflow", 3)]
-
-
-def _code(spark):
-    return _values(spark, _CODE, "path string, ext string, content string")
-
-
-@_query("SELECT * FROM (VALUES ('a/bad.py', 'run', 3, 1), ('a/bad.py', 'clean', 7, 1), ('a/main.c', 'helper', 1, 3), ('a/main.c', 'main', 6, 2)) AS v(path, fn, line, complexity)")
-def function_complexity(spark, d):
-    return lexing.extract_functions(_code(spark)).select("path", "fn", "line", "complexity")
-
-
-@_query("SELECT * FROM (VALUES ('a/bad.py', 'run', 5, 'Command Injection', 'cmd > text'), ('a/main.c', 'main', 9, 'Buffer Overflow', 'argv')) AS v(path, function, line, category, flow)")
-def taint_scan(spark, d):
-    return taint.scan(_code(spark), ["getenv", "input"], _SINKS).select("path", "function", "line", "category", F.array_join("taint_path", " > ").alias("flow"))
-
-
-@_query("SELECT * FROM (VALUES ('a/main.c', 'main', 'helper')) AS v(path, caller, callee)")
-def code_call_edges(spark, d):
-    code = _code(spark)
-    return graphs.call_edges(lexing.lex(code), lexing.extract_functions(code)).select("path", "caller", "callee")
-
+    rows = standins.sql(spark, _COMMENTS, d, "part").select("path", F.col("k").cast("int").alias("line"), "text")
+    return bayes.comment_lines(rows, "path").select("path", "line", "is_comment")
 
-@_query()
-def sarif_log(spark, d):
-    """One document over all findings of the smallest file stand-ins: those of one supplier in ten thousand rows would still be one log."""
-    f = findings.dedupe(_findings(spark, d)).withColumn("message", F.col("category"))
-    return reports.sarif(f)
+QUERIES.update(catalog_files.QUERIES)
+ORACLE_SQL.update(catalog_files.ORACLE_SQL)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftstone.functions.scalars import signal_tokens
+from siftstone.operators.perfile import per_file
+from siftstone.plans.loops import cut
 
 
 def lines_of(files: DataFrame, text_col: str = "text", *keys: str) -> DataFrame:
@@ -54,39 +58,37 @@ def score(lines: DataFrame, model: DataFrame, meta: DataFrame, *keys: str) -> Da
 
 def heatmap(scores: DataFrame, threshold: float = 0.8, key: str = "path") -> DataFrame:
     """(key, flagged, intensity): flagged lines of each file, against the hottest file."""
-    flagged = scores.where(F.col("prob") >= threshold).groupBy(key).agg(F.count("*").alias("flagged"))
+    flagged = cut(scores.where(F.col("prob") >= threshold).groupBy(key).agg(F.count("*").alias("flagged")), "flagged")
     top = flagged.agg(F.max("flagged").alias("most"))
     return flagged.join(F.broadcast(top)).select(key, "flagged", (F.col("flagged") / F.col("most")).alias("intensity"))
 
 
-def _state(state: Column, line: Column) -> Column:
-    """The block-comment state after a line that begins in `state`, and whether the line is comment only.
+def _comments(lines):
+    """(line, text, is_comment) of one file's lines, in order.
 
     Comments that open or close are eaten from the front, as often as one can;
     what follows decides.  Opening after code is not seen.
     """
-    opened = F.when(state, F.concat(F.lit("/*"), line)).otherwise(line)
-    rest = F.regexp_replace(opened, r"^(?:[ \t/]*?/\*(?:[^*]|\*(?!/))*\*/|[ \t])*", "")
-    inside = rest.rlike(r"^/*[ \t]*/\*")
-    comment = (rest == "") | rest.rlike("^//") | inside | rest.rlike("^/$")
-    return F.struct(inside.alias("inside"), comment.alias("comment"))
+    inside = False
+    for x in sorted(lines, key=lambda x: x["line"]):
+        text = x["text"] or ""
+        rest = _EATEN.sub("", "/*" + text if inside else text, count=1)
+        inside = bool(_OPENED.match(rest))
+        yield x["line"], x["text"], inside or rest in ("", "/") or rest.startswith("//")
 
 
-def comment_lines(lines: DataFrame, *keys: str) -> DataFrame:
-    """lines with `is_comment`; blank lines count as comment.
+_EATEN = re.compile(r"^(?:[ \t/]*?/\*(?:[^*]|\*(?!/))*\*/|[ \t])*")
+_OPENED = re.compile(r"/*[ \t]*/\*")
 
-    The state crosses lines, so each file is folded in line order: one array of
-    a file's lines, which its size bounds.
-    """
-    files = lines.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("line", "text"))).alias("all"))
-    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<struct<line:int,text:string,is_comment:boolean>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        now = _state(acc["inside"], x["text"])
-        return F.struct(now["inside"].alias("inside"), F.concat(acc["out"], F.array(F.struct(x["line"].cast("int").alias("line"), x["text"].alias("text"), now["comment"].alias("is_comment")))).alias("out"))
+def comment_lines(lines: DataFrame, *keys: str) -> DataFrame:
+    """(keys, line, text, is_comment); blank lines count as comment.
 
-    folded = files.withColumn("all", F.aggregate("all", start, step)["out"])
-    return folded.select(*keys, F.inline("all"))
+    The state crosses lines, so a file's lines are read in order, in one pass:
+    an array of them, which the file's size bounds.
+    """
+    files = lines.groupBy(*keys).agg(F.collect_list(F.struct("line", "text")).alias("all"))
+    return per_file(files, list(keys), ["all"], _comments, "line int, text string, is_comment boolean")
 
 
 def patch_lines(patches: DataFrame, extensions: list[str] | None = None) -> DataFrame:

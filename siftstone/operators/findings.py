@@ -69,17 +69,15 @@ def veto(findings: DataFrame, distance: int = 2) -> DataFrame:
     """Drops heuristic findings of Objective-C files without a precise one near by.
 
     Near: same path, function (ignoring case, and what is not a letter or digit)
-    and category, at most `distance` lines away.  Lines are grouped in bands of
-    that width, so the join is on equal bands and never on a range.
+    and category, at most `distance` lines away.  One window over each of these
+    groups says so: one shuffle, and no join.
     """
     name = F.regexp_replace(F.lower("function"), "[^a-z0-9]", "")
-    rows = findings.withColumn("_fn", name).withColumn("_band", F.floor(F.col("line") / (distance + 1)))
     objc = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin("m", "mm")
-    precise = rows.where(F.col("engine") == "AST").select("path", "_fn", "category", F.col("line").alias("_at"), F.explode(F.array(F.col("_band") - 1, F.col("_band"), F.col("_band") + 1)).alias("_band"))
+    w = Window.partitionBy("path", name, "category").orderBy("line").rangeBetween(-distance, distance)
+    near = F.max((F.col("engine") == "AST").cast("int")).over(w)
     bound = (F.col("engine") == "Heuristic") & objc
-    near = F.abs(F.col("line") - F.col("_at")) <= distance
-    keep = rows.where(bound).alias("h").join(precise.alias("p"), (F.col("h.path") == F.col("p.path")) & (F.col("h._fn") == F.col("p._fn")) & (F.col("h.category") == F.col("p.category")) & (F.col("h._band") == F.col("p._band")) & near, "left_semi")
-    return rows.where(~bound).unionByName(keep).drop("_fn", "_band")
+    return findings.withColumn("_near", near).where(~F.coalesce(bound, F.lit(False)) | (F.col("_near") == 1)).drop("_near")
 
 
 def cross_file(findings: DataFrame, sources: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftstone.plans.loops import cut
+from siftstone.plans.loops import Rounds, cut
 
 # Names that start a program, by language family.
 ENTRY_NAMES = ("main", "wmain", "WinMain", "_tmain", "Main", "MainAsync", "handler", "exports", "module.exports")
@@ -35,25 +35,25 @@ def prefer_same_file(edges: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, start: DataFrame, depth: int = 12, most: int | None = 80) -> DataFrame:
     """(root, node, depth): what reaches each root over edges(caller, callee), breadth first.
 
-    start has (root).  Every round joins the frontier with the edges, drops what
-    the root has seen, and cuts its lineage; `most` keeps that many nodes of a
-    root, by depth and name (the limit is the feature).
+    start has (root).  The edges are read and made distinct once; every round
+    joins the frontier with them, drops what the root has seen, and is written
+    once, beside the rounds before.  `most` keeps that many nodes of a root, by
+    depth and name (the limit is the feature).
     """
-    seen = cut(start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct(), "closure")
-    frontier = seen
-    back = edges.select(F.col("callee").alias("node"), F.col("caller").alias("next")).distinct()
+    rounds = Rounds(edges.sparkSession, "closure")
+    frontier = rounds.add(start.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct())
+    back = cut(edges.select(F.col("callee").alias("node"), F.col("caller").alias("next")).distinct(), "edges")
     for d in range(1, depth + 1):
         found = frontier.join(back, "node").select("root", F.col("next").alias("node")).distinct()
-        fresh = cut(found.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(d)), "closure")
-        if fresh.isEmpty():
-            break
-        seen = cut(seen.unionByName(fresh), "closure")
+        fresh = found.join(rounds.all().select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(d))
         if most is not None:
-            w = Window.partitionBy("root").orderBy("depth", "node")
-            seen = cut(seen.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= most).drop("_rank"), "closure")
-            fresh = fresh.join(seen.select("root", "node"), ["root", "node"], "left_semi")
-        frontier = fresh
-    return seen
+            held = rounds.all().groupBy("root").agg(F.count("*").alias("_held"))
+            w = Window.partitionBy("root").orderBy("node")
+            fresh = fresh.join(held, "root").withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") + F.col("_held") <= most).drop("_rank", "_held")
+        frontier = rounds.add(fresh)
+        if frontier.isEmpty():
+            break
+    return rounds.all()
 
 
 def verdict(reached: DataFrame, entries: DataFrame) -> DataFrame:
@@ -68,36 +68,34 @@ def fixpoint(calls: DataFrame, seeds: DataFrame, rounds: int = 10, blocked: Data
     calls has (caller, callee); seeds (name).  A caller of a tainted function is
     tainted in the next round, unless it is in blocked(name) (sanitizers).
     """
-    known = cut(seeds.select("name", F.lit(0).alias("round")).distinct(), "fixpoint")
-    last = known
-    pairs = calls.select(F.col("caller"), F.col("callee").alias("name")).distinct()
+    known = Rounds(calls.sparkSession, "fixpoint")
+    last = known.add(seeds.select("name", F.lit(0).alias("round")).distinct())
+    pairs = cut(calls.select(F.col("caller"), F.col("callee").alias("name")).distinct(), "calls")
     for r in range(1, rounds + 1):
-        new = pairs.join(last.select("name"), "name").select(F.col("caller").alias("name")).distinct().join(known.select("name"), "name", "left_anti")
+        new = pairs.join(last.select("name"), "name").select(F.col("caller").alias("name")).distinct().join(known.all().select("name"), "name", "left_anti")
         if blocked is not None:
             new = new.join(blocked.select("name"), "name", "left_anti")
-        last = cut(new.withColumn("round", F.lit(r)), "fixpoint")
+        last = known.add(new.withColumn("round", F.lit(r)))
         if last.isEmpty():
             break
-        known = cut(known.unionByName(last), "fixpoint")
-    return known
+    return known.all()
 
 
-def reachable(functions: DataFrame, edges: DataFrame, entries: tuple[str, ...] = ENTRY_NAMES, rounds: int = 1_000) -> DataFrame:
+def reachable(functions: DataFrame, edges: DataFrame, entries: tuple[str, ...] = ENTRY_NAMES) -> DataFrame:
     """functions(path, fn) with `reachable`: from an entry of the same file; files without an entry: all.
 
-    edges has (path, caller, callee) within files.  All files advance together.
+    edges has (path, caller, callee) within files.  All files advance together,
+    until a round finds nothing new.
     """
-    roots = functions.where(F.col("fn").isin(*entries)).select("path", "fn").distinct()
-    seen = cut(roots, "reachable")
-    frontier = seen
-    for _ in range(rounds):
-        found = frontier.join(edges.select("path", F.col("caller").alias("fn"), "callee"), ["path", "fn"]).select("path", F.col("callee").alias("fn")).distinct()
-        frontier = cut(found.join(functions.select("path", "fn"), ["path", "fn"], "left_semi").join(seen, ["path", "fn"], "left_anti"), "reachable")
-        if frontier.isEmpty():
-            break
-        seen = cut(seen.unionByName(frontier), "reachable")
-    have = seen.select("path").distinct().withColumn("_entry", F.lit(True))
-    out = functions.join(seen.distinct().withColumn("_seen", F.lit(True)), ["path", "fn"], "left").join(have, "path", "left")
+    seen = Rounds(functions.sparkSession, "reachable")
+    names = cut(functions.select("path", "fn").distinct(), "names")
+    steps = cut(edges.select("path", F.col("caller").alias("fn"), "callee").distinct(), "steps")
+    frontier = seen.add(names.where(F.col("fn").isin(*entries)))
+    while not frontier.isEmpty():
+        found = frontier.join(steps, ["path", "fn"]).select("path", F.col("callee").alias("fn")).distinct()
+        frontier = seen.add(found.join(names, ["path", "fn"], "left_semi").join(seen.all(), ["path", "fn"], "left_anti"))
+    have = seen.all().select("path").distinct().withColumn("_entry", F.lit(True))
+    out = functions.join(seen.all().withColumn("_seen", F.lit(True)), ["path", "fn"], "left").join(have, "path", "left")
     return out.withColumn("reachable", F.coalesce("_seen", F.lit(False)) | F.col("_entry").isNull()).drop("_seen", "_entry")
 
 
@@ -142,13 +140,19 @@ def flow_paths(spark: SparkSession, steps: DataFrame, start: DataFrame, depth: i
 
 
 def layers(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(node, rank): the longest way from a topmost node, cycles cut at `rounds`."""
-    pairs = edges.select("caller", "callee").distinct()
+    """(node, rank, settled): the longest way from a topmost node.
+
+    A node on or behind a cycle has no longest way: its rank stops at `rounds`,
+    and `settled` is false for every node whose rank still grew in the last one.
+    """
+    pairs = cut(edges.select("caller", "callee").distinct(), "edges")
     rank = cut(overlay(pairs).select("node", F.lit(0).alias("rank")), "layers")
+    moved = rank.select("node").limit(0)
     for _ in range(rounds):
         pushed = pairs.join(rank, F.col("caller") == F.col("node")).groupBy("callee").agg((F.max("rank") + 1).alias("to"))
         new = cut(rank.join(pushed, F.col("node") == F.col("callee"), "left").select("node", F.greatest("rank", F.least(F.coalesce("to", F.lit(0)), F.lit(rounds))).alias("rank")), "layers")
-        if new.exceptAll(rank).isEmpty():
-            break
+        moved = new.join(rank, ["node", "rank"], "left_anti").select("node")
         rank = new
-    return rank
+        if moved.isEmpty():
+            break
+    return rank.join(moved.withColumn("_moved", F.lit(True)), "node", "left").select("node", "rank", F.col("_moved").isNull().alias("settled"))

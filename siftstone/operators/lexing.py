@@ -1,11 +1,13 @@
-"""Lexing and function extraction as table functions, one file at a time."""
+"""Lexing and function extraction, one file at a time."""
 
 from __future__ import annotations
 
+import bisect
 import re
 
 from pyspark.sql import DataFrame
-from pyspark.sql.functions import udtf
+
+from siftstone.operators.perfile import per_file
 
 # Words that are no call or function name.
 KEYWORDS = frozenset(
@@ -33,13 +35,22 @@ _LEXERS = {(h, t): _lexer(h, t) for h in (False, True) for t in (False, True)}
 
 
 def php_code(text: str) -> str:
-    """The text with all outside `<?php ... ?>` blanked; lines and offsets stay."""
-    out, at = [], 0
-    for m in re.finditer(r"(?is)<\?(?:php|=)(.*?)(?:\?>|\Z)", text):
-        out += [re.sub(r"[^\n]", " ", text[at : m.start(1)]), m[1]]
-        if text[m.start() : m.start() + 3] == "<?=":
-            out[-2] = out[-2][:-3] + "   "
-        at = m.end(1)
+    """The text with all outside `<?php ... ?>` blanked and `<?=` as `echo`; lines stay where they are.
+
+    `echo` takes the place of the mark and of blanks before it, if there are
+    any on its line; else what follows on the line moves by two characters.
+    """
+    out: list[str] = []
+    at = 0
+    for m in re.finditer(r"(?is)<\?(?:php\b|=)(.*?)(?:\?>|\Z)", text):
+        blank = re.sub(r"[^\n]", " ", text[at : m.start(1)])
+        if text.startswith("<?=", m.start()):
+            blank = (blank[:-5] if len(blank) > 4 and "\n" not in blank[-5:] else blank[:-3]) + "echo "
+            out += [blank, m[1], ";"]
+            at = min(m.end(1) + 1, len(text))
+        else:
+            out += [blank, m[1]]
+            at = m.end(1)
     return "".join(out) + re.sub(r"[^\n]", " ", text[at:])
 
 
@@ -60,6 +71,12 @@ def tokenize(text: str, ext: str = "c"):
             begin = m.start() + value.rindex("\n") + 1
 
 
+def comment_spans(text: str, ext: str = "c") -> list[tuple[int, int]]:
+    """(first character, end) of each comment."""
+    found = _LEXERS[ext in _HASH_COMMENTS, ext == "py"].finditer(php_code(text) if ext == "php" else text)
+    return [m.span() for m in found if m.lastgroup == "comment"]
+
+
 def _closing(tokens: list, at: int, open_: str, close: str) -> int:
     depth = 0
     for i in range(at, len(tokens)):
@@ -90,54 +107,206 @@ def _parameters(tokens: list) -> list[str]:
     return out
 
 
+def _bracket(text: str, at: int) -> int:
+    """Where the bracket at `at` closes; strings and comments of Python and Ruby are passed over."""
+    depth, i = 0, at
+    while i < len(text):
+        c = text[i]
+        if c in "\"'":
+            mark = text[i : i + 3] if text[i : i + 3] in ('"""', "'''") else c
+            i += len(mark)
+            while i < len(text) and not text.startswith(mark, i):
+                i += 2 if text[i] == "\\" else 1
+            i += len(mark) - 1
+        elif c == "#":
+            i = text.find("\n", i) if "\n" in text[i:] else len(text)
+            continue
+        else:
+            depth += (c in "([{") - (c in ")]}")
+            if depth == 0:
+                return i
+        i += 1
+    return len(text) - 1
+
+
+_DEF = re.compile(r"^([ \t]*)(?:async[ \t]+)?def[ \t]+(?:self\.)?(\w+[?!]?)[ \t]*(\(?)([^\n]*)", re.M)
+
+
 def _blocks(text: str, ext: str):
-    """Functions whose body is an indented or `end`-closed block."""
+    """Functions whose body is an indented or `end`-closed block; parameters may stand on several lines."""
     lines = text.split("\n")
     starts = [0]
     for x in lines:
         starts.append(starts[-1] + len(x) + 1)
-    for i, raw in enumerate(lines):
-        m = re.match(r"^(\s*)(?:async\s+)?def\s+(?:self\.)?(\w+[?!]?)\s*(?:\(([^)]*)\))?", raw)
-        if not m:
-            continue
-        indent, j = len(m[1].expandtabs()), i + 1
-        while j < len(lines) and (not lines[j].strip() or len(lines[j]) - len(lines[j].lstrip()) > indent):
+    for m in _DEF.finditer(text):
+        if m[3]:
+            close = _bracket(text, m.start(3))
+            names = _parameters(list(tokenize(text[m.end(3) : close], ext)))
+        else:
+            close = m.start(4)
+            names = _parameters(list(tokenize(m[4], ext))) if ext == "rb" else []
+        first = text.count("\n", 0, m.start())
+        j = head = text.count("\n", 0, close)
+        indent = len(m[1].expandtabs())
+        j += 1
+        while j < len(lines) and (not lines[j].strip() or len(lines[j].expandtabs()) - len(lines[j].expandtabs().lstrip()) > indent):
             j += 1
         if ext == "rb" and j < len(lines) and lines[j].strip() == "end":
             j += 1
-        names = [re.split(r"[:=]", p)[0].strip(" *&") for p in (m[3] or "").split(",")]
-        yield m[2], i + 1, starts[i], starts[i] + len(raw), starts[i] + len(raw), min(starts[min(j, len(lines))], len(text)), [p for p in names if p], []
+        # A body on the line of its header begins after the colon.
+        colon = re.compile(r"[^\n:]*:[ \t]*(?=[^\s#])").match(text, close + 1) if ext == "py" else None
+        lo = colon.end() if colon else starts[head] + len(lines[head])
+        yield m[2], first + 1, starts[first], lo, lo, min(starts[min(j, len(lines))], len(text)), names, []
 
 
-def functions(text: str, ext: str = "c"):
-    """(fn, line, sig_lo, sig_hi, lo, hi, params, quals) of each definition, by braces or by indentation."""
-    if ext in ("py", "rb"):
-        yield from _blocks(text, ext)
-        return
-    tokens = list(tokenize(text, ext))
+# Names before a parenthesis and a brace that define nothing.
+_NO_FUNCTION = frozenset("foreach synchronized lock fixed elseif using with unsafe autoreleasepool".split())
+_SCRIPTS = ("js", "jsx", "ts", "tsx", "mjs", "vue")
+_STOPS = frozenset([";", "=", ")", "]", "}", "=>", ".", "+", "-", "/", "%", "&&", "||", "==", "!=", "<=", ">=", "|", "^", "??", "<<", ">>", "+=", "-="])
+
+
+def _angle(tokens: list, at: int) -> int:
+    """The token that closes the generic arguments opened at `at`, or -1 if it opens none."""
+    depth = 0
+    for i in range(at, len(tokens)):
+        t = tokens[i][2]
+        if t in (";", "{", "}", "&&", "||"):
+            return -1
+        depth += (t == "<") - (t == ">") - 2 * (t == ">>") - 3 * (t == ">>>")
+        if depth <= 0:
+            return i
+    return -1
+
+
+def _body(tokens: list, at: int) -> int:
+    """The brace that opens the body of the function whose parameter list ends before `at`; -1: no definition.
+
+    Between them may stand: throws and where clauses, results (bracketed,
+    generic, after a colon or an arrow), qualifiers, and the initialisers of a
+    constructor.
+    """
+    i, listed, colon = at, False, False
+    while i < len(tokens):
+        t, kind = tokens[i][2], tokens[i][1]
+        if t == "{":
+            # `name{...}` after a colon initialises a member, unless it is the body.
+            if colon and tokens[i - 1][1] == "identifier":
+                end = _closing(tokens, i, "{", "}")
+                if end + 1 < len(tokens) and tokens[end + 1][2] in (",", "{"):
+                    i = end + 1
+                    continue
+            return i
+        if t in _STOPS or kind in ("string", "number"):
+            return -1
+        if t == "," and not listed:
+            return -1
+        if t == "(":
+            i = _closing(tokens, i, "(", ")")
+        elif t == "[":
+            i = _closing(tokens, i, "[", "]")
+        elif t == "<":
+            i = _angle(tokens, i)
+            if i < 0:
+                return -1
+        elif t in ("throws", "throw", "where", "noexcept"):
+            listed = True
+        elif t == ":":
+            listed = colon = True
+        elif kind == "keyword" and t in ("if", "for", "while", "switch", "return", "case", "else", "do", "new", "function"):
+            return -1
+        i += 1
+    return -1
+
+
+def _arrow(tokens: list, i: int):
+    """(parameters, brace) of `name = function (...) {`, `name = (...) => {` and `name = x => {` at the token after `name`."""
+    k = i + 1
+    if k < len(tokens) and tokens[k][2] == "async":
+        k += 1
+    if k < len(tokens) and tokens[k][2] == "function":
+        k += 2 if k + 1 < len(tokens) and tokens[k + 1][1] == "identifier" else 1
+        if k < len(tokens) and tokens[k][2] == "(":
+            close = _closing(tokens, k, "(", ")")
+            return (tokens[k + 1 : close], close + 1) if close + 1 < len(tokens) and tokens[close + 1][2] == "{" else None
+        return None
+    if k < len(tokens) and tokens[k][2] == "(":
+        close = _closing(tokens, k, "(", ")")
+        j = close + 1
+        while j < len(tokens) and tokens[j][2] not in ("=>", ";", "{", ")", ",", "="):
+            j += 1
+        part = tokens[k + 1 : close]
+    else:
+        j, part = k + 1, tokens[k : k + 1]
+    return (part, j + 1) if j + 1 < len(tokens) and tokens[j][2] == "=>" and tokens[j + 1][2] == "{" else None
+
+
+def _braced(tokens: list, ext: str):
+    """(name token, first token of the signature, parameters, opening brace, closing brace) of each definition."""
     i = 0
     while i < len(tokens) - 1:
-        if tokens[i][1] == "identifier" and tokens[i + 1][2] == "(":
-            close = _closing(tokens, i + 1, "(", ")")
-            j = close + 1
-            # What may stand between a parameter list and a body.
-            while j < len(tokens) and j - close < 24 and tokens[j][2] not in ("{", ";", "=", ")", ",") :
-                j += 1
+        t, after = tokens[i], tokens[i + 1][2]
+        if t[1] == "identifier" and t[2] not in _NO_FUNCTION:
+            opened, part = -1, []
+            start = i + 1
+            if after == "<" and ext not in ("c", "m"):
+                end = _angle(tokens, i + 1)
+                start = end + 1 if end > 0 else start
             before = tokens[i - 1][2] if i else ""
-            if j < len(tokens) and tokens[j][2] == "{" and before not in (".", "->", "=", "(", ",", "return", "new"):
-                end = _closing(tokens, j, "{", "}")
+            if start < len(tokens) and tokens[start][2] == "(":
+                # A method may stand after a comma in an object of JavaScript.
+                if before not in (".", "->", "=", "(", "return", "new", "!", "&&", "||", "throw", "await", ":") and (before != "," or ext in _SCRIPTS):
+                    close = _closing(tokens, start, "(", ")")
+                    opened, part = _body(tokens, close + 1), tokens[start + 1 : close]
+                    if ext == "go" and before == ")":  # a method: its receiver is its first parameter
+                        part = _receiver(tokens, i - 1) + part
+            elif after in ("=", ":") and ext in _SCRIPTS:
+                found = _arrow(tokens, i + 1)
+                if found:
+                    part, opened = found
+            if opened >= 0:
                 k = i
                 while k and tokens[k - 1][2] not in (";", "}", "{"):
                     k -= 1
-                quals = [t[2] for t in tokens[k:i] if t[1] == "keyword"]
-                yield tokens[i][2], tokens[i][3], tokens[k][5], tokens[j][5], tokens[j][5], tokens[end][5] + 1, _parameters(tokens[i + 2 : close]), quals
-                i = j
+                yield i, k, part, opened, _closing(tokens, opened, "{", "}")
+                i = opened
         i += 1
 
 
-def complexity(text: str, ext: str = "c") -> int:
+def _receiver(tokens: list, close: int) -> list:
+    i = close
+    while i and tokens[i][2] != "(":
+        i -= 1
+    return [*tokens[i + 1 : close], (0, "symbol", ",", 0, 0, 0)] if i and tokens[i - 1][2] == "func" else []
+
+
+def functions(text: str, ext: str = "c", tokens: list | None = None):
+    """(fn, line, sig_lo, sig_hi, lo, hi, params, quals) of each definition, by braces or by indentation."""
+    if ext in ("py", "rb"):
+        yield from _blocks(text, ext)
+        return
+    tokens = list(tokenize(text, ext)) if tokens is None else tokens
+    for i, k, part, opened, closed in _braced(tokens, ext):
+        quals = [t[2] for t in tokens[k:i] if t[1] == "keyword"]
+        names = _go_parameters(part) if ext == "go" else _parameters(part)
+        yield tokens[i][2], tokens[i][3], tokens[k][5], tokens[opened][5], tokens[opened][5], tokens[closed][5] + 1, names, quals
+
+
+def _go_parameters(tokens: list) -> list[str]:
+    """Names of a Go parameter list: the first word of each part."""
+    out, first, depth = [], True, 0
+    for t in tokens:
+        if t[2] == "," and depth == 0:
+            first = True
+        elif first and t[1] == "identifier":
+            out.append(t[2])
+            first = False
+        depth += (t[2] in "([{") - (t[2] in ")]}")
+    return out
+
+
+def measure(tokens: list, ext: str) -> int:
     """Cyclomatic complexity of a body: one, and for each branch or loop one plus its `&&` and `||`; a switch counts its cases."""
-    n, tokens = 1, list(tokenize(text, ext))
+    n = 1
     for i, t in enumerate(tokens):
         if t[2] in ("if", "elif", "while", "for", "foreach", "guard", "unless", "until"):
             stop = {"{", ":", ";", "then"} if ext in ("py", "rb", "swift", "go", "rs") else None
@@ -158,32 +327,28 @@ def complexity(text: str, ext: str = "c") -> int:
     return n
 
 
-@udtf(returnType="idx int, kind string, text string, line int, col int, off int")
-class Tokens:
-    def eval(self, content: str, ext: str):
-        yield from tokenize(content or "", ext or "")
+def complexity(text: str, ext: str = "c") -> int:
+    """`measure` of a body's text."""
+    return measure(list(tokenize(text, ext)), ext)
 
 
-@udtf(returnType="fn string, line int, sig_lo int, sig_hi int, lo int, hi int, params array<string>, quals array<string>, complexity int")
-class Functions:
-    def eval(self, content: str, ext: str):
-        content = content or ""
-        for row in functions(content, ext or ""):
-            yield (*row, complexity(content[row[4] : row[5]], ext or ""))
+def measured(text: str | None, ext: str | None):
+    """The rows of `functions`, each with its complexity; the text is lexed once."""
+    text, ext = text or "", ext or ""
+    tokens = list(tokenize(text, ext))
+    places = [t[5] for t in tokens]
+    for row in functions(text, ext, tokens):
+        yield *row, measure(tokens[bisect.bisect_left(places, row[4]) : bisect.bisect_left(places, row[5])], ext)
 
 
 def lex(files: DataFrame) -> DataFrame:
     """(path, ext, idx, kind, text, line, col, off) of files(path, ext, content)."""
-    files.sparkSession.udtf.register("siftstone_tokens", Tokens)
-    files.createOrReplaceTempView("siftstone_files_lex")
-    return files.sparkSession.sql("SELECT f.path, f.ext, t.* FROM siftstone_files_lex f, LATERAL siftstone_tokens(f.content, f.ext) t")
+    return per_file(files, ["path", "ext"], ["content", "ext"], lambda content, ext: tokenize(content or "", ext or ""), "idx int, kind string, text string, line int, col int, off int")
 
 
 def extract_functions(files: DataFrame) -> DataFrame:
     """(path, ext, fn, line, sig_lo, sig_hi, lo, hi, params, quals, complexity) of files(path, ext, content)."""
-    files.sparkSession.udtf.register("siftstone_functions", Functions)
-    files.createOrReplaceTempView("siftstone_files_functions")
-    return files.sparkSession.sql("SELECT f.path, f.ext, t.* FROM siftstone_files_functions f, LATERAL siftstone_functions(f.content, f.ext) t")
+    return per_file(files, ["path", "ext"], ["content", "ext"], measured, "fn string, line int, sig_lo int, sig_hi int, lo int, hi int, params array<string>, quals array<string>, complexity int")
 
 
 def complexity_summary(functions_: DataFrame) -> DataFrame:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 import xml.etree.ElementTree as ET
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from siftstone.functions.scalars import advisory_severity
+from siftstone.operators.perfile import per_file
 
 # File name -> (format, ecosystem, language, is a lock file).
 FILES = {
@@ -45,8 +46,11 @@ SKIPPED = (
     "__pycache__", "bower_components", "coverage", "tmp", "venv", "Godeps",
 )
 DEPTH = 10
+# Formats that keep a name and version each time they stand in a file.
+REPEATING = ("toml_lock", "pipfile", "cargo_lock", "npm")
 EXACT = r"^[0-9]+(\.[0-9]+)+([-+][0-9A-Za-z.\-+]+)?$"
 _EXACT = re.compile(EXACT)
+_PLAIN = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*$")
 
 
 def is_exact(version: Column) -> Column:
@@ -73,11 +77,16 @@ def _exact(v) -> bool:
     return isinstance(v, str) and bool(_EXACT.match(v))
 
 
+def _sorted(o) -> list:
+    """The items of a JSON object in the order of their keys; nothing for what is no object."""
+    return sorted(o.items()) if isinstance(o, dict) else []
+
+
 def _npm_tree(deps: dict):
-    for name, d in (deps or {}).items():
+    for name, d in _sorted(deps):
         if isinstance(d, dict):
             yield name, d.get("version")
-            yield from _npm_tree(d.get("dependencies") or {})
+            yield from _npm_tree(d.get("dependencies"))
 
 
 def _repository(url: str) -> str:
@@ -112,22 +121,22 @@ def _inline_version(raw: str) -> str | None:
 def _json_formats(kind: str, o: dict):
     if kind == "npm_lock":
         if isinstance(o.get("packages"), dict):
-            for key, p in o["packages"].items():
-                if key and isinstance(p, dict) and not p.get("link"):
-                    yield p.get("name") or key.rpartition("node_modules/")[2], p.get("version")
+            for key, p in _sorted(o["packages"]):
+                if key and isinstance(p, dict) and p.get("link") is not True:
+                    yield p.get("name") or (key.rpartition("node_modules/")[2] if "node_modules/" in key else None), p.get("version")
         else:
             yield from _npm_tree(o.get("dependencies"))
     elif kind == "pipfile":
         for section in ("default", "develop"):
-            for name, p in (o.get(section) or {}).items():
-                yield name, str((p or {}).get("version", "")).lstrip("=") if isinstance(p, dict) else None
+            for name, p in _sorted(o.get(section)):
+                yield name, str(p.get("version", "")).lstrip("=") if isinstance(p, dict) else None
     elif kind == "composer_lock":
         for section in ("packages", "packages-dev"):
             for p in o.get(section) or []:
                 yield p.get("name"), str(p.get("version", "")).removeprefix("v")
     elif kind == "nuget_lock":
-        for deps in (o.get("dependencies") or {}).values():
-            for name, p in deps.items():
+        for _, deps in _sorted(o.get("dependencies")):
+            for name, p in _sorted(deps):
                 yield name, p.get("resolved")
     elif kind == "swift_resolved":
         for p in o.get("pins") or (o.get("object") or {}).get("pins") or []:
@@ -135,13 +144,31 @@ def _json_formats(kind: str, o: dict):
             yield _repository(url) if url else None, (p.get("state") or {}).get("version")
     elif kind == "npm":
         for section in ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies"):
-            yield from (o.get(section) or {}).items()
+            yield from _sorted(o.get(section))
     elif kind == "composer":
         for section in ("require", "require-dev"):
-            for name, v in (o.get(section) or {}).items():
+            for name, v in _sorted(o.get(section)):
                 yield name, str(v).removeprefix("v")
 
 
+def _places(text: str):
+    """line(name): where a name stands next, in quotes if it can; the search goes on behind the last find, then from the top."""
+    ends = [m.start() for m in re.finditer("\n", text)]
+    at = 0
+
+    def line(name: str) -> int:
+        nonlocal at
+        for needle in (f'"{name}"', name):
+            for begin in (at, 0):
+                spot = text.find(needle, begin)
+                if spot >= 0:
+                    at = spot + len(needle)
+                    return bisect.bisect_left(ends, spot) + 1
+        return 1
+
+    return line
+
+
 def _yarn(lines):
     names, at = None, 0
     for n, raw in enumerate(lines, 1):
@@ -183,7 +210,9 @@ def _line_formats(kind: str, text: str):
             line = re.split(r"\s#|;", raw.strip())[0].strip()
             if line and not line.startswith(("#", "-", "//")) and "==" in line:
                 name, _, version = line.partition("==")
-                yield re.sub(r"\[.*\]", "", name).strip(), version.strip(), n
+                name = name.partition("[")[0]
+                if _PLAIN.match(name):
+                    yield name, version.strip(), n
     elif kind == "go_mod":
         block = False
         for n, raw in enumerate(lines, 1):
@@ -248,11 +277,20 @@ def _toml_formats(kind: str, text: str):
                     yield name, (_inline_version(raw) or "").lstrip("="), n
     elif kind == "pyproject":
         for _, h, v in blocks:
-            if h.startswith("[tool.poetry") and h.endswith("dependencies]"):
+            if "poetry" in h and "dependencies" in h:
                 for name, (raw, n) in v.items():
                     yield name, (_inline_version(raw) or "").lstrip("="), n
-        for m in re.finditer(r"""["']([A-Za-z0-9][\w.\-]*)(?:\[[^\]]*\])?\s*==\s*([^"';,\s]+)""", text):
-            yield m[1], m[2], text.count("\n", 0, m.start()) + 1
+        inside = False
+        for n, raw in enumerate(text.split("\n"), 1):
+            line = raw.strip()
+            if line.startswith("[") and line.endswith("]"):
+                inside = False
+            elif inside or re.match(r"dependencies\s*=\s*\[", line):
+                inside = "]" not in line
+                for quoted in re.findall(r'"([^"]+)"', line):
+                    name, _, version = (x.strip() for x in quoted.partition("=="))
+                    if _PLAIN.match(name):
+                        yield name, version.partition(";")[0].strip(), n
 
 
 def _pom(text: str):
@@ -263,40 +301,39 @@ def _pom(text: str):
 
 
 def parse(kind: str, text: str):
-    """(name, version, line) of the exact versions in a file of any format; a broken file gives nothing."""
+    """(name, version, line) of the exact versions in a file of any format; a broken file gives nothing.
+
+    The first of each name and version counts, but for the REPEATING formats;
+    names of requirements differ by more than case.
+    """
+    seen = set()
+
+    def fresh(name, version) -> bool:
+        key = name.lower() if kind == "requirements" else name, version
+        if kind not in REPEATING and key in seen:
+            return False
+        seen.add(key)
+        return True
+
     try:
         if kind in ("npm_lock", "pipfile", "composer_lock", "nuget_lock", "swift_resolved", "npm", "composer"):
-            at = 0
+            line = _places(text)
             for name, version in _json_formats(kind, json.loads(text)):
-                if name and _exact(version):
-                    spot = text.find(f'"{name}"', at)
-                    at = spot if spot >= 0 else at
-                    yield name, version, text.count("\n", 0, at) + 1
+                version = version.strip() if isinstance(version, str) else version
+                if name and _exact(version) and fresh(name, version):
+                    yield name, version, line(name)
             return
         rows = _pom(text) if kind == "pom" else _toml_formats(kind, text) if kind in ("toml_lock", "cargo_lock", "gradle_catalog", "cargo", "pyproject") else _line_formats(kind, text)
         for name, version, n in rows:
-            if name and _exact(version):
+            if name and _exact(version) and fresh(name, version):
                 yield name, version, n
-    except (ValueError, AttributeError, ET.ParseError):
+    except (ValueError, AttributeError, TypeError, ET.ParseError):
         return
 
 
-@udtf(returnType="name string, version string, line int")
-class ParsePackages:
-    """One file in, its dependencies out; state never crosses files."""
-
-    def eval(self, kind: str, content: str):
-        yield from parse(kind, content or "")
-
-
 def dependencies(files: DataFrame) -> DataFrame:
-    """(ecosystem, name, version, path, line): the first of each name and version in a file, by path, line and name."""
-    found = discover(files)
-    found.sparkSession.udtf.register("siftstone_packages", ParsePackages)
-    found.createOrReplaceTempView("siftstone_dependency_files")
-    rows = found.sparkSession.sql("SELECT f.ecosystem, p.name, p.version, f.path, p.line FROM siftstone_dependency_files f, LATERAL siftstone_packages(f.format, f.content) p")
-    w = Window.partitionBy("path", F.when(F.col("ecosystem") == "PyPI", F.lower("name")).otherwise(F.col("name")), "version").orderBy("line")
-    return rows.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    """(ecosystem, path, name, version, line) of files(path, content): what `parse` finds in each dependency file."""
+    return per_file(discover(files), ["ecosystem", "path"], ["format", "content"], lambda kind, content: parse(kind, content or ""), "name string, version string, line int")
 
 
 def requirements(lines: DataFrame) -> DataFrame:
@@ -307,11 +344,23 @@ def requirements(lines: DataFrame) -> DataFrame:
 
 
 def package_findings(deps: DataFrame, advisories: DataFrame) -> DataFrame:
-    """deps joined to advisories(ecosystem, name, version, id, summary, severity entries, db_severity), worst first.
+    """deps joined to advisories(ecosystem, name, version, id, summary, severity entries, db_severity).
 
-    Keys are made distinct before the join, as a query service would have them.
+    Each advisory is rated once, before the join; of copies of one advisory the
+    worst rating counts, and its first summary.  The rows come in no order: see
+    `worst_first`.
     """
-    keys = deps.select("ecosystem", "name", "version").distinct()
-    hits = keys.join(advisories, ["ecosystem", "name", "version"]).dropDuplicates(["ecosystem", "name", "version", "id"])
-    rated = hits.withColumn("severity", advisory_severity(F.col("db_severity"), F.col("severity")))
-    return deps.join(rated, ["ecosystem", "name", "version"]).orderBy(F.desc("severity"), "name", "id")
+    keys = ["ecosystem", "name", "version", "id"]
+    rest = [F.min(c).alias(c) for c in advisories.columns if c not in (*keys, "severity", "db_severity")]
+    rated = advisories.withColumn("severity", advisory_severity(F.col("db_severity"), F.col("severity"))).groupBy(*keys).agg(F.max("severity").alias("severity"), *rest)
+    return deps.join(rated, ["ecosystem", "name", "version"])
+
+
+def worst_first(found: DataFrame) -> DataFrame:
+    """Findings in report order: severity, then name and advisory."""
+    return found.orderBy(F.desc("severity"), "name", "id")
+
+
+def by_name(deps: DataFrame) -> DataFrame:
+    """Dependencies in list order: ecosystem, name ignoring case, version, place."""
+    return deps.orderBy("ecosystem", F.lower("name"), "name", "version", "path", "line")

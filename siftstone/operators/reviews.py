@@ -7,9 +7,9 @@ import re
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from siftstone.functions.scalars import cache_key, severity_rank
+from siftstone.operators.perfile import per_file
 
 CHUNK = 24_000
 BATCH = 48_000
@@ -19,40 +19,39 @@ CARDS = 4
 def chunks(files: DataFrame, limit: int = CHUNK) -> DataFrame:
     """(path, chunk, first_line, last_line, text): greedy slices of whole lines of at most `limit` characters.
 
-    A line longer than the limit is a slice of its own.  The fold runs over one
-    file's lines, which the file's size bounds.
+    A line longer than the limit is a slice of its own.  A file's lines are read
+    once, in order.
     """
-    start = F.struct(F.array().cast("array<struct<first:int,last:int,size:int>>").alias("out"))
+    return per_file(files, ["path"], ["content"], lambda content: _slices(content or "", limit), "chunk int, first_line int, last_line int, text string")
 
-    def step(acc, x):
-        size = F.length(x["text"]) + 1
-        last = F.try_element_at(acc["out"], F.lit(-1))
-        fits = last.isNotNull() & (last["size"] + size <= limit)
-        grown = F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(F.struct(last["first"].alias("first"), x["line"].cast("int").alias("last"), (last["size"] + size).cast("int").alias("size"))))
-        added = F.concat(acc["out"], F.array(F.struct(x["line"].cast("int").alias("first"), x["line"].cast("int").alias("last"), size.cast("int").alias("size"))))
-        return F.struct(F.when(fits, grown).otherwise(added).alias("out"))
 
-    lines = F.transform(F.split("content", "\n", -1), lambda t, i: F.struct((i + 1).alias("line"), t.alias("text")))
-    cut = files.select("path", F.split("content", "\n", -1).alias("all"), F.aggregate(lines, start, step)["out"].alias("out"))
-    each = cut.select("path", "all", F.posexplode("out").alias("chunk", "c"))
-    text = F.array_join(F.slice("all", F.col("c.first"), F.col("c.last") - F.col("c.first") + 1), "\n")
-    return each.select("path", "chunk", F.col("c.first").alias("first_line"), F.col("c.last").alias("last_line"), text.alias("text"))
+def _slices(content: str, limit: int):
+    held: list[str] = []
+    size = chunk = 0
+    first = 1
+    for n, line in enumerate(content.split("\n"), 1):
+        if held and size + len(line) + 1 > limit:
+            yield chunk, first, n - 1, "\n".join(held)
+            chunk, first, size = chunk + 1, n, 0
+            held = []
+        held.append(line)
+        size += len(line) + 1
+    yield chunk, first, first + len(held) - 1, "\n".join(held)
 
 
 def batches(cards: DataFrame, cards_per_batch: int = CARDS, limit: int = BATCH, group: str = "path") -> DataFrame:
-    """cards(group, card, size) with `batch`: greedy, in card order, within each group."""
-    packed = cards.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("card", "size"))).alias("all"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("held"), F.array().cast("array<struct<card:int,batch:int>>").alias("out"))
+    """cards(group, card, size) with `batch`: greedy, in card order, within each group, in one pass."""
 
-    def step(acc, x):
-        fits = (acc["n"] < cards_per_batch) & (acc["held"] + x["size"] <= limit) | (acc["n"] == 0)
-        batch = F.when(fits, acc["batch"]).otherwise(acc["batch"] + 1)
-        return F.struct(
-            batch.alias("batch"), F.when(fits, acc["n"] + 1).otherwise(1).alias("n"), F.when(fits, acc["held"] + x["size"]).otherwise(x["size"].cast("long")).alias("held"),
-            F.concat(acc["out"], F.array(F.struct(x["card"].cast("int").alias("card"), batch.alias("batch")))).alias("out"),
-        )
+    def packed(mine):
+        batch = n = held = 0
+        for x in sorted(mine, key=lambda x: x["card"]):
+            if n and (n >= cards_per_batch or held + x["size"] > limit):
+                batch, n, held = batch + 1, 0, 0
+            n, held = n + 1, held + x["size"]
+            yield x["card"], batch
 
-    return cards.join(packed.select(group, F.inline(F.aggregate("all", start, step)["out"])), [group, "card"])
+    groups = cards.groupBy(group).agg(F.collect_list(F.struct("card", "size")).alias("all"))
+    return cards.join(per_file(groups, [group], ["all"], packed, "card int, batch int"), [group, "card"])
 
 
 def uncached(cards: DataFrame, cache: DataFrame, provider: str, model: str, version: int = 1) -> DataFrame:
@@ -82,19 +81,21 @@ def _objects(text: str):
             at = start + 1
 
 
-@udtf(returnType="line: int, category: string, severity: string, function: string, message: string")
-class ParseAnswer:
-    """Records of one answer; it reads what it can and skips the rest."""
+def records(answer: str):
+    """(line, category, severity, function, message) of one answer; it reads what it can and skips the rest."""
+    for o in _objects(answer or ""):
+        low = {str(k).lower(): v for k, v in o.items()}
+        try:
+            line = int(low.get("line") or low.get("line_number") or 0)
+        except (TypeError, ValueError):
+            line = 0
+        if low.get("category") or low.get("type"):
+            yield line, str(low.get("category") or low.get("type")), str(low.get("severity") or ""), str(low.get("function") or ""), str(low.get("message") or low.get("description") or "")
 
-    def eval(self, answer: str):
-        for o in _objects(answer or ""):
-            low = {str(k).lower(): v for k, v in o.items()}
-            try:
-                line = int(low.get("line") or low.get("line_number") or 0)
-            except (TypeError, ValueError):
-                line = 0
-            if low.get("category") or low.get("type"):
-                yield line, str(low.get("category") or low.get("type")), str(low.get("severity") or ""), str(low.get("function") or ""), str(low.get("message") or low.get("description") or "")
+
+def parse_answers(answers: DataFrame, *keys: str) -> DataFrame:
+    """(keys, line, category, severity, function, message) of answers(keys, answer)."""
+    return per_file(answers, list(keys), ["answer"], records, "line int, category string, severity string, function string, message string")
 
 
 def normalised_categories(found: DataFrame, known: DataFrame) -> DataFrame:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
+import re
+import unicodedata
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftstone.functions.scalars import is_placeholder, looks_like_secret
+from siftstone.functions.scalars import PLACEHOLDERS, is_placeholder, looks_like_secret
+from siftstone.operators.lexing import comment_spans, functions
+from siftstone.operators.perfile import per_file
+from siftstone.plans.loops import cut
 
 # Fixed values: (pattern, category, severity rank) of secrets whose shape is known.
 SECRETS = (
@@ -20,10 +27,21 @@ SECRETS = (
     (r"\bAIza[0-9A-Za-z\-_]{20,}\b", "Hardcoded Google API Key", 2),
     (r"""(?i)#\s*define\s+\w*(?:token|secret|password|passwd|pwd|credential|apikey)\w*\s+["'][^"']{8,}["']""", "Hardcoded Credential", 2),
 )
+# Assignments of passwords, values whose shape is that of a secret, and entries of maps.
 PASSWORD = r"""(?i)\b(?:password|pwd|passwd)\s*=\s*(?:"([^"]{4,})"|'([^']{4,})'|([^;"'\s.()\[\]{}<>/\\]{4,}))(?![A-Za-z0-9_])(?!\s*[.:(\[])"""
 SHAPED = r"""(?i)\b(?:pass|password|passwd|pwd|secret|token|credential)\w*\s*[,=:]\s*["']([^"'\n]{6,})["']"""
 MAPPED = r"""=>\s*["']([^"']{7,})["']"""
-WEAK_CRYPTO = ((r"(?i)\b(?:md5|sha1)\s*\(", "Weak Cryptography (hash)", 1), (r"(?i)\b(?:des|rc4|blowfish)(?:_|\b)", "Weak Cryptography (cipher)", 2), (r"(?i)[\"'/](?:ecb)[\"'/]|_ECB\b", "Weak Cryptography (ECB mode)", 1))
+# Fixed values: (pattern, category, severity rank, whether case counts) of weak primitives.
+WEAK_CRYPTO = (
+    (r"""(?<!["'])\b(MD5(?=\s*[.(])|MD5_Init|MD5_Update|MD5_Final|EVP_md5|SHA1(?=\s*[.(])|SHA1_Init|EVP_sha1|EVP_des_ecb|DES_ecb_encrypt|EVP_rc4|DES_cblock)\b""", "Weak Cryptography (MD5 / SHA-1 / DES / RC4)", 2, True),
+    (r"""getInstance\s*\(\s*["'](?:(?:MD2|MD4|MD5|MD5-SHA1|SHA-?1|SHA1|DES|DESede|RC2|RC4)(?:/[A-Za-z0-9]+)*|AES/ECB[a-zA-Z/]*|.*/ECB/)[/"']""", "Weak Cryptography (insecure algorithm/block mode)", 2, False),
+    (r"""new\s+SecureRandom\s*\(\s*["'][^"']{1,64}["']""", "Weak Cryptography (predictable SecureRandom seed)", 2, True),
+)
+# Names of XML parsers, and what makes them safe.
+XML_PARSERS = ("DocumentBuilderFactory", "SAXParserFactory", "TransformerFactory", "XMLInputFactory", "SchemaFactory", "Unmarshaller", "xmlReadFile", "xmlReadMemory", "xmlParseFile", "xmlParseMemory", "xmlParseDoc")
+XML_SAFE = ("FEATURE_SECURE_PROCESSING", "disallow-doctype-decl", "external-general-entities=false", "without-entities", "DtdProcessing.Prohibit", "DtdProcessing.Ignore")
+_SECRETS = tuple((re.compile(p), c, s) for p, c, s in SECRETS)
+_PASSWORD, _SHAPED, _MAPPED = map(re.compile, (PASSWORD, SHAPED, MAPPED))
 
 
 def _each(found, category: str, severity: int):
@@ -53,23 +71,65 @@ def secret_findings(lines: DataFrame) -> DataFrame:
     return lines.select("path", "line", F.inline(F.concat(*hits)))
 
 
+def _found(path: str, text: str):
+    """(line, category, severity) of the secrets of one file, in the order of the rules."""
+    ext = (re.search(r"\.([^./]+)$", path or "") or [None, ""])[1].lower()
+    php, java = ext == "php", ext == "java"
+    ends = [m.start() for m in re.finditer("\n", text)]
+    held = lambda v: not any(p in v.lower() for p in PLACEHOLDERS) and not (php and "$" in v)
+    shaped = lambda v: len(v) >= 7 and any(c.isalpha() for c in v) and any(c.isdecimal() for c in v) and any(not (c.isalnum() or c in "_-. " or unicodedata.category(c)[0] == "M") for c in v)
+    at = lambda m: bisect.bisect_left(ends, m.start()) + 1
+    for pattern, category, severity in _SECRETS:
+        for m in pattern.finditer(text):
+            if held(m[0]):
+                yield at(m), category, severity
+    for m in _PASSWORD.finditer(text):
+        if not (java and m[3]) and held(m[1] or m[2] or m[3]):
+            yield at(m), "Hardcoded Credential", 2
+    for pattern in (_SHAPED, _MAPPED) if php else (_SHAPED,):
+        for m in pattern.finditer(text):
+            if shaped(m[1]):
+                yield at(m), "Hardcoded Credential", 2
+
+
+def file_secrets(files: DataFrame) -> DataFrame:
+    """(path, line, category, severity) of secrets in whole files(path, content): a match may cross a line end."""
+    return per_file(files, ["path"], ["path", "content"], lambda path, content: _found(path, content or ""), "line int, category string, severity int")
+
+
 def long_tokens(lines: DataFrame, length: int = 40) -> DataFrame:
     """Extension: hexadecimal tokens of `length` digits assigned to a name that says token, key or secret."""
     pattern = rf"""(?i)\b(?:token|key|secret)\w*\s*[:=]\s*["']([0-9a-f]{{{length}}})["']"""
     return lines.select("path", "line", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("token"))
 
 
-def weak_crypto(lines: DataFrame) -> DataFrame:
-    """(path, line, category, severity) of weak primitives; lines with is_comment are skipped."""
-    out = [F.when(F.col("text").rlike(p), F.struct(F.lit(c).alias("category"), F.lit(s).alias("severity"))) for p, c, s in WEAK_CRYPTO]
-    return lines.where(~F.col("is_comment")).select("path", "line", F.inline(F.array_compact(F.array(*out))))
+_WEAK = tuple((re.compile(p, 0 if exact else re.I), c, s) for p, c, s, exact in WEAK_CRYPTO)
+
 
+def _body_findings(text: str, ext: str):
+    """(function, line, category, severity) of weak primitives and open XML parsers in each function of a file."""
+    ends = [m.start() for m in re.finditer("\n", text)]
+    comments = comment_spans(text, ext)
+    line = lambda at: bisect.bisect_left(ends, at) + 1
+    for fn, _, _, _, lo, hi, _, _ in functions(text, ext):
+        body = text[lo:hi]
+        for pattern, category, severity in _WEAK:
+            for m in pattern.finditer(body):
+                a, b = lo + m.start(), lo + m.end()
+                if not any(x <= a and b <= y for x, y in comments):
+                    yield fn, line(a), category, severity
+        at = [p for p in (body.find(x) for x in XML_PARSERS) if p >= 0]
+        if at and not any(x in body for x in XML_SAFE) and "XmlResolver=null" not in body.replace(" ", ""):
+            yield fn, line(lo + min(at)), "XXE (XML External Entity)", 2
 
-def unguarded_parsers(files: DataFrame) -> DataFrame:
-    """(path, category): XML factories in files(path, content) that switch no feature off."""
-    made = F.col("content").rlike(r"\b(?:DocumentBuilderFactory|SAXParserFactory|XMLInputFactory)\b[^;]*\.new(?:Default)?Instance\s*\(")
-    safe = F.col("content").rlike(r"disallow-doctype-decl|external-general-entities|FEATURE_SECURE_PROCESSING|SUPPORT_DTD|ACCESS_EXTERNAL_DTD")
-    return files.where(made & ~safe).select("path", F.lit("XML External Entity").alias("category"))
+
+def body_findings(files: DataFrame) -> DataFrame:
+    """(path, function, line, category, severity) of weak cryptography and XML external entities in files(path, ext, content).
+
+    Matches inside comments do not count; an XML parser is reported once a
+    function, where its first name stands, unless the body hardens it.
+    """
+    return per_file(files, ["path"], ["content", "ext"], lambda content, ext: _body_findings(content or "", ext or ""), "function string, line int, category string, severity int")
 
 
 def shared_state(files: DataFrame) -> DataFrame:
@@ -81,24 +141,40 @@ def shared_state(files: DataFrame) -> DataFrame:
     return found.where(writes > 1).select("path", "name", F.lit("Race Condition").alias("category"))
 
 
+def resolved_aliases(aliases: DataFrame, hops: int = 8) -> DataFrame:
+    """(name, target): where the chain of each name of aliases(name, target) ends after `hops` steps at most.
+
+    Of a name that several files define, the first target by name counts, so no
+    row is ever multiplied; the chain is followed on the alias table alone.
+    """
+    one = aliases.groupBy("name").agg(F.min("target").alias("target"))
+    now, step = cut(one, "aliases"), 1
+    while step < hops:  # each round joins the table with itself and doubles the steps
+        nxt = now.select(F.col("name").alias("target"), F.col("target").alias("_to"))
+        now, step = cut(now.join(nxt, "target", "left").select("name", F.coalesce("_to", "target").alias("target")), "aliases"), 2 * step
+    return now
+
+
 def match_sinks(calls: DataFrame, rules: DataFrame, aliases: DataFrame | None = None, hops: int = 8) -> DataFrame:
     """calls(path, line, lang, chain) with the best of rules(key, category, severity, langs).
 
     The full dotted chain is tried first, then its last two parts, then the
     bare name; a rule for the language beats one for all.  With aliases(name,
-    target), macro names are followed for at most `hops` steps.  The rule table
-    is of the user's making and is broadcast.
+    target), macro names are replaced by what they stand for (a join whose side
+    grows with the code and is not broadcast by hand).  The best rule of each
+    chain and language is found once, before the calls are read.
     """
-    c = calls.withColumn("_id", F.monotonically_increasing_id())
+    c = calls
     if aliases is not None:
-        for _ in range(hops):
-            c = c.join(F.broadcast(aliases.select(F.col("name").alias("chain"), "target")), "chain", "left").withColumn("chain", F.coalesce("target", "chain")).drop("target")
+        to = resolved_aliases(aliases, hops).select(F.col("name").alias("chain"), "target")
+        c = c.join(to, "chain", "left").withColumn("chain", F.coalesce("target", "chain")).drop("target")
+    distinct = c.select("chain", "lang").distinct()
     parts = F.split("chain", r"\.")
     keys = F.array(F.col("chain"), F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)), "."), F.element_at(parts, -1))
-    tried = c.select("*", F.posexplode(keys).alias("_try", "key"))
-    met = tried.join(F.broadcast(rules), "key").where(F.col("langs").isNull() | F.array_contains("langs", F.col("lang")))
-    w = Window.partitionBy("_id").orderBy("_try", F.col("langs").isNull(), "category")
-    return met.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank", "_try", "_id", "langs")
+    met = distinct.select("*", F.posexplode(keys).alias("_try", "key")).join(rules, "key").where(F.col("langs").isNull() | F.array_contains("langs", F.col("lang")))
+    value = [x for x in rules.columns if x not in ("key", "langs")]
+    best = met.groupBy("chain", "lang").agg(F.min(F.struct("_try", F.col("langs").isNull().alias("_any"), *value, "key")).alias("_best"))
+    return c.join(best, ["chain", "lang"]).select(*c.columns, *[F.col(f"_best.{x}").alias(x) for x in ("key", *value)])
 
 
 def entry_sites(tokens: DataFrame, catalog: DataFrame, most: int = 500) -> DataFrame:
@@ -165,7 +241,7 @@ def search(lines: DataFrame, query: str) -> DataFrame:
 
 def instantiations(files: DataFrame, name: str) -> DataFrame:
     """(path, n): `new Name(` or `new Name<...>(` in Java and C# files outside tests."""
-    found = F.regexp_extract_all("content", F.lit(rf"(?s)\bnew\s+{name}\s*(?:<[^;(]*>)?\s*\("), F.lit(0))
+    found = F.regexp_extract_all("content", F.lit(rf"(?s)\bnew\s+{re.escape(name)}\s*(?:<[^;(]*>)?\s*\("), F.lit(0))
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     return files.where(ext.isin("java", "cs") & ~F.col("path").contains("/test/")).select("path", F.size(found).alias("n")).where("n > 0")
 

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import bisect
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from siftstone.operators.graphs import fixpoint
 from siftstone.operators.lexing import _closing, functions, tokenize
+from siftstone.operators.perfile import per_file
+from siftstone.plans.loops import cut
 
+MOST = 1_000_000  #: characters of the longest file that is scanned
+ANY, ALWAYS = -1, -2
 _ASSIGN = ("=", "+=", "-=", "*=", ":=")
 
 
@@ -27,19 +33,28 @@ def _is_clean(name: str) -> bool:
     return any(m in name.lower() for m in SANITIZER_MARKERS)
 
 
+def _bodies(text: str, ext: str):
+    """(fn, parameters, qualifiers, tokens of the body) of each function; the text is lexed once."""
+    tokens = list(tokenize(text, ext))
+    places = [t[5] for t in tokens]
+    for fn, _, _, _, lo, hi, params, quals in functions(text, ext, tokens):
+        yield fn, params, quals, tokens[bisect.bisect_left(places, lo) : bisect.bisect_left(places, hi)]
+
+
 def walk(text: str, ext: str, sources: set[str], sinks: dict[str, tuple[str, int]], tainting: set[str], seeds: dict[str, list[int]] | None = None):
     """(fn, line, category, severity, path) of values that reach a sink, in one pass over each body.
 
     Parameters begin tainted (only the given indices where call sites are
     known).  An assignment from a tainted value extends its path; a clean plain
     one ends it; calls of sanitizers are clean.  What stands inside a sink's
-    arguments is not visited again.
+    arguments is not visited again.  A sink is (category, severity[, argument]):
+    only a tainted value in that argument counts (ANY: in one of them; ALWAYS:
+    the call itself).
     """
-    for fn, _, _, _, lo, hi, params, _ in functions(text, ext):
-        tokens = list(tokenize(text[lo:hi], ext))
-        base = text.count("\n", 0, lo)
+    for fn, params, _, tokens in _bodies(text, ext):
         live = {p for i, p in enumerate(params) if p not in ("self", "cls") and (seeds is None or fn not in seeds or i in seeds[fn])}
         tainted = {p: [p] for p in live}
+        ever = dict(tainted)
 
         def of(part: list, tainted=tainted) -> list[str] | None:
             i = 0
@@ -66,9 +81,14 @@ def walk(text: str, ext: str, sources: set[str], sinks: dict[str, tuple[str, int
                 rule = next((sinks[k] for k in (name, ".".join(name.split(".")[-2:]), t[2]) if k in sinks), None)
                 if rule and t[2] not in params:
                     close = _closing(tokens, i + 1, "(", ")")
-                    path = of(tokens[i + 2 : close])
-                    if path:
-                        yield fn, base + t[3], rule[0], rule[1], path
+                    argument = rule[2] if len(rule) > 2 else ANY
+                    given = tokens[i + 2 : close]
+                    if argument >= 0:
+                        parts = _arguments(given)
+                        given = parts[argument] if argument < len(parts) else []
+                    path = of(given)
+                    if path or argument == ALWAYS:
+                        yield fn, t[3], rule[0], rule[1], path or []
                     i = close + 1
                     continue
             elif t[1] == "identifier" and i + 1 < len(tokens) and tokens[i + 1][2] in _ASSIGN:
@@ -78,9 +98,119 @@ def walk(text: str, ext: str, sources: set[str], sinks: dict[str, tuple[str, int
                 path = of(tokens[i + 2 : end])
                 if path:
                     tainted[t[2]] = [*path, t[2]]
+                    ever.setdefault(t[2], tainted[t[2]])
                 elif tokens[i + 1][2] in ("=", ":="):
                     tainted.pop(t[2], None)
             i += 1
+        for line, category, severity, path in outputs(tokens, ext, ever, sources):
+            yield fn, line, category, severity, path
+
+
+# Calls whose result is safe in HTML, receivers that are outputs, constructs of PHP that write or include,
+# calls that end a flow there, and marks of a function that includes from a list.
+_ESCAPES = frozenset("esc escape escapeHtml escapeHtml3 escapeHtml4 escapeEcmaScript escapeEcmaScript4 EscapeUtils StringEscapeUtils encodeURI encodeURIComponent HtmlUtils html_escape html_escape_once strip_tags sanitize h HtmlEncode HtmlAttributeEncode UrlEncode UrlPathEncode JavaScriptStringEncode HtmlString WriteLiteral".split())
+_OUTPUTS = frozenset("res response resp reply ctx out stdout document console writer".split())
+_PHP_OUTPUT = {
+    "echo": "XSS (HTML Injection)", "print": "XSS (HTML Injection)", "include": "Path Traversal (File Inclusion)", "include_once": "Path Traversal (File Inclusion)",
+    "require": "Path Traversal (File Inclusion)", "require_once": "Path Traversal (File Inclusion)",
+}
+_PHP_BARRIERS = frozenset("htmlspecialchars htmlentities urlencode rawurlencode escapeshellarg intval system shell_exec exec passthru proc_open".split())
+_PHP_LISTS = ("VIEW_DIR", "VIEWS", "in_array")
+_TEMPLATES = frozenset("render_template_string from_string render_template get_template Template".split())
+_BY_LINE = ("py", "rb", "go", "kt", "swift")
+
+
+def _statements(tokens: list, ext: str):
+    """The statements of a body: up to `;`, or to the end of a line where the language ends them so."""
+    part: list = []
+    for t in tokens:
+        if part and (ext in _BY_LINE and t[3] != part[-1][3] and part[-1][2] not in ("+", ",", "(")):
+            yield part
+            part = []
+        if t[2] in (";", "{", "}"):
+            if part:
+                yield part
+            part = []
+        else:
+            part.append(t)
+    if part:
+        yield part
+
+
+def _value(part: list) -> list:
+    """What a statement assigns, or all of it."""
+    depth = start = 0
+    for i, t in enumerate(part):
+        depth += (t[2] in ("(", "[")) - (t[2] in (")", "]"))
+        if depth == 0 and t[2] in ("=", "+=", "-=", ":=", "??="):
+            start = i + 1
+    return part[start:]
+
+
+def _outside(part: list, calls: frozenset):
+    """(index, token) of what does not stand in the arguments of `calls`."""
+    i = 0
+    while i < len(part):
+        if part[i][1] == "identifier" and part[i][2] in calls and i + 1 < len(part) and part[i + 1][2] == "(":
+            i = _closing(part, i + 1, "(", ")")
+        else:
+            yield i, part[i]
+        i += 1
+
+
+def outputs(tokens: list, ext: str, tainted: dict[str, list[str]], known: set[str]):
+    """(line, category, severity, path) of tainted values that become markup, commands of a database, or output of PHP.
+
+    known holds the sources: in PHP and Swift a bare parameter may be a
+    constant of every caller, so only flows that begin at a source count.
+    """
+    php, script = ext in ("php", "phtml", "inc"), ext in ("js", "jsx", "ts", "tsx")
+    rooted = lambda path: path if not (php or ext == "swift") or path[0].split(".")[0] in known or path[0] in known or path[0].endswith("()") else None
+    templates = ext == "py" and any(t[2] in _TEMPLATES for t in tokens)
+    listed = php and any(t[2] in _PHP_LISTS or t[2].lstrip("$") in _PHP_LISTS for t in tokens)
+    told = set()
+
+    def first(part: list, calls: frozenset, plain: bool = True):
+        for i, t in _outside(part, calls):
+            path = [t[2]] if php and t[2] in known else tainted.get(t[2]) if t[1] == "identifier" else None
+            if not path or not rooted(path):
+                continue
+            if i + 1 < len(part) and part[i + 1][2] in (".", "->") and not php and not (script and t[2].lower() not in _OUTPUTS):
+                continue
+            if script and len(path) == 1 and not plain:
+                continue
+            return path
+        return None
+
+    for part in _statements(tokens, ext):
+        for i, t in enumerate(part[:-1]):
+            if t[2] == "CommandText" and i and part[i - 1][2] == "." and part[i + 1][2] == "=" and ("sql", t[3]) not in told:
+                path = first(part[i + 2 :], frozenset())
+                if path:
+                    told.add(("sql", t[3]))
+                    yield t[3], "SQL Injection", 2, path
+        if php and part[0][2] in _PHP_OUTPUT and (len(part) < 2 or part[1][2] != "("):
+            category = _PHP_OUTPUT[part[0][2]]
+            path = None if listed and category.startswith("Path") else first(part[1:], _PHP_BARRIERS)
+            if path and ("out", part[0][3]) not in told:
+                told |= {("out", part[0][3]), ("html", part[0][3])}
+                yield part[0][3], category, 2, path
+            continue
+        markup = [t for t in part if t[1] == "string" and "<" in t[2] and ">" in t[2]]
+        if not markup or templates:
+            continue
+        value = _value(part)
+        if ext == "py":
+            inside = [m for t in markup for m in re.findall(r"\{\s*([A-Za-z_]\w*)", t[2])]
+            path = next((tainted[m] for m in inside if m in tainted), None)
+        else:
+            signs = {t[2] for t in value}
+            joined = "+" in signs or php and "." in signs or ext == "swift" and any("\\(" in t[2] for t in markup) or ext == "rb" and "<<" in signs
+            path = first(value, _ESCAPES, plain=part[0][2] != "return") if joined else None
+        line = markup[0][3]
+        if path and ("html", line) not in told:
+            told.add(("html", line))
+            yield line, "XSS (HTML Injection)", 2, path
 
 
 def _arguments(tokens: list) -> list[list]:
@@ -106,14 +236,14 @@ def _rest(tokens: list, at: int, line: int) -> list:
 def facts(text: str, ext: str, sources: set[str]):
     """(kind, fn, name) facts of each function.
 
-    call: it calls name; source: its result can come from a source;
+    defined: it is defined here; call: it calls name; source: its result can come from a source;
     pass_through: from a parameter; returns_call: from a call of name;
     param_seed: somebody passes a tainted value as parameter number `name`;
     write_through: it writes one into parameter number `name`; static;
     sanitizer.
     """
-    for fn, _, _, _, lo, hi, params, quals in functions(text, ext):
-        tokens = list(tokenize(text[lo:hi], ext))
+    for fn, params, quals, tokens in _bodies(text, ext):
+        yield "defined", fn, fn
         if _is_clean(fn):
             yield "sanitizer", fn, fn
         if "static" in quals:
@@ -157,30 +287,10 @@ def facts(text: str, ext: str, sources: set[str]):
                         yield "returns_call", fn, x[2]
 
 
-@udtf(returnType="kind string, fn string, name string")
-class Facts:
-    def eval(self, content: str, ext: str, sources: list):
-        yield from dict.fromkeys(facts(content or "", ext or "", set(sources or [])))
-
-
-@udtf(returnType="function string, line int, category string, severity int, taint_path array<string>")
-class Walk:
-    def eval(self, content: str, ext: str, sources: list, sinks: list, tainting: list):
-        rules = {s["key"]: (s["category"], s["severity"]) for s in sinks or []}
-        yield from walk(content or "", ext or "", set(sources or []), rules, set(tainting or []))
-
-
-def _registered(spark):
-    spark.udtf.register("siftstone_facts", Facts)
-    spark.udtf.register("siftstone_walk", Walk)
-
-
 def all_facts(files: DataFrame, sources: list[str]) -> DataFrame:
     """(path, kind, fn, name) of files(path, ext, content)."""
-    spark = files.sparkSession
-    _registered(spark)
-    files.withColumn("_sources", F.array(*map(F.lit, sources)).cast("array<string>")).createOrReplaceTempView("siftstone_files_facts")
-    return spark.sql("SELECT f.path, t.* FROM siftstone_files_facts f, LATERAL siftstone_facts(f.content, f.ext, f._sources) t")
+    names = frozenset(sources)
+    return per_file(files, ["path"], ["content", "ext"], lambda content, ext: dict.fromkeys(facts(content or "", ext or "", names)), "kind string, fn string, name string")
 
 
 def parameter_facts(found: DataFrame, kind: str = "param_seed") -> DataFrame:
@@ -201,11 +311,70 @@ def tainting_functions(found: DataFrame, rounds: int = 10) -> DataFrame:
     return fixpoint(calls, found.where("kind = 'source'").select(F.col("fn").alias("name")), rounds, found.where("kind = 'sanitizer'").select(F.col("fn").alias("name")))
 
 
-def scan(files: DataFrame, sources: list[str], sinks: list[tuple[str, str, int]], tainting: list[str] = ()) -> DataFrame:
-    """(path, function, line, category, severity, taint_path) of files(path, ext, content) up to a million characters."""
-    spark = files.sparkSession
-    _registered(spark)
-    rules = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(c).alias("category"), F.lit(s).alias("severity")) for k, c, s in sinks])
-    names = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
-    files.where(F.length("content") <= 1_000_000).select("path", "ext", "content", names(sources).alias("_s"), rules.alias("_r"), names(tainting).alias("_t")).createOrReplaceTempView("siftstone_files_walk")
-    return spark.sql("SELECT f.path, t.* FROM siftstone_files_walk f, LATERAL siftstone_walk(f.content, f.ext, f._s, f._r, f._t) t")
+def sinks_of(table: list[tuple], ext: str) -> dict:
+    """{key: (category, severity, argument)} of a table (key, category, severity, argument, extensions) for one language.
+
+    A rule for the language beats one for all; of equals the first counts.
+    """
+    out: dict = {}
+    for own in (True, False):
+        for key, category, severity, argument, exts in table:
+            if key not in out and (exts is not None and ext in exts if own else exts is None):
+                out[key] = (category, severity, argument)
+    return out
+
+
+def scan(files: DataFrame, sources: list[str], sinks: list[tuple[str, str, int]], tainting: DataFrame | None = None, seeds: DataFrame | None = None, most: int = MOST) -> DataFrame:
+    """(path, function, line, category, severity, taint_path) of files(path, ext, content) of at most `most` characters.
+
+    sinks are (key, category, severity[, argument, extensions]); see `tables`.
+    tainting has (path, name): the project's functions whose result is tainted
+    and that the file calls; seeds has (path, fn, indices): parameters that the
+    call sites of a function taint.  Both reach a file by a join on its path, so
+    nothing of the project is repeated in every row or held by the driver.
+    """
+    table = [(*r, *(ANY, None)[len(r) - 3 :]) for r in sinks]
+    names = frozenset(sources)
+    read = files.where(F.length("content") <= most).select("path", "ext", "content")
+    if tainting is None:
+        read = read.withColumn("_t", F.array().cast("array<string>"))
+    else:
+        read = read.join(tainting.groupBy("path").agg(F.collect_set("name").alias("_t")), "path", "left")
+    if seeds is None:
+        read = read.withColumn("_s", F.lit(None).cast("array<struct<fn:string,indices:array<int>>>"))
+    else:
+        read = read.join(seeds.groupBy("path").agg(F.collect_list(F.struct("fn", "indices")).alias("_s")), "path", "left")
+
+    def make(content, ext, tainted, seeded):
+        known = None if seeded is None else {x["fn"]: x["indices"] for x in seeded}
+        return walk(content or "", ext or "", names, sinks_of(table, ext or ""), set(tainted or ()), known)
+
+    return per_file(read, ["path"], ["content", "ext", "_t", "_s"], make, "function string, line int, category string, severity int, taint_path array<string>")
+
+
+def project(files: DataFrame, sources: list[str], sinks: list[tuple[str, str, int]], most: int = MOST) -> DataFrame:
+    """The findings of `scan`, with what the project's facts say.
+
+    Facts are staged once.  A function whose result is tainted somewhere (the
+    fixpoint over calls) taints where it is called; a function with known call
+    sites begins with the parameters that these taint, others with all.
+    """
+    found = cut(all_facts(files.where(F.length("content") <= most), sources), "facts")
+    tainted = tainting_functions(found)
+    called = found.where("kind = 'call'").select("path", "name").distinct()
+    return scan(files, sources, sinks, called.join(tainted.select("name"), "name").select("path", "name"), parameter_seeds(found), most)
+
+
+def parameter_seeds(found: DataFrame) -> DataFrame:
+    """(path, fn, indices): of each function that a file of the project calls, the parameters that some call taints.
+
+    The rows are those of the files that define the function: `defined` facts
+    tell where.  Functions that nothing calls are not in the result.
+    """
+    called = found.where("kind = 'call'").select(F.col("name").alias("fn")).distinct()
+    everywhere = parameter_facts(found).where("path is null").select("fn", "indices")
+    here = parameter_facts(found).where("path is not null").select("path", "fn", F.col("indices").alias("_own"))
+    defined = found.where("kind = 'defined'").select("path", "fn").distinct().join(called, "fn")
+    joined = defined.join(everywhere, "fn", "left").join(here, ["path", "fn"], "left")
+    none = F.array().cast("array<int>")
+    return joined.select("path", "fn", F.array_union(F.coalesce("indices", none), F.coalesce("_own", none)).alias("indices"))

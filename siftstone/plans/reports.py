@@ -2,36 +2,55 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftstone.functions.scalars import pascal_case, slug
+from siftstone.plans.loops import numbered
 
 
 def sarif(findings: DataFrame, tool: str = "siftstone") -> DataFrame:
-    """One row `value`: a SARIF 2.1.0 log of findings(path, line, category, message, severity, seq).
+    """(section, n, value): a SARIF 2.1.0 log of findings(path, line, category, message, severity, seq), in pieces.
 
-    Rules are numbered as their categories first appear, artifacts as their
-    paths do; equal slugs get -2, -3, ....  A log is one document, so its rows
-    meet in the last step; categories and paths are numbered before that.
+    Sections 1, 3 and 5 are rules, artifacts and results, one JSON record a row;
+    0, 2, 4 and 6 are the text around them.  `write_log` joins them to a file, so
+    no task ever holds the log.  Rules are numbered as their categories first
+    appear, artifacts as their paths do; equal slugs get -2, -3, ....
     """
+    spark = findings.sparkSession
     cats = findings.groupBy("category").agg(F.min("seq").alias("first"))
-    by = Window.partitionBy(F.lit(0)).orderBy("first")
     base = cats.withColumn("slug", slug(F.col("category")))
     twin = F.row_number().over(Window.partitionBy("slug").orderBy("first"))
-    rules = base.withColumn("id", F.when(twin > 1, F.concat_ws("-", "slug", twin.cast("string"))).otherwise(F.col("slug"))).withColumn("rule", F.row_number().over(by) - 1)
-    paths = findings.groupBy("path").agg(F.min("seq").alias("first")).withColumn("artifact", F.row_number().over(by) - 1)
+    rules = numbered(base.withColumn("id", F.when(twin > 1, F.concat_ws("-", "slug", twin.cast("string"))).otherwise(F.col("slug"))), "first", "rule")
+    paths = numbered(findings.groupBy("path").agg(F.min("seq").alias("first")), "first", "artifact")
     level = F.when(F.col("severity") >= 2, "error").when(F.col("severity") == 1, "warning").otherwise("note")
-    results = findings.join(F.broadcast(rules.select("category", "id", "rule")), "category").join(paths.select("path", "artifact"), "path")
+    results = findings.join(rules.select("category", "id", "rule"), "category").join(paths.select("path", "artifact"), "path")
     place = F.struct(F.struct(F.struct(F.col("artifact").alias("index"), F.col("path").alias("uri")).alias("artifactLocation"), F.struct(F.greatest(F.col("line"), F.lit(1)).alias("startLine")).alias("region")).alias("physicalLocation"))
     result = F.struct(F.col("id").alias("ruleId"), F.col("rule").alias("ruleIndex"), level.alias("level"), F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations"))
-    rows = lambda c: F.transform(F.sort_array(F.collect_list(c)), lambda x: x["r"])
-    r = results.agg(rows(F.struct("seq", result.alias("r"))).alias("results"))
-    u = rules.agg(rows(F.struct(F.col("rule").alias("n"), F.struct("id", pascal_case(F.col("category")).alias("name"), F.struct(F.col("category").alias("text")).alias("shortDescription")).alias("r"))).alias("rules"))
-    a = paths.agg(rows(F.struct(F.col("artifact").alias("n"), F.struct(F.struct(F.col("path").alias("uri")).alias("location")).alias("r"))).alias("artifacts"))
-    run = F.struct(F.struct(F.struct(F.lit(tool).alias("name"), "rules").alias("driver")).alias("tool"), "artifacts", "results")
-    doc = F.struct(F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))
-    return r.join(F.broadcast(u)).join(F.broadcast(a)).select(F.to_json(doc).alias("value"))
+    frame = [
+        (0, '{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{"tool":{"driver":{"name":' + json.dumps(tool) + ',"rules":['),
+        (2, ']}},"artifacts":['), (4, '],"results":['), (6, "]}]}"),
+    ]
+    around = spark.createDataFrame([(s, "", v) for s, v in frame], "section int, n string, value string")
+    rank = lambda c: F.lpad(F.col(c).cast("string"), 19, "0").alias("n")
+    r = rules.select(F.lit(1).alias("section"), rank("rule"), F.to_json(F.struct("id", pascal_case(F.col("category")).alias("name"), F.struct(F.col("category").alias("text")).alias("shortDescription"))).alias("value"))
+    a = paths.select(F.lit(3).alias("section"), rank("artifact"), F.to_json(F.struct(F.struct(F.col("path").alias("uri")).alias("location"))).alias("value"))
+    found = results.select(F.lit(5).alias("section"), F.col("seq").cast("string").alias("n"), F.to_json(result).alias("value"))
+    return around.unionByName(r).unionByName(a).unionByName(found)
+
+
+def write_log(log: DataFrame, path: str) -> None:
+    """Writes the pieces of `sarif` as text files that, one behind the other, are the log.
+
+    A record after the first of its section begins with a comma; the sort is by
+    ranges, so the files are as many as the data needs.
+    """
+    first = log.where(F.col("section") % 2 == 1).groupBy("section").agg(F.min(F.struct("n", "value")).alias("head"))
+    marked = log.join(F.broadcast(first), "section", "left")  # three rows at most
+    comma = F.when((F.col("section") % 2 == 1) & (F.struct("n", "value") != F.col("head")), ",").otherwise("")
+    marked.orderBy("section", "n", "value").select(F.concat(comma, "value")).write.mode("overwrite").text(path)
 
 
 def markdown(classified: DataFrame, title: str) -> DataFrame:

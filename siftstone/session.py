@@ -9,11 +9,19 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 16 << 20
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends the package's sources to the executors, once for each application."""
+    """Sends the package's sources to the executors, once for each application.
+
+    Batches for Python are bounded by bytes as well as by rows, unless the
+    session has a bound of its own: rows of texts and packed rows are long.
+    """
     context = spark.sparkContext
+    if spark.conf.get(_BATCH, None) in (None, "", str((1 << 31) - 1)):  # the default is no bound
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     if context.applicationId in _SHIPPED:
         return spark
     root = os.path.dirname(os.path.abspath(__file__))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftstone.plans.loops import numbered
+
 # Page size of each forge's list of open pull requests.
 PAGE_SIZES = {"github": 100, "gitlab": 100, "bitbucket": 50, "gitea": 50}
 
@@ -34,7 +36,7 @@ def pull_requests(raw: DataFrame, forge: str) -> DataFrame:
     """
     inner = f"array<struct<{_SCHEMAS[forge].replace(' struct<', ':struct<').replace(' string', ':string').replace(' long', ':long')}>>"
     value = F.get_json_object("value", "$.values") if forge == "bitbucket" else F.col("value")
-    p = raw.select("repo", F.explode(F.from_json(value, inner)).alias("p"))
+    p = raw.select("repo", F.explode(F.from_json(value, inner)).alias("p")).where("p.id is not null")  # an error message parses as a list of nothing
     who = lambda u: F.coalesce(F.col(f"p.{u}.login"), F.col(f"p.{u}.username"), F.col(f"p.{u}.nickname"), F.col(f"p.{u}.display_name"))
     time = lambda c: F.try_to_timestamp(F.col(c))
     if forge == "gitlab":
@@ -52,7 +54,7 @@ def advisories(spark: SparkSession, path: str) -> DataFrame:
     schema = "id string, summary string, details string, aliases array<string>, severity array<struct<type:string,score:string>>, database_specific struct<severity:string>, affected array<struct<package:struct<ecosystem:string,name:string>,versions:array<string>>>"
     raw = spark.read.schema(schema).json(path)
     each = raw.withColumn("a", F.explode("affected")).withColumn("version", F.explode("a.versions"))
-    return each.select(F.col("a.package.ecosystem").alias("ecosystem"), F.col("a.package.name").alias("name"), "version", "id", F.coalesce("summary", F.substring("details", 1, 200)).alias("summary"), "aliases", "severity", F.col("database_specific.severity").alias("db_severity"))
+    return each.select(F.col("a.package.ecosystem").alias("ecosystem"), F.col("a.package.name").alias("name"), "version", "id", F.coalesce("summary", F.substring_index("details", "\n", 1)).alias("summary"), "aliases", "severity", F.col("database_specific.severity").alias("db_severity"))
 
 
 def with_details(stubs: DataFrame, details: DataFrame) -> DataFrame:
@@ -64,7 +66,9 @@ def with_details(stubs: DataFrame, details: DataFrame) -> DataFrame:
 
 
 def query_batches(deps: DataFrame, size: int = 1_000) -> DataFrame:
-    """Distinct (ecosystem, name, version) with the `batch` of at most about `size` that asks for them."""
-    keys = deps.select("ecosystem", "name", "version").distinct()
-    n = max(1, -(-keys.count() // size))
-    return keys.withColumn("batch", F.pmod(F.xxhash64("ecosystem", "name", "version"), F.lit(n)))
+    """Distinct (ecosystem, name, version) with the `batch` of at most `size` that asks for them.
+
+    The keys are numbered in order, by ranges, so no batch is larger.
+    """
+    keys = deps.select("ecosystem", "name", "version").distinct().withColumn("_key", F.struct("ecosystem", "name", "version"))
+    return numbered(keys, "_key", "_n").select("ecosystem", "name", "version", F.floor(F.col("_n") / size).alias("batch"))

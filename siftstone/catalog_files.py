@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from siftstone import standins
 from siftstone.functions import scalars as S
-from siftstone.operators import bayes, diff, findings, graphs, lexing, packages, reviews, rules, taint
-from siftstone.plans import reports
+from siftstone.operators import bayes, diff, findings, graphs, lexing, packages, reviews, rules, tables, taint
+from siftstone.plans import reports, scan
 from siftstone.plans.loops import cut
 from siftstone.sources import files as sources
 from siftstone.sources import forges, stores
@@ -452,3 +452,165 @@ def frame_files(spark, d):
 
 
 _add("frame_files", frame_files, "SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN '/r/a' || p_partkey || '.c' WHEN 1 THEN '/r/b' || p_partkey || '.c' WHEN 2 THEN '/r/c' || p_partkey || '.c' END AS path FROM part")
+
+
+# --- the whole scan -----------------------------------------------------------------------------------
+
+
+def whole_scan(spark, d):
+    """Files of all kinds to findings: walks, outputs, secrets, weak primitives, one for a place or a file."""
+    secret = _part(spark, d, _SECRET_FILES).select("path", F.lit("py").alias("ext"), "content")
+    files = standins.code(spark, d).unionByName(standins.written(spark, d)).unionByName(secret)
+    return scan.scan(files, [*standins.SOURCES, "$_GET"], standins.SINKS).select("path", "line", "category", "severity")
+
+
+_SECRET_FILES = """SELECT p_partkey AS k, 'keys/p' || p_partkey || '.py' AS path, CASE p_partkey % 3 WHEN 0 THEN 'x = "sk_live_' || lpad(CAST(p_partkey AS VARCHAR(20)), 10, '7') || '"' || chr(10) || 'y = "sk_live_' || lpad(CAST(p_partkey AS VARCHAR(20)), 11, '8') || '"'
+ WHEN 1 THEN 'password =' || chr(10) || '  "Zk' || p_partkey || '!pw9"' ELSE 'n = 1' END AS content FROM part"""
+_add("whole_scan", whole_scan, f"""SELECT path, line, category, severity FROM ({_CODE} SELECT path, {_SINK_LINE}, {_TAINTED} FROM x WHERE {_PROJECT})
+UNION ALL SELECT path, line, category, severity FROM ({ORACLE_SQL['output_scan']}) UNION ALL SELECT path, line, category, severity FROM ({ORACLE_SQL['body_scan']})
+UNION ALL SELECT path, 1, CASE k % 3 WHEN 0 THEN 'Hardcoded Secret Key' ELSE 'Hardcoded Credential' END, CASE k % 3 WHEN 0 THEN 3 ELSE 2 END FROM ({_SECRET_FILES}) WHERE k % 3 < 2""")
+
+
+def declared_types(spark, d):
+    """Declarations of the variable t in C and Java code."""
+    found = lexing.declarations(standins.code(spark, d))
+    return found.where("name = 't'").select("path", "type").groupBy("path", "type").agg(F.count("*").alias("n"))
+
+
+_add("declared_types", declared_types, f"{_CODE} SELECT path, CASE l WHEN 0 THEN 'char' ELSE 'String' END AS type, count(*) AS n FROM x WHERE l < 2 GROUP BY path, l")
+
+
+def plain_tokens(spark, d):
+    """Tokens of four kinds in each file: keywords are identifiers."""
+    return lexing.lex(standins.code(spark, d), keywords=False).groupBy("path").agg(F.count_if(F.col("kind") == "keyword").alias("keywords"), F.count_if((F.col("kind") == "identifier") & (F.col("text") == "if")).alias("branches"))
+
+
+_add("plain_tokens", plain_tokens, f"{_CODE} SELECT path, CAST(0 AS BIGINT) AS keywords, CAST(sum(b) AS BIGINT) AS branches FROM x GROUP BY path")
+
+
+# --- buffers, guards, reports, graphs ----------------------------------------------------------------
+
+_BUFFERS = """SELECT p_partkey AS k, 'c/p' || p_partkey || '.c' AS path, '#define EXTRA 2' || chr(10) || 'void f(char *s) {' || chr(10) || '  char b[' || p_size || ' + EXTRA];' || chr(10) || '  memcpy(b, s, ' || (p_partkey % 60) || ');' || chr(10)
+ || '  int n[' || (p_size % 4 + 1) || '];' || chr(10) || '  memset(n, 0, ' || (p_partkey % 20) || ');' || chr(10) || '}' || chr(10) AS content FROM part"""
+
+
+def buffer_writes(spark, d):
+    """Constant writes over the end of a buffer, with sizes that have to be worked out."""
+    files = _part(spark, d, _BUFFERS).select("path", F.lit("c").alias("ext"), "content")
+    return taint.scan(files, [], []).select("path", "function", "line", "category", "severity")
+
+
+_add("buffer_writes", buffer_writes, """SELECT 'c/p' || p_partkey || '.c' AS path, 'f' AS function, 4 AS line, 'Buffer Overflow' AS category, 2 AS severity FROM part WHERE p_partkey % 60 > p_size + 2
+UNION ALL SELECT 'c/p' || p_partkey || '.c', 'f', 6, 'Buffer Overflow', 2 FROM part WHERE p_partkey % 20 > 4 * (p_size % 4 + 1)""")
+
+_GUARDED = """SELECT p_partkey AS k, 'g/p' || p_partkey || '.py' AS path, 'def f(a):' || chr(10) || CASE p_partkey % 4 WHEN 0 THEN '    if a not in ALLOWED:' || chr(10) || '        raise ValueError' WHEN 1 THEN '    if a in ALLOWED:' || chr(10) || '        raise ValueError'
+ WHEN 2 THEN '    if a not in ALLOWED:' || chr(10) || '        log(1)' ELSE '    b = 1' || chr(10) || '    b = 2' END || chr(10) || CASE p_partkey % 3 WHEN 0 THEN '    subprocess.run([a])' WHEN 1 THEN '    subprocess.run([a], shell=True)' ELSE '    os.system(a)' END || chr(10) AS content FROM part"""
+
+
+def guarded_scan(spark, d):
+    """Walks past guards: a checked value is clean, and a list of arguments meets no shell."""
+    files = _part(spark, d, _GUARDED).select("path", F.lit("py").alias("ext"), "content")
+    return taint.scan(files, [], tables.sinks()).select("path", "line", "category", "severity")
+
+
+_add("guarded_scan", guarded_scan, "SELECT 'g/p' || p_partkey || '.py' AS path, 4 AS line, 'Command Injection' AS category, 2 AS severity FROM part WHERE p_partkey % 4 <> 0 AND p_partkey % 3 <> 0")
+
+
+def markdown_report(spark, d):
+    """Lines of the markdown report of classified findings."""
+    found = standins.table(spark, d, "part").select(
+        F.concat(F.lit("f"), "p_partkey").alias("path"), F.col("p_size").alias("line"), F.col("p_type").alias("category"), (F.col("p_partkey") % 4).cast("int").alias("severity"),
+        F.element_at(F.array(F.lit("introduced"), F.lit("contextual"), F.lit("fixed")), (F.col("p_partkey") % 3 + 1).cast("int")).alias("awareness"),
+    )
+    return reports.markdown(found, "Report").select("section", "value")
+
+
+_add("markdown_report", markdown_report, """WITH f AS (SELECT *, p_partkey % 3 AS o, CASE p_partkey % 3 WHEN 0 THEN 'Introduced' WHEN 1 THEN 'Contextual' ELSE 'Fixed' END AS name, CASE p_partkey % 4 WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' WHEN 2 THEN 'High' ELSE 'Critical' END AS label FROM part)
+SELECT 0 AS section, '# Report' || chr(10) AS value UNION ALL SELECT CAST(2 * o + 1 AS INTEGER), CASE o WHEN 0 THEN '' ELSE chr(10) END || '## ' || name || ' (' || count(*) || ')' || chr(10) FROM f GROUP BY o, name
+UNION ALL SELECT CAST(2 * o + 2 AS INTEGER), '- **' || label || '** ' || p_type || ' — `f' || p_partkey || ':' || p_size || '`' FROM f""")
+
+_TREE = "SELECT DISTINCT 'p' || l_orderkey AS caller, 'p' || (l_orderkey // 3) AS callee FROM lineitem WHERE l_orderkey > 0"
+
+
+def _tree(spark, d) -> DataFrame:
+    o = F.col("l_orderkey")
+    return standins.table(spark, d, "lineitem").where(o > 0).select(F.concat(F.lit("p"), o).alias("caller"), F.concat(F.lit("p"), F.floor(o / 3)).alias("callee")).distinct()
+
+
+def call_layers(spark, d):
+    """The layer of each function: the longest way from one that nothing calls."""
+    return graphs.layers(_tree(spark, d)).select("node", "rank", "settled")
+
+
+_add("call_layers", call_layers, f"""WITH RECURSIVE e AS ({_TREE}), n AS (SELECT caller AS node FROM e UNION SELECT callee FROM e),
+r(node, rank) AS (SELECT node, 0 FROM n WHERE node NOT IN (SELECT callee FROM e) UNION SELECT e.callee, r.rank + 1 FROM r JOIN e ON e.caller = r.node)
+SELECT node, CAST(max(rank) AS INTEGER) AS rank, true AS settled FROM r GROUP BY node""")
+
+
+def reach_verdicts(spark, d):
+    """Whether what reaches each root holds a remote or a local entry (twelve calls and 80 nodes at most, the feature's limits)."""
+    start = standins.table(spark, d, "nation").select(F.concat(F.lit("p"), F.col("n_nationkey")).alias("root"))
+    origin = F.when(F.startswith("o_orderpriority", F.lit("1")), "remote").when(F.startswith("o_orderpriority", F.lit("2")), "local").otherwise("none")
+    entries = standins.table(spark, d, "orders").select(F.concat(F.lit("p"), "o_orderkey").alias("node"), origin.alias("origin"))
+    return graphs.verdict(graphs.closure(_tree(spark, d), start), entries)
+
+
+_add("reach_verdicts", reach_verdicts, f"""WITH RECURSIVE e AS ({_TREE}), c(root, node, depth) AS (SELECT 'p' || n_nationkey, 'p' || n_nationkey, 0 FROM nation UNION SELECT c.root, e.caller, c.depth + 1 FROM c JOIN e ON e.callee = c.node WHERE c.depth < 12),
+n AS (SELECT root, node, min(depth) AS depth FROM c GROUP BY root, node), r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, node) AS r FROM n),
+m AS (SELECT root, max(CASE WHEN o_orderpriority LIKE '1%' THEN 1 ELSE 0 END) AS remote, max(CASE WHEN o_orderpriority LIKE '2%' THEN 1 ELSE 0 END) AS local FROM r LEFT JOIN orders ON node = 'p' || o_orderkey WHERE r <= 80 GROUP BY root)
+SELECT root, CASE WHEN remote = 1 THEN 'remote' WHEN local = 1 THEN 'local' ELSE 'unverified' END AS verdict FROM m""")
+
+
+def value_flows(spark, d):
+    """Ways of a value over steps, no node twice on a way, four steps at most."""
+    k = F.col("n_nationkey")
+    n = standins.table(spark, d, "nation")
+    name = lambda x: F.concat(F.lit("v"), x.cast("string"))
+    steps = n.select(name(k).alias("src"), name((2 * k + 1) % 25).alias("dst")).union(n.select(name(k).alias("src"), name((k + 3) % 25).alias("dst"))).distinct()
+    return graphs.flow_paths(spark, steps, n.select(name(k).alias("root")), depth=4).select("root", F.array_join("path", ">").alias("way"), "depth")
+
+
+_add("value_flows", value_flows, """WITH RECURSIVE s AS (SELECT 'v' || n_nationkey AS src, 'v' || ((2 * n_nationkey + 1) % 25) AS dst FROM nation UNION SELECT 'v' || n_nationkey, 'v' || ((n_nationkey + 3) % 25) FROM nation),
+p(root, way, here, depth) AS (SELECT 'v' || n_nationkey, ['v' || n_nationkey], 'v' || n_nationkey, 0 FROM nation UNION ALL SELECT root, list_append(way, dst), dst, depth + 1 FROM p JOIN s ON src = here WHERE depth < 4 AND NOT list_contains(way, dst))
+SELECT root, array_to_string(way, '>') AS way, CAST(depth AS INTEGER) AS depth FROM p""")
+
+
+# --- reviews against findings -----------------------------------------------------------------------
+
+_BUILT = "SELECT 'f' || (p_partkey % 50) AS path, CAST(p_size % 10 AS INTEGER) AS line, p_type AS category, 'g' || (p_partkey % 3) AS function, 'AST' AS engine, p_partkey AS seq FROM part"
+_REVIEWED = "SELECT 'f' || (p_partkey * 7 % 50) AS path, CAST(p_partkey % 10 AS INTEGER) AS line, lower(substr(p_type, 1, 5)) AS category, 'g' || (p_partkey % 2) AS function, 'AI' AS engine, p_partkey AS seq FROM part"
+
+
+def review_merge(spark, d):
+    """Built-in findings credited to reviewed ones at their place, and the reviewed ones without a partner."""
+    merged, rest = findings.merge_reviews(_part(spark, d, _BUILT), _part(spark, d, _REVIEWED))
+    return merged.select("seq", "engine", F.lit("built").alias("list")).unionByName(rest.select("seq", "engine", F.lit("reviewed").alias("list")))
+
+
+_add("review_merge", review_merge, f"""WITH b AS ({_BUILT}), r AS ({_REVIEWED}), p AS (SELECT b.seq AS bs, r.seq AS rs FROM b JOIN r ON b.path = r.path AND b.line = r.line AND (contains(lower(b.category), lower(r.category)) OR contains(lower(r.category), lower(b.category)))),
+x AS (SELECT rs, min(bs) AS bs FROM p GROUP BY rs), y AS (SELECT bs, min(rs) AS rs FROM x GROUP BY bs)
+SELECT seq, CASE WHEN seq IN (SELECT bs FROM y) THEN 'AST, AI' ELSE 'AST' END AS engine, 'built' AS list FROM b
+UNION ALL SELECT min(seq), 'AI', 'reviewed' FROM r WHERE seq NOT IN (SELECT rs FROM y) GROUP BY path, line, lower(category), function""")
+
+
+def review_places(spark, d):
+    """Lines of reviewed findings moved into the range of their card."""
+    k = F.col("p_partkey")
+    p = standins.table(spark, d, "part")
+    found = p.select(k.alias("seq"), (k % 20).cast("string").alias("path"), (k % 3).cast("int").alias("card"), F.col("p_size").alias("line"))
+    cards = p.select((k % 20).cast("string").alias("path"), (k % 3).cast("int").alias("card"), ((k % 3) * 10 + 1).cast("int").alias("first_line"), ((k % 3) * 10 + 10).cast("int").alias("last_line")).distinct()
+    return reviews.attributed(found, cards).select("seq", "line")
+
+
+_add("review_places", review_places, "SELECT p_partkey AS seq, CAST(greatest(p_partkey % 3 * 10 + 1, least(p_partkey % 3 * 10 + 10, p_size)) AS INTEGER) AS line FROM part")
+
+
+def finding_snippets(spark, d):
+    """The lines around a place in each document."""
+    docs = standins.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    found = docs.select("path", (F.col("path").cast("long") % 5 + 1).cast("int").alias("line"))
+    return reviews.snippets(found, bayes.lines_of(docs, "text", "path"), before=1, after=2).select("path", F.md5("snippet").alias("digest"))
+
+
+_add("finding_snippets", finding_snippets, """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS line FROM documents)
+SELECT CAST(d.doc_id AS VARCHAR) AS path, md5(coalesce(string_agg(l.text, chr(10) ORDER BY l.line), '')) AS digest FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id AND l.line BETWEEN d.doc_id % 5 AND d.doc_id % 5 + 3 GROUP BY d.doc_id""")

@@ -21,7 +21,7 @@ _COMMON = r"""
   (?P<space>[ \t\r\f\v]+)|(?P<newline>\n)
  |(?P<comment>/\*(?:[^*]|\*(?!/))*(?:\*/)?|//[^\n]*{hash})
  |(?P<string>{triple}"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?)
- |(?P<number>0[xX][0-9a-fA-F_]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?\w*)
+ |(?P<number>0[xX][0-9a-fA-F_]+[uUlL]*|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?\w*)
  |(?P<identifier>[^\W\d]\w*|[$@]\w+)
  |(?P<symbol>>>>=|<<=|>>=|===|!==|\.\.\.|->|=>|::|\+\+|--|&&|\|\||==|!=|<=|>=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|:=|\?\?|.)
 """
@@ -341,9 +341,73 @@ def measured(text: str | None, ext: str | None):
         yield *row, measure(tokens[bisect.bisect_left(places, row[4]) : bisect.bisect_left(places, row[5])], ext)
 
 
-def lex(files: DataFrame) -> DataFrame:
-    """(path, ext, idx, kind, text, line, col, off) of files(path, ext, content)."""
-    return per_file(files, ["path", "ext"], ["content", "ext"], lambda content, ext: tokenize(content or "", ext or ""), "idx int, kind string, text string, line int, col int, off int")
+def lex(files: DataFrame, keywords: bool = True) -> DataFrame:
+    """(path, ext, idx, kind, text, line, col, off) of files(path, ext, content).
+
+    Without `keywords` there are four kinds: identifier, number, string and symbol.
+    """
+
+    def make(content, ext):
+        for idx, kind, *rest in tokenize(content or "", ext or ""):
+            yield idx, kind if keywords or kind != "keyword" else "identifier", *rest
+
+    return per_file(files, ["path", "ext"], ["content", "ext"], make, "idx int, kind string, text string, line int, col int, off int")
+
+
+# Keywords that name a type.
+_TYPES = frozenset("int long short char float double bool boolean unsigned signed string var val let auto".split())
+
+
+_TYPED = ("c", "h", "cpp", "cc", "cxx", "hpp", "hxx", "hh", "m", "mm", "java", "cs", "csx", "sol")
+
+
+def declared(text: str | None, ext: str | None):
+    """(name, type, at, lo, hi) of declarations: where the name stands, and the range of the braces around it.
+
+    `Type name`, `Type *name` and `Type<...> name` before `=`, `;`, `,`, `)` or
+    `[`, and `name: Type` where the language writes types behind names.
+    """
+    text, ext = text or "", ext or ""
+    tokens = list(tokenize(text, ext))
+    scopes, stack = {}, []
+    for t in tokens:
+        if t[2] == "{":
+            stack.append(t[5])
+        elif t[2] == "}" and stack:
+            scopes[stack.pop()] = t[5]
+    open_: list[int] = []
+    behind = ext in ("kt", "swift", "rs", "ts", "tsx")
+    for i, t in enumerate(tokens):
+        if t[2] == "{":
+            open_.append(t[5])
+        elif t[2] == "}" and open_:
+            open_.pop()
+        if t[1] != "identifier" or i + 1 >= len(tokens):
+            continue
+        after, of = tokens[i + 1][2], None
+        if behind and after == ":" and i + 2 < len(tokens):
+            of = tokens[i + 2][2]
+        elif ext in _TYPED and i and after in ("=", ";", ",", ")", "["):
+            k = i - 1
+            while k and tokens[k][2] in ("*", "&", "]", "["):
+                k -= 1
+            if tokens[k][2] in (">", ">>", ">>>"):
+                depth = 0
+                while k:
+                    depth += len(tokens[k][2]) if tokens[k][2] in (">", ">>", ">>>") else -(tokens[k][2] == "<")
+                    k -= 1
+                    if depth <= 0:
+                        break
+            if tokens[k][1] == "identifier" or tokens[k][2] in _TYPES:
+                of = tokens[k][2]
+        if of:
+            lo = open_[-1] if open_ else 0
+            yield t[2], of, t[5], lo, scopes.get(lo, len(text)) if open_ else len(text)
+
+
+def declarations(files: DataFrame) -> DataFrame:
+    """(path, name, type, at, lo, hi) of files(path, ext, content); `findings.types_at` joins sites with them."""
+    return per_file(files, ["path"], ["content", "ext"], declared, "name string, type string, at int, lo int, hi int")
 
 
 def extract_functions(files: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import re
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -177,19 +178,25 @@ def match_sinks(calls: DataFrame, rules: DataFrame, aliases: DataFrame | None =
     return c.join(best, ["chain", "lang"]).select(*c.columns, *[F.col(f"_best.{x}").alias(x) for x in ("key", *value)])
 
 
+_PARTS = 6
+
+
 def entry_sites(tokens: DataFrame, catalog: DataFrame, most: int = 500) -> DataFrame:
     """(path, off, category, origin, confidence) of entry APIs in tokens(path, idx, off, kind, text, lang).
 
     An identifier that equals the leaf of catalog(leaf, prefix, category,
     origin, confidence, langs) is a site if its receiver is the prefix or ends
-    in `.prefix`, and none of the three tokens before declares it.  The first
-    `most` sites by place are kept (the limit is the feature).
+    in `.prefix`, and none of the three tokens before declares it.  A receiver
+    has up to `_PARTS` names.  The first `most` sites by place are kept (the
+    limit is the feature).
     """
     w = Window.partitionBy("path").orderBy("idx")
-    near = tokens.withColumn("_1", F.lag("text", 1).over(w)).withColumn("_2", F.lag("text", 2).over(w)).withColumn("_3", F.lag("text", 3).over(w)).withColumn("_4", F.lag("text", 4).over(w)).withColumn("_next", F.lead("text").over(w))
+    near = tokens.withColumns({f"_{k}": F.lag("text", k).over(w) for k in range(1, 2 * _PARTS + 1)} | {"_next": F.lead("text").over(w)})
     declares = F.array("_1", "_2", "_3")
     keyword = F.exists(declares, lambda t: F.coalesce(t.isin("def", "func", "function", "fn", "fun", "class", "struct", "interface", "import"), F.lit(False)))
-    receiver = F.when(F.col("_1") == ".", F.when(F.col("_3") == ".", F.concat_ws(".", "_4", "_2")).otherwise(F.col("_2"))).otherwise("")
+    receiver, linked = F.lit(""), [F.col(f"_{k}") == "." for k in range(1, 2 * _PARTS, 2)]
+    for n in range(_PARTS):  # names behind n + 1 dots in a row
+        receiver = F.when(reduce(lambda a, b: a & b, linked[: n + 1]), F.concat_ws(".", *[f"_{k}" for k in range(2 * n + 2, 0, -2)])).otherwise(receiver)
     sites = near.where((F.col("kind") == "identifier") & (F.col("_next") == "(") & ~keyword).withColumn("receiver", receiver)
     met = sites.join(F.broadcast(catalog.withColumnRenamed("leaf", "text")), "text").where(F.col("langs").isNull() | F.array_contains("langs", F.col("lang")))
     prefix = F.coalesce("prefix", F.lit(""))

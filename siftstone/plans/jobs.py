@@ -10,6 +10,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
 
+from siftstone.plans import scan
+
 KEEP_SECONDS = 2 * 3600
 KEEP_JOBS = 50
 INLINE_BYTES = 512 * 1024
@@ -31,10 +33,10 @@ class Job:
 
 
 class Jobs:
-    """First in, first out; one job runs.  `work(job, report)` gives (summary, sarif)."""
+    """First in, first out; one job runs.  `work(job, report)` gives (summary, sarif); without one, directories are scanned."""
 
-    def __init__(self, spark: SparkSession, work):
-        self.spark, self.work = spark, work
+    def __init__(self, spark: SparkSession, work=None):
+        self.spark, self.work = spark, work or scan.work(spark)
         self.jobs: dict[str, Job] = {}
         self._queue: queue.Queue[Job] = queue.Queue()
         self._lock = threading.Lock()

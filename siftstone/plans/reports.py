@@ -53,19 +53,41 @@ def write_log(log: DataFrame, path: str) -> None:
     marked.orderBy("section", "n", "value").select(F.concat(comma, "value")).write.mode("overwrite").text(path)
 
 
+def assembled(pieces: DataFrame) -> str:
+    """The text of `sarif` or `markdown` pieces, for logs and reports that fit the driver."""
+    rows = sorted((r["section"], r["n"], r["value"]) for r in pieces.collect())
+    records = {1, 3, 5} if any(r[0] == 0 and r[2].startswith("{") for r in rows) else set()
+    if not records:
+        return "\n".join(r[2] for r in rows) + "\n"
+    return "".join(("," if i and rows[i - 1][0] == r[0] and r[0] in records else "") + r[2] for i, r in enumerate(rows))
+
+
 def markdown(classified: DataFrame, title: str) -> DataFrame:
-    """One row `value`: a report of findings(path, line, category, severity, awareness) by section."""
+    """(section, n, value): the lines of a report of findings(path, line, category, severity, awareness) by section.
+
+    Section 0 is the title; the others are heads of two lines and a line for
+    each finding, worst first.  `write_report` puts them in order; no task ever
+    holds the report.
+    """
     label = F.element_at(F.array(*map(F.lit, ("Low", "Medium", "High", "Critical"))), F.col("severity") + 1)
     line = F.concat(F.lit("- **"), label, F.lit("** "), F.col("category"), F.lit(" — `"), F.col("path"), F.lit(":"), F.col("line").cast("string"), F.lit("`"))
     sections = {"introduced": "Introduced", "contextual": "Contextual", "fixed": "Fixed", "preExisting": "Pre-existing"}
-    order = F.lit(9)
-    name = F.col("awareness")
+    order, name = F.lit(9), F.col("awareness")
     for n, (k, v) in enumerate(sections.items()):
         order, name = F.when(F.col("awareness") == k, n).otherwise(order), F.when(F.col("awareness") == k, F.lit(v)).otherwise(name)
-    rows = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("severity")).alias("s"), "path", "line", line.alias("text")))), lambda x: x["text"])
-    parts = classified.groupBy(order.alias("n"), name.alias("name")).agg(F.count("*").alias("k"), F.array_join(rows, "\n").alias("text"))
-    body = F.transform(F.sort_array(F.collect_list(F.struct("n", F.concat(F.lit("## "), F.col("name"), F.lit(" ("), F.col("k").cast("string"), F.lit(")\n\n"), F.col("text")).alias("t")))), lambda x: x["t"])
-    return parts.agg(F.concat(F.lit(f"# {title}\n\n"), F.coalesce(F.array_join(body, "\n\n"), F.lit("")), F.lit("\n")).alias("value"))
+    heads = classified.groupBy(order.alias("o"), name.alias("name")).agg(F.count("*").alias("k"))
+    first = heads.agg(F.min("o").alias("first"))
+    blank = F.when(F.col("o") == F.col("first"), "").otherwise("\n")  # the title ends in a blank line of its own
+    head = heads.join(F.broadcast(first)).select((2 * F.col("o") + 1).alias("section"), F.col("name").alias("n"), F.concat(blank, F.lit("## "), "name", F.lit(" ("), F.col("k").cast("string"), F.lit(")\n")).alias("value"))
+    rank = F.concat(name, F.lit("#"), (F.lit(9) - F.col("severity")).cast("string"), F.lit("#"), F.col("path"), F.lit("#"), F.lpad(F.col("line").cast("string"), 9, "0"))
+    rows = classified.select((2 * order + 2).alias("section"), rank.alias("n"), line.alias("value"))
+    top = classified.sparkSession.createDataFrame([(0, "", f"# {title}\n")], "section int, n string, value string")
+    return top.unionByName(head).unionByName(rows)
+
+
+def write_report(pieces: DataFrame, path: str) -> None:
+    """Writes the pieces of `markdown` as text files that, one behind the other, are the report."""
+    pieces.orderBy("section", "n", "value").select("value").write.mode("overwrite").text(path)
 
 
 # Shapes of a frame, the first that fits counts: (pattern, group of function, file, line).

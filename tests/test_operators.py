@@ -218,9 +218,9 @@ def test_forges_and_stores(spark):
 
 def test_reports(spark):
     f = spark.createDataFrame([("b.c", 2, "X Y", "m", 3, 1), ("a.c", 1, "x-y", "n", 0, 2)], "path string, line int, category string, message string, severity int, seq int")
-    log = json.loads(reports.sarif(f).first()["value"])["runs"][0]
+    log = json.loads(reports.assembled(reports.sarif(f)))["runs"][0]
     assert [r["id"] for r in log["tool"]["driver"]["rules"]] == ["x-y", "x-y-2"] and [r["level"] for r in log["results"]] == ["error", "note"]
-    text = reports.markdown(f.withColumn("awareness", F.lit("introduced")), "T").first()["value"]
+    text = reports.assembled(reports.markdown(f.withColumn("awareness", F.lit("introduced")), "T"))
     assert text.startswith("# T\n\n## Introduced (2)\n\n- **Critical** X Y")
     found = spark.createDataFrame([(0, "x.c"), (1, "nope")], "seq int, file_hint string")
     assert [r["path"] for r in reports.locate_frames(found, spark.createDataFrame([("/r/x.c",)], "path string"), "/r").orderBy("seq").collect()] == ["/r/x.c", None]

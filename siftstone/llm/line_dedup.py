@@ -373,7 +373,7 @@ def _known(batches):
         text = [w.encode() for w in batch.column("content").to_pylist()]
         x = Lines(text, np.zeros(COUNTERS, np.uint8)) if text else None
         sets = (x.set.view(np.int64), x.check.view(np.int64)) if text else (np.zeros(0, np.int64),) * 2
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("line"), *map(pa.array, sets), pa.array([zlib.compress(w, 1) for w in text], pa.binary())], ["doc_id", "line", "id", "chk", "w"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("line"), *map(pa.array, sets), pa.array([zlib.compress(w) for w in text], pa.binary())], ["doc_id", "line", "id", "chk", "w"])
 
 
 class _Lists:

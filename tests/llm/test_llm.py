@@ -453,7 +453,7 @@ def test_spans():
     assert a.tolist() == [0, 9] and b.tolist() == [7, 12]
 
 
-@pytest.mark.parametrize("name", ["op2_warc", "op9_bit_sliced", "op10_substring_dedup"])
+@pytest.mark.parametrize("name", ["op2_warc", "op7_suffix_dedup", "op9_bit_sliced", "op10_substring_dedup"])
 def test_sql(spark, name):
     d = "/root/testdata/sf0.001"
     c = duckdb.connect()

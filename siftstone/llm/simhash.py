@@ -167,7 +167,8 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     stored = nodes.select("fp").mapInArrow(store, "key long, a long")
     probes = nodes.select("fp").mapInArrow(probe, "key long, b long")
-    near = stored.join(probes, (stored["key"] == probes["key"]) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
+    # Both come out of Python, where the optimiser's sizes are guesses: a probe side of 85 rows a node must not be broadcast.
+    near = stored.hint("merge").join(probes, (stored["key"] == probes["key"]) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
     return near.select("a", "b").distinct()
 
 

@@ -643,3 +643,12 @@ def test_long_texts(spark):
     assert lines == {1: 0, 2: 0, 3: 0, 4: 0}
     langs = language_id.train(spark.createDataFrame([(1, long, "en")], "doc_id long, text string, lang string"))
     assert {r["lang_pred"] for r in language_id.predict(df, langs).collect()} == {"en"}
+
+
+def test_simhash_probes_are_never_broadcast(spark):
+    nodes = line_dedup.stage(spark.range(50).select(F.xxhash64("id").alias("fp")), "nodes")
+    found = simhash.links(nodes)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    prints = [r["fp"] for r in nodes.collect()]
+    assert {tuple(r) for r in found.collect()} == {(a, b) for a in prints for b in prints if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}

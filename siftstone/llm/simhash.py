@@ -272,7 +272,7 @@ def _alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, threshold: Fract
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return stage(pairs.join(a, "a").join(b, "b").where(common * (p + q) >= p * (F.size("sa") + F.size("sb"))).select("a", "b"), "alike")
+    return stage(pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(common * (p + q) >= p * (F.size("sa") + F.size("sb"))).select("a", "b"), "alike")
 
 
 def _print_keys(prints: DataFrame) -> DataFrame:

@@ -42,8 +42,7 @@ SLICES = 64
 HEAVY = 1 << 18  #: lines of a key beyond which several tasks share it
 ROOM = 8 << 20  #: bytes of text of a group that one task compares
 FILTER = 1 << 23  #: bits of the filter that fetches candidate lines
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
@@ -52,10 +51,11 @@ def word_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.nda
     if not len(start):
         return np.zeros(0, np.uint64)
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each byte on
     n = stop - start
-    head = np.ascontiguousarray(eight[start]).view("<u8")[:, 0] & _MASK[np.minimum(n, 8)]
-    tail = np.where(n >= 8, np.ascontiguousarray(eight[np.maximum(stop - 8, 0)]).view("<u8")[:, 0], head)
+    head = eight[start] & _MASK[np.minimum(n, 8)]
+    tail, long = head.copy(), np.flatnonzero(n >= 8)
+    tail[long] = eight[stop[long] - 8]
     h = mix(head * np.uint64(0x9E3779B97F4A7C15) ^ mix(tail + n.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
     for i in np.flatnonzero(n > 16).tolist():
         h[i] = xxhash.xxh3_64_intdigest(data[start[i] : stop[i]].tobytes())
@@ -77,7 +77,13 @@ class Lines:
     """The lines of a few texts: their distinct words, ordered by line and rarity."""
 
     def __init__(self, parts: list[bytes], counters: np.ndarray | None = None):
-        data = np.frombuffer(b"\n".join(parts), np.uint8)
+        whole = b"\n".join(parts)
+        data = np.frombuffer(whole, np.uint8)
+        start, stop = word_bounds(data)
+        hashes = word_hashes(np.frombuffer(whole.translate(_LOWER), np.uint8), start, stop)
+        if counters is None:
+            self.hashes = hashes
+            return
         ends = np.concatenate((np.flatnonzero(data == 10), [len(data)]))
         self.begins = np.concatenate(([0], ends[:-1] + 1))
         self.ends = ends
@@ -86,13 +92,8 @@ class Lines:
         self.text = np.searchsorted(stops, self.begins, "right")
         self.number = np.arange(len(ends)) - np.searchsorted(self.text, self.text)
         self.data = data
-        start, stop = word_bounds(data)
-        hashes = word_hashes(_LOWER[data], start, stop)
-        line = np.searchsorted(ends, start)
-        if counters is None:
-            self.hashes = hashes
-            return
-        count = counters[hashes >> np.uint64(64 - 22)]
+        line = np.repeat(np.arange(len(ends)), np.diff(np.searchsorted(start, ends), prepend=0))
+        count = counters[(hashes >> np.uint64(64 - 22)).view(np.int64)]
         order = _by_line_and_rarity(hashes, count, line)
         hashes, line, count = hashes[order], line[order], count[order]
         new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1]))) if len(line) else np.zeros(0, bool)
@@ -173,7 +174,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            found = [(Lines(parts).hashes >> np.uint64(64 - 22)).astype(np.int64) for _, parts in _groups(batch)]
+            found = [(Lines(parts).hashes >> np.uint64(64 - 22)).view(np.int64) for _, parts in _groups(batch)]
             total += np.bincount(np.concatenate(found), minlength=COUNTERS) if found else 0
         for s in range(SLICES):
             mine = total[s * each : (s + 1) * each]
@@ -373,7 +374,7 @@ def _known(batches):
         text = [w.encode() for w in batch.column("content").to_pylist()]
         x = Lines(text, np.zeros(COUNTERS, np.uint8)) if text else None
         sets = (x.set.view(np.int64), x.check.view(np.int64)) if text else (np.zeros(0, np.int64),) * 2
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("line"), *map(pa.array, sets), pa.array([zlib.compress(w) for w in text], pa.binary())], ["doc_id", "line", "id", "chk", "w"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("line"), *map(pa.array, sets), pa.array([zlib.compress(w, 1) for w in text], pa.binary())], ["doc_id", "line", "id", "chk", "w"])
 
 
 class _Lists:

@@ -652,3 +652,16 @@ def test_simhash_probes_are_never_broadcast(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     prints = [r["fp"] for r in nodes.collect()]
     assert {tuple(r) for r in found.collect()} == {(a, b) for a in prints for b in prints if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
+
+
+def test_lines_of_all_bytes():
+    r = random.Random(5)
+    parts = [bytes(r.choice(b"aAzZ@[`{ \t\n\x08\x0b\x0d\x0e\x00\xff") for _ in range(n)) for n in (0, 400, 1, 900, 0)] + [bytes(range(256)), b"x" * 40 + b" " + b"X" * 40]
+    x = line_dedup.Lines(parts, np.zeros(line_dedup.COUNTERS, np.uint8))
+    lines = [line.lower().split() for part in parts for line in part.split(b"\n")]
+    assert x.words.tolist() == [len(set(words)) for words in lines]
+    known = {}
+    for words, chk in zip(lines, x.check.tolist(), strict=True):
+        assert known.setdefault(frozenset(words), chk) == chk
+    assert len(set(known.values())) == len(known)
+    assert len(line_dedup.Lines(parts).hashes) == sum(map(len, lines))
